@@ -1,0 +1 @@
+"""Focal stacks arrive as finished batches of frames, so no operator here needs a streaming plan."""
