@@ -78,15 +78,15 @@ def local_std(px: DataFrame, v: str, k: int = 7, out: str = "std", by: By = _FRA
 
 
 def conv1d(px: DataFrame, outs: Mapping[str, Column | str], taps: Sequence[float], axis: str,
-           by: By = _FRAME, side: int = SIDE) -> DataFrame:
-    """Correlate along one axis with an odd list of taps, reflected borders."""
+           by: By = _FRAME, side: int = SIDE, border: str = "reflect") -> DataFrame:
+    """Correlate along one axis with an odd list of taps; other borders than reflect for at most five taps."""
     r = len(taps) // 2
 
     def body(df):
         df, win = _named(df, outs), line(axis, by)
         if r <= 2:
             return df.withColumns({
-                n: add_all([F.lit(t) * neighbour(n, k - r, axis, by) for k, t in enumerate(taps) if t])
+                n: add_all([F.lit(t) * neighbour(n, k - r, axis, by, border) for k, t in enumerate(taps) if t])
                 for n in outs
             })
         df = pad(df, axis, r)
