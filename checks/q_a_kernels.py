@@ -163,7 +163,10 @@ def oc(s, f):
     return st.open_close(p, "m", 1, 1, side=16).select(*ID, "cleaned")
 
 
-add("K20_open_close", oc, Q().pixels(5).add("p0", "SELECT *, CAST(v > 110 AS INT) AS m FROM px")
-    .kernel("p1", "p0", sq(1), {"m": "m"}, border="none", agg="min").kernel("p2", "p1", sq(1), {"m": "m"}, border="none", agg="max")
-    .kernel("p3", "p2", sq(1), {"m": "m"}, border="none", agg="max").kernel("p4", "p3", sq(1), {"m": "m"}, border="none", agg="min")
+def square(q, name, src, kind):
+    one = {-1: 1.0, 0: 1.0, 1: 1.0}
+    return q.sep(name, src, one, one, {"m": "m"}, border="none", agg=kind)
+
+
+add("K20_open_close", oc, square(square(square(square(Q().pixels(5).add("p0", "SELECT *, CAST(v > 110 AS INT) AS m FROM px"), "p1", "p0", "min"), "p2", "p1", "max"), "p3", "p2", "max"), "p4", "p3", "min")
     .select(f"SELECT {ids}, m AS cleaned FROM p4"))

@@ -30,7 +30,8 @@ class Blocks:
     """Block layout: ``side`` pixels owned per block and axis, ``halo`` pixels copied on each side."""
 
     def __init__(self, halo: int, side: int = SIDE):
-        self.halo, self.side = halo, max(side, halo)
+        self.halo = halo
+        self.side = max(SIDE, 4 * halo) if side == SIDE else max(side, halo)
 
     def open(self, px: DataFrame) -> DataFrame:
         s, r = F.lit(self.side), self.halo

@@ -69,6 +69,28 @@ def box(px: DataFrame, outs: Mapping[str, Column | str], r: int, by: By = _FRAME
     return blocked(px, r, body, side)
 
 
+def box_by(px: DataFrame, outs: Mapping[str, Column | str], radius: Column, rmax: int, by: By = _FRAME,
+           side: int = SIDE) -> DataFrame:
+    """Box mean with a radius per row (1..rmax), constant along each image: one running total serves every radius."""
+    def body(df):
+        df = _named(df.withColumn("_rad", radius), outs)
+        for axis in (X, Y):
+            df, win = pad(df, axis, rmax), line(axis, by)
+            run = win.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            df = df.withColumns({n: F.sum(n).over(run) for n in outs})
+
+            def pick(n):
+                out = None
+                for r in range(1, rmax + 1):
+                    v = F.lead(n, r).over(win) - F.coalesce(F.lag(n, r + 1).over(win), F.lit(0))
+                    out = F.when(F.col("_rad") == r, v) if out is None else out.when(F.col("_rad") == r, v)
+                return out
+            df = unpad(df.withColumns({n: pick(n) for n in outs}), axis)
+        area = (2 * F.col("_rad") + 1) * (2 * F.col("_rad") + 1)
+        return df.withColumns({n: F.col(n) / area for n in outs}).drop("_rad")
+    return blocked(px, rmax, body, side)
+
+
 def local_std(px: DataFrame, v: str, k: int = 7, out: str = "std", by: By = _FRAME, side: int = SIDE) -> DataFrame:
     """Square root of E[v²] − E[v]² in a k×k window, never negative."""
     n, one, two = float(k * k), f"_{out}1", f"_{out}2"
