@@ -12,6 +12,7 @@ from sharpfleet.operators import evidence as ev
 from sharpfleet.operators import focus as fo
 from sharpfleet.operators import pyramid as py
 from sharpfleet.operators import stencil as st
+from sharpfleet.runtime import shared
 from sharpfleet.operators.grid import BLK, FRAME, SIDE, STACK, X, Y, attach, blocked, keys
 
 RGB = ("b", "g", "r")
@@ -205,7 +206,7 @@ def fuse_perband(px: DataFrame, levels: int | None = None, depth: int = py.CAP,
     if usable:
         px = px.withColumn(usable, F.col(usable).cast("double"))
     p = py.pyramid(px.select(STACK, FRAME, Y, X, "h", "w", *RGB, *lows), RGB, lows, levels, side=side, depth=depth)
-    w = perband_weights(p, usable=usable, boundary=boundary, side=side, **kw)
+    w = shared(perband_weights(p, usable=usable, boundary=boundary, side=side, **kw))
     mix = lambda df: df.groupBy(STACK, "levels", "level", Y, X, "h", "w").agg(*[F.sum(F.col("wt") * F.col(c)).alias(c) for c in RGB])
     last = w.filter("level = levels - 1").select(STACK, FRAME, Y, X, "h", "w", "wt")
     low = py.pyr_down(last, ["wt"], side=side).select(STACK, FRAME, Y, X, F.greatest("wt", F.lit(0.0)).alias("wt"))

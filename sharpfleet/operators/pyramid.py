@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sharpfleet.operators import stencil as st
+from sharpfleet.runtime import cut, shared
 from sharpfleet.operators.grid import FRAME, SIDE, STACK, X, Y, blocked, line, size_of
 
 TAPS = [0.0625, 0.25, 0.375, 0.25, 0.0625]
@@ -65,25 +66,28 @@ def pyr_up(px: DataFrame, cols: Sequence[str], th: Column, tw: Column, by=(FRAME
 
 
 def _split(df: DataFrame, cols: Sequence[str], lows: Sequence[str], by, side: int) -> DataFrame:
-    """Adds <c>_low for ``cols`` and ``lows`` and <c>_det = c − expand(low) for ``cols``."""
+    """Adds <c>_low for all columns and turns ``cols`` into c − expand(low) below the base level."""
     def body(d):
-        d = st.separable(d, {f"{c}_low": c for c in (*cols, *lows)}, TAPS, by)
-        d = d.withColumns({f"_{c}_up": F.col(f"{c}_low") for c in cols})
+        for axis in (X, Y):
+            src = (lambda c: c) if axis == X else (lambda c: f"{c}_low")
+            d = d.withColumns({
+                f"{c}_low": sum(F.lit(t) * st.neighbour(src(c), k - 2, axis, by) for k, t in enumerate(TAPS))
+                for c in (*cols, *lows)})
         for axis in (X, Y):
             win, even, new = line(axis, by), F.col(axis) % 2 == 0, {}
             for c in cols:
-                n = f"_{c}_up"
+                n = f"{c}_low" if axis == X else f"_{c}_up"
                 back2, back1 = F.lag(n, 2).over(win), F.lag(n, 1).over(win)
                 next2 = F.coalesce(F.lead(n, 2).over(win), F.col(n))
                 next1 = F.coalesce(F.lead(n, 1).over(win), back1)
-                first = F.col(axis) == 0
-                last_odd = F.col(axis) + 1 >= size_of(axis)
-                up_even = (F.when(first, next2).otherwise(back2) + 6 * F.col(n)
+                up_even = (F.when(F.col(axis) == 0, next2).otherwise(back2) + 6 * F.col(n)
                            + F.when(F.col(axis) + 2 >= size_of(axis), F.col(n)).otherwise(next2)) / 8
-                up_odd = (back1 + F.when(last_odd, back1).otherwise(next1)) / 2
-                new[n] = F.when(even, up_even).otherwise(up_odd)
-            d = d.withColumns(new)
-        return d.withColumns({f"{c}_det": F.col(c) - F.col(f"_{c}_up") for c in cols}).drop(*[f"_{c}_up" for c in cols])
+                up_odd = (back1 + F.when(F.col(axis) + 1 >= size_of(axis), back1).otherwise(next1)) / 2
+                up = F.when(even, up_even).otherwise(up_odd)
+                new[f"_{c}_up" if axis == X else c] = up if axis == X else F.when(F.col("level") < F.col("levels"), F.col(c) - up).otherwise(F.col(c))
+            if new:
+                d = d.withColumns(new)
+        return d
     return blocked(df, 4, body, side)
 
 
@@ -95,31 +99,30 @@ def pyramid(px: DataFrame, details: Sequence[str], lows: Sequence[str] = (), lev
     below the base and the low-pass image at the base, ``lows`` the low-pass image at every level.
     ``depth`` bounds the number of levels planned when the largest image is known to be small.
     """
-    g = px.withColumns({c: F.col(c).cast("double") for c in (*details, *lows)})
-    g = g.withColumn("levels", auto_levels("h", "w", levels)).withColumn("level", F.lit(0))
-    every = [c for c in g.columns]
-    parts = []
-    top = min(CAP, levels or CAP, depth or CAP)
-    for _ in range(top):
-        base = g.filter("level = levels")
-        s = _split(g.filter("level < levels"), details, lows, by, side)
-        parts.append(base.select(*every))
-        parts.append(s.select(*[F.col(f"{c}_det").alias(c) if c in details else F.col(c) for c in every]))
-        nxt = s.select(*[F.col(f"{c}_low").alias(c) if c in (*details, *lows) else F.col(c) for c in every])
-        g = halve(nxt).withColumn("level", F.col("level") + 1)
-    parts.append(g.filter("level = levels").select(*every))
-    out = parts[1]
-    for p in parts[2:]:
-        out = out.unionByName(p)
-    return out
+    every = [STACK, *by, Y, X, "h", "w", *details, *lows]
+    g = px.select(*[F.col(c).cast("double").alias(c) if c in (*details, *lows) else F.col(c) for c in every],
+                  F.lit(0).alias("level"), auto_levels("h", "w", levels).alias("levels"))
+    every += ["level", "levels"]
+    half = lambda c: F.floor(F.col(c) / 2).cast("int")
+    out = None
+    for _ in range(min(CAP, levels or CAP, depth or CAP)):
+        s = shared(_split(g, details, lows, by, side))
+        part = s.select(*every)
+        out = part if out is None else out.unionByName(part)
+        even = s.filter((F.col(Y) % 2 == 0) & (F.col(X) % 2 == 0) & (F.col("level") < F.col("levels")))
+        g = even.select(
+            STACK, *by, half(Y).alias(Y), half(X).alias(X), F.floor((F.col("h") + 1) / 2).cast("int").alias("h"),
+            F.floor((F.col("w") + 1) / 2).cast("int").alias("w"), *[F.col(f"{c}_low").alias(c) for c in (*details, *lows)],
+            (F.col("level") + 1).alias("level"), "levels")
+    return out.unionByName(g.select(*every))
 
 
 def collapse(bands: DataFrame, cols: Sequence[str], by=(), side: int = SIDE, depth: int = CAP) -> DataFrame:
     """Sum of all bands on the finest grid. ``bands`` has level, levels, y, x, h, w and one row per pixel and level."""
     size = F.struct("h", "w")
-    full = bands.filter("level = 0").groupBy(STACK, *by).agg(F.max(size).alias("_full"))
     keep = [STACK, *by, "levels", "level", Y, X, "h", "w"]
-    bands = bands.select(*keep, *cols)
+    bands = cut(bands.select(*keep, *cols))  # one image per stack: small next to the frames
+    full = bands.filter("level = 0").groupBy(STACK, *by).agg(F.max(size).alias("_full"))
 
     def size_at(level: Column, axis: str) -> Column:
         scale = F.pow(F.lit(2.0), level)
