@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sharpfleet.functions.columns import col, solve2, solve3, truncate_u8
 from sharpfleet.functions.quantiles import exact_quantiles
 from sharpfleet.operators.grid import FRAME, STACK, X, Y, attach
+from sharpfleet.runtime import cut
 
 RGB = ("b", "g", "r")
 
@@ -130,11 +131,12 @@ def fit_similarity(df: DataFrame, by: Sequence[str], cx: float, cy: float, weigh
         s, tx, ty = solve3([["_uu", "_ux", "_uy"], ["_ux", "_x", zero], ["_uy", zero, "_y"]], ["_ud", "_xd", "_yd"])
         fit = g.filter(F.col("n") >= minimum).select(*by, s.alias("scale"), tx.alias("tx"), ty.alias("ty"), "n")
         if k + 1 < passes:
+            fit = cut(fit)  # one row per key
             d = attach(d.select(*base), fit.select(*by, "scale", "tx", "ty"), by)
             d = d.withColumn("_res", F.abs(u * F.col("scale") + kx * F.col("tx") + ky * F.col("ty") - v)).drop("scale", "tx", "ty")
-            med = exact_quantiles(d, by, "_res", {"_med": 0.5})
-            cut = F.greatest(2.0 * F.col("_med"), F.lit(1e-6))
-            d = attach(d, med, by).withColumn("_w", F.col("_w0") * F.least(F.lit(1.0), cut / F.greatest("_res", F.lit(1e-9))))
+            med = cut(exact_quantiles(d, by, "_res", {"_med": 0.5}))
+            limit = F.greatest(2.0 * F.col("_med"), F.lit(1e-6))
+            d = attach(d, med, by).withColumn("_w", F.col("_w0") * F.least(F.lit(1.0), limit / F.greatest("_res", F.lit(1e-9))))
     return fit
 
 
