@@ -176,7 +176,7 @@ def prop(s, f):
     return rk.propagate(m, ["stack_id"], ["mx", "my"], "weight", PROP, m).select(*KEY, r6("mx", "mx"), r6("my", "my"), F.col("trusted").cast("int").alias("trusted"))
 
 
-PROP = 230.0
+PROP = 142.0
 add("W13_propagate", prop, Q().measure().add("sm", f"SELECT {key}, {SUMS}, sum(score) AS wt FROM measure GROUP BY ALL").add("tr", TR).add("t2", f"SELECT tr.*, wt FROM tr JOIN sm USING ({key})")
     .add("pr", f"SELECT a.stack_id, a.frame, b.frame AS f, b.mx, b.my FROM t2 a JOIN t2 b ON b.stack_id=a.stack_id AND b.wt >= {PROP} QUALIFY row_number() OVER (PARTITION BY a.stack_id, a.frame ORDER BY abs(b.frame-a.frame), b.frame) <= 4")
     .add("g", f"SELECT {key}, max(mx) FILTER (f = frame) AS ox, max(my) FILTER (f = frame) AS oy, count(*) AS n, regr_slope(mx, f)*any_value(frame) + regr_intercept(mx, f) AS lx, regr_slope(my, f)*any_value(frame) + regr_intercept(my, f) AS ly FROM pr GROUP BY stack_id, frame")

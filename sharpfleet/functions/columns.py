@@ -87,3 +87,9 @@ def homogeneous(m) -> Column:
     """Six or nine matrix entries to nine."""
     m = col(m)
     return F.when(F.size(m) == 6, F.concat(m, F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0)))).otherwise(m)
+
+
+def safe_corr(a, b) -> Column:
+    """Correlation aggregate that is NULL where one side does not vary."""
+    spread = F.stddev_pop(col(a)) * F.stddev_pop(col(b))
+    return F.covar_pop(col(a), col(b)) / F.when(spread > 1e-12, spread)

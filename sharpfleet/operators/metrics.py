@@ -8,7 +8,7 @@ from typing import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sharpfleet.functions.columns import col, first_max
+from sharpfleet.functions.columns import col, first_max, safe_corr
 from sharpfleet.functions.quantiles import exact_quantiles
 from sharpfleet.operators import stats as sa
 from sharpfleet.operators import stencil as st
@@ -218,7 +218,7 @@ def spearman(rows: DataFrame, by: Sequence[str], a: str, b: str) -> DataFrame:
         w = Window.partitionBy(*by)
         return F.rank().over(w.orderBy(c)) + (F.count("*").over(Window.partitionBy(*by, c)) - 1) / 2.0
     d = rows.withColumns({"_ra": rank(a), "_rb": rank(b)})
-    return d.groupBy(*by).agg(F.corr("_ra", "_rb").alias("spearman"), F.count("*").alias("n"))
+    return d.groupBy(*by).agg(safe_corr("_ra", "_rb").alias("spearman"), F.count("*").alias("n"))
 
 
 def z_statistics(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:

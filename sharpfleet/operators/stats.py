@@ -7,7 +7,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sharpfleet.functions.columns import col, solve2, solve3, truncate_u8
+from sharpfleet.functions.columns import col, safe_corr, solve2, solve3, truncate_u8
 from sharpfleet.functions.quantiles import exact_quantiles
 from sharpfleet.operators.grid import FRAME, STACK, X, Y, attach
 from sharpfleet.runtime import cut
@@ -145,7 +145,7 @@ def inverse_depth(df: DataFrame, by: Sequence[str], bin_col: str, flat: Column,
     c = coefficient
     g = df.groupBy(*by, bin_col).agg(F.sum(weight * c * (displacement - flat)).alias("_n"), F.sum(weight * c * c).alias("_d"))
     g = g.withColumn("raw", F.col("_n") / F.when(F.col("_d") > 1e-12, F.col("_d")))
-    s = g.groupBy(*by).agg(F.avg("raw").alias("_m"), F.stddev_pop("raw").alias("_s"), F.corr("raw", F.col(bin_col).cast("double")).alias("_r"))
+    s = g.groupBy(*by).agg(F.avg("raw").alias("_m"), F.stddev_pop("raw").alias("_s"), safe_corr("raw", F.col(bin_col).cast("double")).alias("_r"))
     g = g.join(s, list(by))
     sign = F.when(F.col("_r") < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
     return g.select(*by, bin_col, (sign * (F.col("raw") - F.col("_m")) / F.when(F.col("_s") > 1e-9, F.col("_s"))).alias("inverse_depth"))
