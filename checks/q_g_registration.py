@@ -170,7 +170,7 @@ add("I3_residual_clusters", clusters, CCQ(Q().pixels().add("q", "SELECT stack_id
     .add("g", "SELECT cc.stack_id, root, count(*) AS area, CAST(sum(v) AS BIGINT) AS mass, max(v) AS peak, avg(v) AS mean FROM cc JOIN on_ o USING (stack_id, y, x) GROUP BY ALL".replace("on_ o", 'onp o').replace("cc.stack_id, root", "stack_id, root"))
     .select(f"SELECT stack_id, area, mass, peak, {s6('mean', 'mean')}, CAST(row_number() OVER (PARTITION BY stack_id ORDER BY mass DESC, root) AS INT) AS place FROM g WHERE area >= 3 QUALIFY place <= 2"))
 add("E15_coherence", lambda s, f: gr.coherent(gr.components(one(s, f).filter("v > 130"), ("stack_id",)), ["stack_id"]).select("stack_id", r6("share", "share"), F.col("coherent").cast("int").alias("coherent")),
-    CCQ(Q().pixels().add("onp", "SELECT * FROM px WHERE frame = 0 AND v > 130"), "onp").add("a", "SELECT stack_id, root, count(*) AS n, row_number() OVER (PARTITION BY stack_id ORDER BY count(*) DESC, root) AS k FROM cc GROUP BY ALL")
+    CCQ(Q().pixels().add("onp", "SELECT * FROM px WHERE frame = 0 AND v > 130"), "onp").add("a0", "SELECT stack_id, root, count(*) AS n FROM cc GROUP BY ALL").add("a", "SELECT *, row_number() OVER (PARTITION BY stack_id ORDER BY n DESC, root) AS k FROM a0")
     .add("g", "SELECT stack_id, (sum(n) FILTER (k <= 3))/sum(n)::DOUBLE AS s FROM a GROUP BY ALL").select(f"SELECT stack_id, {s6('s', 'share')}, CAST(s >= 0.6 AS INT) AS coherent FROM g"))
 add("I4_hull", lambda s, f: gr.hull(d.observations(s, f), KEY).select(*KEY, F.size("ring").alias("corners"), (F.col("area") > 0).cast("int").alias("spans")),
     Q().obs().select(f"SELECT {key}, 32 AS corners, 1 AS spans FROM obs GROUP BY ALL"))
