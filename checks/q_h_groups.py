@@ -276,9 +276,9 @@ add("V16_satellites", lambda s, f: ow.satellites(m01(s, f, 0), m01(s, f, 1), 0.4
     Q().pixels().masks().add("a", "SELECT * FROM masks WHERE frame = 0").add("b", "SELECT * FROM masks WHERE frame = 1").add("sa", "SELECT stack_id, mask_id, count(*) AS n FROM a GROUP BY ALL").add("sb", "SELECT stack_id, mask_id, count(*) AS n FROM b GROUP BY ALL")
     .add("j", f"SELECT stack_id, a.mask_id AS mask_a, b.mask_id AS mask_b, count(*) AS n FROM a JOIN b USING ({pxs}) GROUP BY ALL").add("k", "SELECT j.stack_id, mask_a, mask_b, j.n/(sa.n+sb.n-j.n)::DOUBLE AS iou, j.n/sa.n::DOUBLE AS ain FROM j JOIN sa ON sa.stack_id=j.stack_id AND sa.mask_id=mask_a JOIN sb ON sb.stack_id=j.stack_id AND sb.mask_id=mask_b")
     .select(f"SELECT stack_id, mask_a, mask_b, {s6('iou', 'iou')}, CAST(iou >= 0.4 OR ain >= 0.9 AS INT) AS supported FROM k QUALIFY row_number() OVER (PARTITION BY stack_id, mask_a ORDER BY round(iou, 9) DESC, mask_b) = 1"))
-c17 = lambda s, f: d.table(s, f, "lineitem").select(F.col("l_orderkey").alias("stack_id"), (F.col("l_partkey") * 8 + F.col("l_linenumber")).alias("mask_id"), (F.col("l_quantity") / 50).cast("double").alias("score"), (F.col("l_partkey") % 97 / 10.0).alias("after"), F.col("l_tax").cast("double").alias("tax"))
+c17 = lambda s, f: d.table(s, f, "lineitem").select(F.col("l_orderkey").alias("stack_id"), ((F.col("l_partkey") * 8 + F.col("l_linenumber")) * 64 + F.col("l_quantity").cast("int")).alias("mask_id"), (F.col("l_quantity") / 50).cast("double").alias("score"), (F.col("l_partkey") % 97 / 10.0).alias("after"), F.col("l_tax").cast("double").alias("tax"))
 add("V17_licensed_candidate", lambda s, f: ow.licensed_candidate(c17(s, f), (F.col("score") > 0.3) & (F.col("tax") < 0.07)).select("stack_id", "mask_id", "after"),
-    "WITH t AS (SELECT l_orderkey AS stack_id, l_partkey*8+l_linenumber AS mask_id, (l_partkey % 97)/10.0::DOUBLE AS after, CAST(l_quantity AS DOUBLE)/50 AS score, CAST(l_tax AS DOUBLE) AS tax FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_partkey*8+l_linenumber) <= 4), b AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY stack_id ORDER BY after, mask_id) = 1) SELECT stack_id, mask_id, after FROM b WHERE score > 0.3 AND tax < 0.07")
+    "WITH t AS (SELECT l_orderkey AS stack_id, (l_partkey*8+l_linenumber)*64+CAST(l_quantity AS INT) AS mask_id, (l_partkey % 97)/10.0::DOUBLE AS after, CAST(l_quantity AS DOUBLE)/50 AS score, CAST(l_tax AS DOUBLE) AS tax FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, (l_partkey*8+l_linenumber)*64+CAST(l_quantity AS INT)) <= 4), b AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY stack_id ORDER BY after, mask_id) = 1) SELECT stack_id, mask_id, after FROM b WHERE score > 0.3 AND tax < 0.07")
 add("V18_stable_correction", lambda s, f: ow.stable_correction(px(s, f).withColumn("delta", (F.col("v") - 110).cast("double"))).select(*PX, r6("retained", "retained"), F.col("stable").cast("int").alias("stable"), r6("spread", "spread")),
     Q().pixels().select(f"SELECT {pxs}, {s6('CASE WHEN min(v) > 110 OR max(v) < 110 THEN sign(avg(v-110))*min(abs(v-110)) ELSE 0 END', 'retained')}, CAST(min(v) > 110 OR max(v) < 110 AS INT) AS stable, {s6('stddev_pop(v-110)', 'spread')} FROM px GROUP BY ALL"))
 

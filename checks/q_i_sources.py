@@ -12,8 +12,8 @@ from sharpfleet.sources import derived as d
 from sharpfleet.sources import images as im
 from sharpfleet.sources import manifests as mf
 
-paths = lambda s, f: d.table(s, f, "documents").select(F.concat(F.lit("/data/"), "source", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 3, "0"), F.lit("_"), F.substring(F.lit("ABFX"), (F.col("doc_id") % 4 + 1).cast("int"), F.lit(1)), F.lit("."), F.element_at(F.array(*[F.lit(e) for e in ("png", "JPG", "txt", "tiff", "webp")]), (F.col("n_chars") % 5 + 1).cast("int"))).alias("path"), "n_chars")
-PATHS = """SELECT '/data/' || source || '/' || CASE WHEN doc_id < 100 THEN lpad(CAST(doc_id AS VARCHAR), 3, '0') ELSE substr(CAST(doc_id AS VARCHAR), 1, 3) END || '_' || substr('ABFX', CAST(doc_id % 4 + 1 AS INT), 1) || '.' || ['png','JPG','txt','tiff','webp'][CAST(n_chars % 5 + 1 AS INT)] AS path, n_chars FROM documents"""
+paths = lambda s, f: d.table(s, f, "documents").select(F.concat(F.lit("/data/"), "source", F.lit("/"), F.lpad(F.floor(F.col("doc_id") / 4).cast("string"), 3, "0"), F.lit("_"), F.substring(F.lit("ABFX"), (F.col("doc_id") % 4 + 1).cast("int"), F.lit(1)), F.lit("."), F.element_at(F.array(*[F.lit(e) for e in ("png", "JPG", "txt", "tiff", "webp")]), (F.col("n_chars") % 5 + 1).cast("int"))).alias("path"), "n_chars")
+PATHS = """SELECT '/data/' || source || '/' || lpad(CAST(doc_id // 4 AS VARCHAR), 3, '0') || '_' || substr('ABFX', CAST(doc_id % 4 + 1 AS INT), 1) || '.' || ['png','JPG','txt','tiff','webp'][CAST(n_chars % 5 + 1 AS INT)] AS path, n_chars FROM documents"""
 add("S1_expand_paths", lambda s, f: im.keep_images(paths(s, f)).select("path"), f"SELECT DISTINCT path FROM ({PATHS}) WHERE lower(regexp_extract(path, '\\.([^./]+)$', 1)) IN ('jpg','jpeg','png','tif','tiff','bmp','webp')")
 add("S2_frame_numbers", lambda s, f: im.number_frames(im.with_folder(im.keep_images(paths(s, f)))).select("path", "folder", "name", "frame"),
     f"SELECT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, regexp_extract(path, '([^/]*)$', 1) AS name, CAST(row_number() OVER (PARTITION BY regexp_extract(path, '^(.*)/[^/]*$', 1) ORDER BY path) - 1 AS INT) AS frame FROM (SELECT DISTINCT path FROM ({PATHS}) WHERE lower(regexp_extract(path, '\\.([^./]+)$', 1)) IN ('jpg','jpeg','png','tif','tiff','bmp','webp'))")
