@@ -12,15 +12,15 @@ from sharpfleet.sources import derived as d
 
 NCC = lambda q, src, reach, region: q.add("sh", f"SELECT a.stack_id, b.frame, {region} AS region, b.y-a.y AS dy, b.x-a.x AS dx, a.v AS a, b.v AS b FROM {src} a JOIN {src} b ON b.stack_id=a.stack_id AND abs(b.y-a.y)<={reach} AND abs(b.x-a.x)<={reach} AND b.frame<>2 WHERE a.frame=2")\
     .add("sc", "SELECT stack_id, frame, region, dy, dx, count(*) AS n, round((count(*)*sum(a*b)-sum(a)*sum(b))/sqrt((count(*)*sum(a*a)-sum(a)*sum(a))::DOUBLE*(count(*)*sum(b*b)-sum(b)*sum(b))), 9) AS ncc FROM sh GROUP BY ALL")
-region = (F.floor(F.col("y") / 20) * 2 + F.floor(F.col("x") / 20)).cast("int")
+region = lambda: (F.floor(F.col("y") / 20) * 2 + F.floor(F.col("x") / 20)).cast("int")
 RSQL = "CAST((a.y//20)*2 + a.x//20 AS INT)"
-add("J12_shift_search", lambda s, f: rg.shift_scores(px(s, f, 5), 2, 1, region, side=20).withColumn("ncc", F.round("ncc", 6)),
+add("J12_shift_search", lambda s, f: rg.shift_scores(px(s, f, 5), 2, 1, region(), side=20).withColumn("ncc", F.round("ncc", 6)),
     NCC(Q().pixels(5), "px", 1, RSQL).select("SELECT stack_id, frame, region, CAST(dy AS INT) AS dy, CAST(dx AS INT) AS dx, n, round(ncc, 6) + 0.0 AS ncc FROM sc"))
 BEST = "SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY stack_id, frame, region ORDER BY ncc DESC, dy, dx) = 1"
 PAR = lambda l, r: f"CASE WHEN {l}.ncc IS NULL OR {r}.ncc IS NULL OR abs({l}.ncc-2*b.ncc+{r}.ncc) <= 1e-9 THEN 0 ELSE greatest(-0.5, least(0.5, 0.5*({l}.ncc-{r}.ncc)/({l}.ncc-2*b.ncc+{r}.ncc))) END"
 nb = lambda n, oy, ox: f"LEFT JOIN sc {n} ON {n}.stack_id=b.stack_id AND {n}.frame=b.frame AND {n}.region=b.region AND {n}.dy=b.dy+({oy}) AND {n}.dx=b.dx+({ox})"
 TRANS = f"SELECT b.stack_id, b.frame, b.region, b.dx + {PAR('l', 'r')} AS dx, b.dy + {PAR('u', 'd')} AS dy, b.ncc AS response FROM bs b {nb('l', 0, -1)} {nb('r', 0, 1)} {nb('u', -1, 0)} {nb('d', 1, 0)}"
-add("G1_translation", lambda s, f: rg.translation(rg.shift_scores(px(s, f, 5), 2, 1, region), 1.2).select(*KEY, "region", r6("dx", "dx"), r6("dy", "dy"), r6("response", "response")),
+add("G1_translation", lambda s, f: rg.translation(rg.shift_scores(px(s, f, 5), 2, 1, region()), 1.2).select(*KEY, "region", r6("dx", "dx"), r6("dy", "dy"), r6("response", "response")),
     NCC(Q().pixels(5), "px", 1, RSQL).add("bs", BEST).add("t", TRANS).select(f"SELECT {key}, region, {s6('CASE WHEN sqrt(dx*dx+dy*dy) <= 1.2 THEN dx END', 'dx')}, {s6('CASE WHEN sqrt(dx*dx+dy*dy) <= 1.2 THEN dy END', 'dy')}, {s6('response', 'response')} FROM t"))
 
 

@@ -7,6 +7,8 @@ from typing import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sharpfleet.operators.grid import attach
+
 _ACCURACY = 10_000
 _MARGIN = 0.001
 _SMALL = 8_192
@@ -17,7 +19,8 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping
 
     The built-in ``percentile`` keeps every distinct value of a key in one buffer. Here a bounded sketch
     first gives an interval around each wanted rank; only values inside it are kept, counted per value
-    with map-side aggregation, and ranked behind the exact number of values below the interval.
+    with map-side aggregation, and ranked behind the exact number of values below the interval. The kept
+    part is at most the margin's share of a large key, or a whole key of a few thousand rows.
     """
     by, names = list(by), list(probs)
     v = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
@@ -32,16 +35,13 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping
             F.when((F.col("_n") <= _SMALL) | F.lit(cuts[2 * i] == 0.0), F.col("_lo")).otherwise(F.element_at("_cuts", 2 * i + 1)).alias("lo"),
             F.when((F.col("_n") <= _SMALL) | F.lit(cuts[2 * i + 1] == 1.0), F.col("_hi")).otherwise(F.element_at("_cuts", 2 * i + 2)).alias("hi"),
         ) for i, n in enumerate(names)]))).select(*by, F.col("_w.name").alias("_name"), "_w.rank", "_w.lo", "_w.hi")
-    counts = v.groupBy(*by, "_v").agg(F.count("*").alias("_c"))
-    near = counts.join(sketch, by) if by else counts.crossJoin(F.broadcast(sketch))  # one sketch row per name without keys
     key = [*by, "_name", "rank"]
-    below = near.filter("_v < lo").groupBy(*key).agg(F.sum("_c").alias("_below"))
-    inside = near.filter("_v >= lo AND _v <= hi")
-    inside = inside.join(below, key, "left") if by else inside.join(F.broadcast(below), key, "left")
-    w = Window.partitionBy(*key).orderBy("_v")
-    before = F.coalesce(F.col("_below"), F.lit(0))
-    end = F.sum("_c").over(w) + before
-    inside = inside.withColumn("_end", end).withColumn("_start", F.col("_end") - F.col("_c"))
+    near = attach(v, sketch, by) if by else v.crossJoin(F.broadcast(sketch))  # one sketch row per name without keys
+    # values below the interval collapse into one NULL row, which sorts first and carries their count
+    inside = near.filter("_v <= hi").select(*key, F.when(F.col("_v") >= F.col("lo"), F.col("_v")).alias("_v"))
+    inside = inside.groupBy(*key, "_v").agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*key).orderBy(F.asc_nulls_first("_v"))
+    inside = inside.withColumn("_end", F.sum("_c").over(w)).withColumn("_start", F.col("_end") - F.col("_c"))
     lo_rank, hi_rank = F.floor("rank"), F.ceil("rank")
     hit = lambda k: F.max(F.when((F.col("_start") <= k) & (k < F.col("_end")), F.col("_v")))
     value_at = hit(lo_rank) + (hit(hi_rank) - hit(lo_rank)) * F.max(F.col("rank") - lo_rank)

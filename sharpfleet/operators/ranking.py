@@ -7,6 +7,7 @@ from typing import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sharpfleet.functions.columns import col, first_max
 from sharpfleet.functions.taps import gaussian_taps
@@ -131,7 +132,10 @@ def column_runs(px: DataFrame, mask: str) -> DataFrame:
     return px.withColumn("run", F.when(F.col(mask), F.col(Y) - F.coalesce(last_gap, F.lit(-1))).otherwise(F.lit(0)))
 
 
-@F.pandas_udf("struct<area:long,x0:int,x1:int,height:int>")
+_RECTANGLE = T.StructType([T.StructField("area", T.LongType()), *[T.StructField(n, T.IntegerType()) for n in ("x0", "x1", "height")]])
+
+
+@F.pandas_udf(_RECTANGLE)
 def _widest(rows: pd.Series) -> pd.DataFrame:
     out = []
     for bars in rows:

@@ -15,6 +15,10 @@ from sharpfleet.runtime import cut
 RGB = ("b", "g", "r")
 
 
+def weight_of(weight: Column | str | None) -> Column:
+    return F.lit(1.0) if weight is None else col(weight)
+
+
 def exposure_gains(px: DataFrame, channels: Sequence[str] = RGB) -> DataFrame:
     """Gain per (stack, frame, channel): median of the channel means over the frames, by the own mean."""
     means = px.groupBy(STACK, FRAME).agg(*[F.avg(c).alias(c) for c in channels])
@@ -48,7 +52,7 @@ def bin_of(v, lo: float, hi: float, bins: int) -> Column:
 
 
 def histogram(df: DataFrame, by: Sequence[str], v: Column | str, lo: float, hi: float, bins: int, weight: Column | str | None = None) -> DataFrame:
-    w = F.lit(1.0) if weight is None else col(weight)
+    w = weight_of(weight)
     d = df.withColumn("bin", bin_of(v, lo, hi, bins)).filter("bin IS NOT NULL")
     return d.groupBy(*by, "bin").agg(F.sum(w).alias("weight"))
 
@@ -87,9 +91,9 @@ def weighted_median(df: DataFrame, by: Sequence[str], v: str, w: str) -> DataFra
     return d.filter(F.col("_run") >= 0.5 * F.col("_all")).groupBy(*by).agg(F.min(v).alias("median"))
 
 
-def normal_translation(df: DataFrame, by: Sequence[str], weight: Column | str = F.lit(1.0), shift: str = "shift", ridge: float = 0.0) -> DataFrame:
+def normal_translation(df: DataFrame, by: Sequence[str], weight: Column | str | None = None, shift: str = "shift", ridge: float = 0.0) -> DataFrame:
     """Translation (mx, my) whose projections on the unit normals (nx, ny) best explain the shifts."""
-    w, nx, ny, s = col(weight), F.col("nx"), F.col("ny"), F.col(shift)
+    w, nx, ny, s = weight_of(weight), F.col("nx"), F.col("ny"), F.col(shift)
     d = df.groupBy(*by).agg(
         F.sum(w * nx * nx).alias("_a"), F.sum(w * nx * ny).alias("_b"), F.sum(w * ny * ny).alias("_c"),
         F.sum(w * nx * s).alias("_p"), F.sum(w * ny * s).alias("_q"), F.count("*").alias("n"), F.sum(w).alias("weight"))
@@ -101,13 +105,13 @@ def straight_line(df: DataFrame, by: Sequence[str], y: str, x: str) -> DataFrame
     return df.groupBy(*by).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.count("*").alias("n"))
 
 
-def line_through_origin(df: DataFrame, by: Sequence[str], y: Column | str, x: Column | str, weight: Column | str = F.lit(1.0)) -> DataFrame:
-    w, y, x = col(weight), col(y), col(x)
+def line_through_origin(df: DataFrame, by: Sequence[str], y: Column | str, x: Column | str, weight: Column | str | None = None) -> DataFrame:
+    w, y, x = weight_of(weight), col(y), col(x)
     num, den = F.sum(w * x * y), F.sum(w * x * x)
     return df.groupBy(*by).agg((num / F.when(den > 0, den)).alias("slope"))
 
 
-def fit_similarity(df: DataFrame, by: Sequence[str], cx: float, cy: float, weight: Column | str = F.lit(1.0),
+def fit_similarity(df: DataFrame, by: Sequence[str], cx: float, cy: float, weight: Column | str | None = None,
                    passes: int = 4, minimum: int = 8) -> DataFrame:
     """Scale and translation dx = s·(x−cx) + tx, dy = s·(y−cy) + ty by reweighted least squares.
 
@@ -117,7 +121,7 @@ def fit_similarity(df: DataFrame, by: Sequence[str], cx: float, cy: float, weigh
     """
     by = list(by)
     row = lambda u, d, kx, ky: F.struct(u.alias("u"), F.col(d).alias("d"), F.lit(kx).alias("kx"), F.lit(ky).alias("ky"))
-    d = df.withColumn("_w0", col(weight).cast("double"))
+    d = df.withColumn("_w0", weight_of(weight).cast("double"))
     d = d.select(*by, "_w0", F.xxhash64("x", "y", "dx", "dy").alias("_id"), F.explode(F.array(
         row(F.col("x") - cx, "dx", 1.0, 0.0), row(F.col("y") - cy, "dy", 0.0, 1.0))).alias("_r")).select(*by, "_w0", "_id", "_r.*")
     base, fit = d.columns, None
@@ -159,9 +163,9 @@ def quadrant_signature(df: DataFrame, by: Sequence[str], width: int) -> DataFram
     return g.filter("left IS NOT NULL AND right IS NOT NULL")
 
 
-def scalar_gain(df: DataFrame, by: Sequence[str], predicted: str, observed: str, weight: Column | str = F.lit(1.0), lo: float = 0.5, hi: float = 2.0) -> DataFrame:
+def scalar_gain(df: DataFrame, by: Sequence[str], predicted: str, observed: str, weight: Column | str | None = None, lo: float = 0.5, hi: float = 2.0) -> DataFrame:
     """Least-squares gain from predicted to observed, clipped; 1 without evidence."""
-    w, p, o = col(weight), F.col(predicted), F.col(observed)
+    w, p, o = weight_of(weight), F.col(predicted), F.col(observed)
     den = F.sum(w * p * p)
     gain = F.coalesce(F.sum(w * p * o) / F.when(den > 1e-9, den), F.lit(1.0))
     return df.groupBy(*by).agg(F.least(F.lit(hi), F.greatest(F.lit(lo), gain)).alias("gain"))
