@@ -12,7 +12,7 @@ from sharpfleet.operators.grid import FRAME, STACK, X, Y
 from sharpfleet.runtime import cut
 
 
-def connected(nodes: DataFrame, edges: DataFrame, by: Sequence[str], limit: int = 40) -> DataFrame:
+def connected(nodes: DataFrame, edges: DataFrame, by: Sequence[str]) -> DataFrame:
     """Smallest node id of every component: columns of ``by``, node, label.
 
     ``edges`` has a and b. Every round takes the smallest label among the neighbours and then the label of
@@ -22,7 +22,7 @@ def connected(nodes: DataFrame, edges: DataFrame, by: Sequence[str], limit: int
     e = edges.select(*by, F.col("a").alias("node"), F.col("b").alias("_o"))
     e = cut(e.unionByName(edges.select(*by, F.col("b").alias("node"), F.col("a").alias("_o"))).distinct())
     state = cut(nodes.select(*by, "node", F.col("node").alias("label")))
-    for _ in range(limit):
+    while True:
         seen = e.join(state.select(*by, F.col("node").alias("_o"), F.col("label").alias("_l")), [*by, "_o"])
         low = seen.groupBy(*by, "node").agg(F.min("_l").alias("_m"))
         step = state.join(low, [*by, "node"], "left").select(*by, "node", F.col("label").alias("_old"), F.least("label", F.coalesce("_m", "label")).alias("label"))
@@ -30,8 +30,7 @@ def connected(nodes: DataFrame, edges: DataFrame, by: Sequence[str], limit: int
         step = cut(step.join(jump, [*by, "label"]).select(*by, "node", "_old", F.least("label", "_j").alias("label")))
         state = step.select(*by, "node", "label")
         if step.filter("_old <> label").isEmpty():
-            break
-    return state
+            return state
 
 
 def components(mask: DataFrame, by: Sequence[str] = (STACK, FRAME), diagonal: bool = False) -> DataFrame:

@@ -195,15 +195,15 @@ def within(features: DataFrame, seeds: DataFrame, radius: float, by: Sequence[st
 def attach_chain(features: DataFrame, members: DataFrame, radius: float, by: Sequence[str] = (STACK,), rounds: int = 6) -> DataFrame:
     """Features reached from the members by steps shorter than ``radius``: a semi-join per round, until nothing is added.
 
-    A feature asks whether any member lies near, so no pair is kept: members are thinned to one list of
-    buckets, and only bucket pairs that cannot decide by distance alone compare points.
+    A feature only asks whether any member lies near, so no pair is kept. Members count once per position:
+    features sit on pixels, so a bucket of that side holds at most radius² different positions.
     """
     from sharpfleet.runtime import cut
     cell = lambda c: F.floor(F.col(c) / radius).cast("long")
     rest = cut(features.join(members.select(*by, "feature_id"), [*by, "feature_id"], "left_anti").withColumns({"_cy": cell("y"), "_cx": cell("x")}))
     found, front = members.select(*by, "feature_id", "x", "y"), members.select(*by, "feature_id", "x", "y")
     for _ in range(rounds):
-        probe = front.select(*by, F.col("x").alias("sx"), F.col("y").alias("sy"))
+        probe = front.select(*by, F.col("x").alias("sx"), F.col("y").alias("sy")).distinct()
         probe = probe.withColumn("_cy", F.explode(F.sequence(cell("sy") - 1, cell("sy") + 1))).withColumn("_cx", F.explode(F.sequence(cell("sx") - 1, cell("sx") + 1)))
         near = (F.col("r.x") - F.col("p.sx")) * (F.col("r.x") - F.col("p.sx")) + (F.col("r.y") - F.col("p.sy")) * (F.col("r.y") - F.col("p.sy")) < radius * radius
         on = [F.col(f"r.{c}") == F.col(f"p.{c}") for c in (*by, "_cy", "_cx")]
@@ -213,3 +213,11 @@ def attach_chain(features: DataFrame, members: DataFrame, radius: float, by: Seq
         found = found.unionByName(hit)
         front, rest = hit, rest.join(hit.select(*by, "feature_id"), [*by, "feature_id"], "left_anti")
     return found
+
+
+def grow(m: DataFrame, motion: DataFrame, members: DataFrame, radius: float, near: float = 3.0, rounds: int = 6) -> DataFrame:
+    """Coverage of a group: features whose shifts it predicts in every frame, reached from its members in short steps."""
+    j = attach(m, motion.select(STACK, FRAME, "mx", "my"), [STACK, FRAME])
+    off = F.abs(F.col("shift") - (F.col("mx") * F.col("nx") + F.col("my") * F.col("ny")))
+    fit = j.groupBy(STACK, "feature_id", "x", "y").agg(F.max(off).alias("_o")).filter(F.col("_o") < near).drop("_o")
+    return attach_chain(fit, members, radius, rounds=rounds)

@@ -217,3 +217,51 @@ def monotone_violations(flags: DataFrame, stages: Sequence[str], by: Sequence[st
     for a, b in zip(stages, stages[1:]):
         broken = broken | (F.col(b) & ~F.col(a))
     return flags.groupBy(*by).agg(F.count_if(broken).alias("violations"))
+
+
+def bin_memberships(binned: DataFrame, bins: int, guide: str, radius: int, eps: float = 1e-3, side: int = SIDE) -> DataFrame:
+    """Edge-aware share of every depth bin at every pixel, and the share left to the global map (bin −1).
+
+    ``binned``: one row per pixel with ``bin`` (NULL where none applies) and the guide value in 0..1; the bins are few.
+    """
+    from sharpfleet.operators.fusion import guided_filter
+    own = binned.withColumnRenamed("bin", "_own").withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    raw = F.coalesce((F.col("_own") == F.col("bin")).cast("double"), F.lit(0.0))
+    g = guided_filter(own, guide, raw, "_m", radius, eps, ("bin",), side)
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_m")))
+    w = Window.partitionBy(STACK, Y, X)
+    g = g.select(STACK, Y, X, "bin", share.alias("share")).withColumn("share", F.col("share") / F.greatest(F.sum("share").over(w), F.lit(1.0)))
+    rest = g.groupBy(STACK, Y, X).agg(F.lit(-1).alias("bin"), F.greatest(F.lit(0.0), 1 - F.sum("share")).alias("share"))
+    return g.unionByName(rest)
+
+
+def blur_rate(px: DataFrame, reference: int, peaks: DataFrame, rmax: int, piece: str = "piece", v: str = "v", side: int = SIDE) -> DataFrame:
+    """Disk radius per (piece, frame) that best turns the reference into the frame, and the rate Σ r·d / Σ d² per stack.
+
+    All radii come from one ladder pass; ``peaks``: stack_id, piece, peak.
+    """
+    def body(d):
+        pixel = Window.partitionBy(*keys(), Y, X)
+        d = d.withColumn("_ref", F.max(F.when(F.col(FRAME) == reference, F.col(v))).over(pixel).cast("double"))
+        return st.disk_ladder(d, {"_l": "_ref"}, list(range(1, rmax + 1)))
+    d = blocked(px, rmax, body, side).filter(F.col(FRAME) != reference)
+    err = lambda c: F.round(F.avg(F.abs(F.col(c) - F.col(v))), 9)
+    g = d.groupBy(STACK, piece, FRAME).agg(err("_ref").alias("_e0"), *[err(f"_l_r{r}").alias(f"_e{r}") for r in range(1, rmax + 1)])
+    best = F.array_min(F.array(*[F.struct(F.col(f"_e{r}").alias("mae"), F.lit(r).alias("radius")) for r in range(rmax + 1)]))
+    g = g.withColumn("_b", best).select(STACK, piece, FRAME, "_b.radius", "_b.mae")
+    return g.join(peaks, [STACK, piece]).withColumn("distance", F.abs(F.col(FRAME) - F.col("peak")))
+
+
+def rate_of(radii: DataFrame) -> DataFrame:
+    return sa.line_through_origin(radii, [STACK], F.col("radius").cast("double"), F.col("distance").cast("double")).withColumnRenamed("slope", "rate")
+
+
+def edge_offset(px: DataFrame, box: tuple[int, int, int, int], reference: int, v: str = "v") -> DataFrame:
+    """Horizontal shift of a box against the reference frame from its column means; ``box`` is y0, y1, x0, x1."""
+    from sharpfleet.operators.groups import match
+    y0, y1, x0, x1 = box
+    d = px.filter((F.col(Y) >= y0) & (F.col(Y) < y1) & (F.col(X) >= x0) & (F.col(X) < x1))
+    mean = d.groupBy(STACK, FRAME, X).agg(F.avg(v).alias("m"))
+    p = mean.groupBy(STACK, FRAME).agg(F.transform(F.sort_array(F.collect_list(F.struct(X, "m"))), lambda e: e["m"]).alias("profile"))  # x1 − x0 values
+    base = p.filter(F.col(FRAME) == reference).select(STACK, F.col("profile").alias("_base"))
+    return match(p.filter(F.col(FRAME) != reference).join(base, STACK), "_base", "profile", x1 - x0).select(STACK, FRAME, "shift", "score")

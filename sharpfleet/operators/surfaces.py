@@ -101,3 +101,33 @@ def occlusion_clause(pieces: DataFrame, silhouettes: DataFrame, rank: str = "ran
     front = silhouettes.groupBy(STACK, FRAME, Y, X).agg(F.min(rank).alias("_front"))
     j = pieces.join(front, [STACK, FRAME, Y, X], "left")
     return j.withColumn("refused", F.coalesce(F.col("_front") < F.col(rank), F.lit(False))).drop("_front")
+
+
+def stack_boundary(px: DataFrame, gray: str = "gray", sigmas: Sequence[float] = (0.0, 2.0, 4.0), k: int = 9, side: int = SIDE) -> DataFrame:
+    """Soft boundary map: gradients at several scales (largest over frames), density of winner changes, depth gradient."""
+    from sharpfleet.operators import focus as fo
+    from sharpfleet.operators import fusion as fu
+    reach = max([1] + [(int(round(s * 8 + 1)) | 1) // 2 + 1 for s in sigmas if s > 0])
+
+    def grads(d):
+        for i, s in enumerate(sigmas):
+            src = gray
+            if s > 0:
+                d, src = st.gaussian(d, {f"_s{i}": gray}, s), f"_s{i}"
+            d = st.gradient_magnitude(d, src, f"_g{i}")
+        return d
+    g = blocked(px, reach, grads, side).groupBy(STACK, Y, X, "h", "w").agg(*[F.max(f"_g{i}").alias(f"_g{i}") for i in range(len(sigmas))])
+    for i in range(len(sigmas)):
+        g = ev.robust_normalize(g, f"_g{i}", (STACK,), out=f"_g{i}")
+    win = fo.winner(fo.content_aware(px, gray, 8.0, k, "_e", side), "_e").withColumn("winner", F.col("winner").cast("double"))
+    win = win.join(px.filter(F.col(FRAME) == 0).select(STACK, Y, X, "h", "w"), [STACK, Y, X])
+
+    def change(d):
+        d = st.gradient_magnitude(d, "winner", "_c", by=())
+        return st.box(d, {"_c": (F.col("_c") > 0).cast("double")}, 4, ())
+    c = ev.robust_normalize(blocked(win, 5, change, side), "_c", (STACK,), out="_c").select(STACK, Y, X, "_c")
+    z = st.gradient_magnitude(fu.depth_from_focus(px, gray, side=side), "depth", "_z", by=(), side=side)
+    z = ev.robust_normalize(z, "_z", (STACK,), out="_z").select(STACK, Y, X, "_z")
+    edges = F.greatest(*[F.col(f"_g{i}") for i in range(len(sigmas))]) if len(sigmas) > 1 else F.col("_g0")
+    out = g.join(c, [STACK, Y, X]).join(z, [STACK, Y, X])
+    return out.select(STACK, Y, X, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 * edges + 0.25 * F.col("_c") + 0.4 * F.col("_z"))).alias("boundary"))
