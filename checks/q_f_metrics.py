@@ -151,8 +151,8 @@ add("Q14_audit_summary", audit, """WITH r AS (SELECT l_returnflag AS split, l_li
  count(*) FILTER (fired AND ad <= 0 AND qd <= 0) AS non_regressing, count(*) FILTER (iou = 0) AS zero_overlap, round(avg(iou), 6) AS mean_iou FROM r GROUP BY split""")
 add("Q15_leaderboard", lambda s, f: me.leaderboard(d.scores(s, f), ["stratum"], "method", "value").select("stratum", "method", "n", "place", r6("score", "score", 4)),
     Q().scores().add("g", "SELECT stratum, method, avg(value) AS score, count(*) AS n FROM scores GROUP BY ALL").select(f"SELECT stratum, method, n, CAST(row_number() OVER (PARTITION BY stratum ORDER BY score DESC, method) AS INT) AS place, {s6('score', 'score', 4)} FROM g"))
-add("Q16_method_disagreement", lambda s, f: me.method_disagreement(px(s, f, 5).filter("frame < 3"), "frame", "v", 3, side=16).select("stack_id", "method_a", "method_b", r6("heat", "heat")),
-    Q().pixels(5).add("pr", "SELECT a.stack_id, a.y, a.x, a.h, a.w, a.frame AS ma, b.frame AS mb, abs(a.v-b.v) AS e FROM px a JOIN px b ON b.stack_id=a.stack_id AND b.y=a.y AND b.x=a.x AND a.frame < b.frame WHERE b.frame < 3")
+add("Q16_method_disagreement", lambda s, f: me.method_disagreement(px(s, f, 5), "frame", "v", 3, side=16).select("stack_id", "method_a", "method_b", r6("heat", "heat")),
+    Q().pixels(5).add("pr", "SELECT a.stack_id, a.y, a.x, a.h, a.w, a.frame AS ma, b.frame AS mb, abs(a.v-b.v) AS e FROM px a JOIN px b ON b.stack_id=a.stack_id AND b.y=a.y AND b.x=a.x AND a.frame < b.frame")
     .box("bx", "pr", 3, {"e": "e"}, ("ma", "mb")).select(f"SELECT stack_id, ma AS method_a, mb AS method_b, {s6('max(e)', 'heat')} FROM bx GROUP BY ALL"))
 add("Q17_error_delta", lambda s, f: me.error_delta(single(s, f), "a", "b", "t").select(*PX, "outcome", r6("scaled", "scaled")),
     single_q().add("d", "SELECT *, abs(a-t)-abs(b-t) AS dl FROM sg").add("q", "SELECT stack_id, quantile_cont(abs(dl), 0.98) AS tp FROM d WHERE a <> b GROUP BY ALL")

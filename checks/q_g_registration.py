@@ -125,13 +125,13 @@ add("G16_override", overridden, Q().pixels().add("o", "SELECT *, CASE WHEN x >=
 
 def series(s, f):
     o = d.observations(s, f)
-    fits = o.groupBy(*KEY).agg(F.array(F.avg("dx"), F.avg("dy")).alias("delta"), F.sum("w").alias("weight")).filter("frame <> 5 OR stack_id <> 3")
+    fits = o.groupBy(*KEY).agg(F.array(F.avg("dx"), F.avg("dy")).alias("delta"), F.sum("w").alias("weight")).filter(F.col("delta")[0] > 0)  # no evidence elsewhere
     frames = o.select(*KEY).distinct()
-    return rg.motion_series(fits.filter("stack_id <> 7"), ["stack_id"], 2, frames, F.lit(0.5), 4).select(*KEY, "entry", r6("value", "value"))
+    return rg.motion_series(fits, ["stack_id"], 2, frames, F.lit(0.5), 4).select(*KEY, "entry", r6("value", "value"))
 
 
-add("G20_motion_series", series, Q().obs().add("f", f"SELECT {key}, avg(dx) AS dx, avg(dy) AS dy, sum(w) AS w FROM obs GROUP BY ALL").add("e", f"SELECT {key}, 0 AS entry, dx AS d, w FROM f UNION ALL SELECT {key}, 1, dy, w FROM f")
-    .add("s", "SELECT stack_id, entry, sum(w*(frame-4)*d)/sum(w*(frame-4)*(frame-4)) AS a FROM e WHERE stack_id <> 7 AND (frame <> 5 OR stack_id <> 3) GROUP BY ALL")
+add("G20_motion_series", series, Q().obs().add("f", f"SELECT {key}, avg(dx) AS dx, avg(dy) AS dy, sum(w) AS w FROM obs GROUP BY ALL").add("e", f"SELECT {key}, 0 AS entry, dx AS d, w, dx FROM f UNION ALL SELECT {key}, 1, dy, w, dx FROM f")
+    .add("s", "SELECT stack_id, entry, sum(w*(frame-4)*d)/sum(w*(frame-4)*(frame-4)) AS a FROM e WHERE dx > 0 GROUP BY ALL HAVING sum(w*(frame-4)*(frame-4)) > 0")
     .select(f"SELECT e.stack_id, e.frame, e.entry, {s6('coalesce(a*(e.frame-4), 0) + 0.5', 'value')} FROM e LEFT JOIN s ON s.stack_id=e.stack_id AND s.entry=e.entry"))
 
 

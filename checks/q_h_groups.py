@@ -60,7 +60,7 @@ add("E12_claims", lambda s, f: gp.claims(px(s, f).withColumn("support", F.col("v
 
 def unexpl(s, f):
     pts = meas(s, f).withColumns({"x": F.col("x") % 8, "y": F.col("y") % 8})
-    owned = px(s, f).filter("frame = 0 AND stack_id < 10").select(*PX, (F.col("v") / 128.0).alias("claim"), (F.col("v") % 2).alias("group_id"))
+    owned = px(s, f).filter("frame = 0").select(*PX, (F.col("v") / 128.0).alias("claim"), (F.col("v") % 2).alias("group_id"))
     motion = MOT(s, f).withColumn("group_id", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("mx", F.col("mx") + F.col("group_id"))
     return gp.unexplained(pts, owned, motion).select("stack_id", "feature_id", "frame")
 
