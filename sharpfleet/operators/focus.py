@@ -9,6 +9,7 @@ from sharpfleet.functions.columns import clip, dominance, first_max, parabola
 from sharpfleet.functions.quantiles import exact_quantiles
 from sharpfleet.operators import stencil as st
 from sharpfleet.operators.grid import BLK, FRAME, SIDE, STACK, X, Y, attach, blocked
+from sharpfleet.runtime import cut, shared
 
 PIXEL = [STACK, Y, X]
 METHODS = ("laplacian", "gradient", "tenengrad", "mod_laplacian")
@@ -114,8 +115,8 @@ def noise_sigma(px: DataFrame, v: str = "v", by=(FRAME,), side: int = SIDE, shar
         for axis in (X, Y):  # [1 -2 1] along both axes, edge pixels repeated
             df = st.conv1d(df, {"_resp": v if axis == X else "_resp"}, [1.0, -2.0, 1.0], axis, by, border="clamp")
         return st.gradient_magnitude(df, v, "_g", by=by)
-    df = blocked(px, 1, body, side).select(STACK, *by, "_g", F.abs("_resp").alias("_resp"), Y, X)
+    df = shared(blocked(px, 1, body, side).select(STACK, *by, "_g", F.abs("_resp").alias("_resp"), Y, X))
     edge = exact_quantiles(df, [STACK, *by], "_g", {"_cut": share})
-    calm = attach(df, edge, [STACK, *by]).filter("_g <= _cut")
+    calm = attach(df, cut(edge), [STACK, *by]).filter("_g <= _cut")  # one row per image
     med = exact_quantiles(calm, [STACK, *by], "_resp", {"_med": 0.5})
     return med.groupBy(STACK).agg(clip(F.min(F.col("_med") / scale), *bounds).alias("sigma"))

@@ -14,6 +14,7 @@ from sharpfleet.operators import resample as rs
 from sharpfleet.operators import stats as sa
 from sharpfleet.operators import stencil as st
 from sharpfleet.operators.grid import BLK, FRAME, SIDE, STACK, X, Y, attach, blocked, idiv, keys
+from sharpfleet.runtime import shared
 
 
 def shift_scores(px: DataFrame, reference: int, reach: int, region: Column, v: str = "v", side: int = SIDE) -> DataFrame:
@@ -136,7 +137,7 @@ def field_stretch(field: DataFrame, by: Sequence[str] = (FRAME,), share: float =
         return d
     d = blocked(field, 1, body, side)
     dev = F.greatest(F.abs(F.col("_sxx") - 1), F.abs("_sxy"), F.abs("_syx"), F.abs(F.col("_syy") - 1))
-    return exact_quantiles(d.withColumn("_dev", dev), [STACK, *by], "_dev", {"stretch": share})
+    return exact_quantiles(shared(d.select(STACK, *by, dev.alias("_dev"))), [STACK, *by], "_dev", {"stretch": share})
 
 
 def occlusion(disp: DataFrame, tolerance: float, top: int = 24, by: Sequence[str] = (FRAME,), side: int = SIDE) -> DataFrame:
