@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sharpfleet.llm.decontaminate import drop_leaked
 from sharpfleet.llm.lines import drop_lines
+from sharpfleet.llm.neardup import near_duplicates
+from sharpfleet.llm.packing import pack
 from sharpfleet.llm.quality import fit_documents, held_out, score_documents
 from sharpfleet.llm.store import Store
 
@@ -23,9 +26,30 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return drop_lines(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
+def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies the document of the smallest id."""
+    gone = near_duplicates(docs).filter("doc_id <> class_id").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no stretch of a benchmark item."""
+    return drop_leaked(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token ids, placed in sequences of 1024."""
+    import public_tokenizers
+
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 STAGES = [
     ("quality", good),
     ("lines", without_repeated_lines),
+    ("near_duplicates", one_of_each_class),
+    ("decontamination", without_benchmark),
+    ("packing", packed),
 ]
 
 

@@ -1,9 +1,12 @@
 """Queries of this subpackage by name, and the SQL of those that SQL can express."""
 
-from sharpfleet.llm import lines, quality
+from sharpfleet.llm import decontaminate, lines, neardup, packing, quality
 
 QUERIES = {
+    "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op4_pack": packing.op4_pack,
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_quality": quality.op9_quality,
+    "op10_near_duplicates": neardup.op10_near_duplicates,
 }
 SQL = {"op8_line_dedup": lines.OP8_SQL}

@@ -86,9 +86,9 @@ def shingles(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
     short = np.flatnonzero((n > 0) & (n < k))
     if len(short):
         rest = np.zeros(len(short), np.uint64)
-        for x, i in enumerate(short):
-            for value in w[offsets[i] : offsets[i + 1]]:
-                rest[x] = rest[x] * np.uint64(BASE) + value
+        for j in range(k - 1):
+            on = n[short] > j
+            rest[on] = rest[on] * np.uint64(BASE) + w[offsets[short[on]] + j]
         h, at = np.concatenate([h, mix(rest + np.uint64(k))]), np.concatenate([at, short])
         order = np.argsort(at, kind="stable")
         h, at = h[order], at[order]
@@ -96,12 +96,16 @@ def shingles(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def grams(c: np.ndarray, q: int) -> np.ndarray:
-    """Rolling hash of all q consecutive elements of ``c``."""
-    n = len(c) - q + 1
-    if n <= 0:
+    """Rolling hash of all q consecutive elements of ``c``, put together from hashes of 1, 2, 4, ... elements."""
+    if len(c) < q:
         return np.zeros(0, np.uint64)
-    h = np.zeros(n, np.uint64)
-    for j in range(q):
-        h *= np.uint64(BASE)
-        h += c[j : n + j].astype(np.uint64)
-    return mix(h)
+    part, size, out, done = c.astype(np.uint64), 1, None, 0
+    while True:
+        factor = np.uint64(pow(BASE, size, 1 << 64))
+        if q & size:
+            out = part.copy() if out is None else out[: len(part) - done] * factor + part[done:]
+            done += size
+            if done == q:
+                return mix(out[: len(c) - q + 1])
+        part = part[:-size] * factor + part[size:]
+        size *= 2
