@@ -108,7 +108,7 @@ def drop_lines(docs: DataFrame, least: int = 40, copies: int = 5, batches: int =
     kept = F.transform(
         F.filter(stripped, lambda x: ~((F.char_length(x["key"]) >= least) & F.array_contains(
             F.col("_go"), F.struct(F.xxhash64(x["key"]).alias("k1"), F.xxhash64(F.lit(7), x["key"]).alias("k2"))))), lambda x: x["line"])
-    out = docs.drop("n_lines", "n_dropped").join(goes, "doc_id", "left")
+    out = docs.drop("n_lines", "n_dropped").hint("merge").join(goes, "doc_id", "left")  # one plan at every size
     lines = F.when(F.col("_go").isNull(), F.split(F.coalesce("text", F.lit("")), "\n", -1)).otherwise(kept)
     out = out.withColumn("_kept", lines).withColumn("n_lines", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long"))
     out = out.withColumn("n_dropped", F.col("n_lines") - F.size("_kept")).withColumn("text", F.when(F.col("_go").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n")))
