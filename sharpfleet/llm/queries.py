@@ -1,10 +1,11 @@
 """Queries of this subpackage by name, and the SQL of those that SQL can express."""
 
-from sharpfleet.llm import decontaminate, lines, neardup, packing, quality
+from sharpfleet.llm import decontaminate, lines, neardup, packing, quality, winnow
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op4_pack": packing.op4_pack,
+    "op5_fingerprints": winnow.op5_fingerprints,
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_quality": quality.op9_quality,
     "op10_near_duplicates": neardup.op10_near_duplicates,
