@@ -1,6 +1,6 @@
 """Queries of this subpackage by name, and the SQL of those that SQL can express."""
 
-from sharpfleet.llm import decontaminate, extract, license, lines, neardup, packing, quality, toxicity, winnow
+from sharpfleet.llm import decontaminate, extract, license, lines, neardup, packing, quality, substrings, toxicity, winnow
 
 QUERIES = {
     "op1_html": extract.op1_html,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_pack": packing.op4_pack,
     "op5_fingerprints": winnow.op5_fingerprints,
     "op6_licenses": license.op6_licenses,
+    "op7_substrings": substrings.op7_substrings,
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_quality": quality.op9_quality,
     "op10_near_duplicates": neardup.op10_near_duplicates,
