@@ -119,39 +119,127 @@ def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, least: float, k:
     return tried.filter(F.col("same") >= least + doubt).select("a", "b").union(unsure.select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8, k: int = 5) -> DataFrame:
+def _whole_keys(batches, column: str):
+    """Frames that hold all rows of their keys, from batches sorted by the key."""
+    rest = []
+    for b in batches:
+        key = b[column].to_numpy()
+        cut = int(np.searchsorted(key == key[-1], True)) if len(key) else 0
+        if cut or rest and len(b) and rest[-1][column].iloc[-1] != key[0]:
+            yield pd.concat([*rest, b.iloc[:cut]])
+            rest = []
+        if len(b):
+            rest.append(b.iloc[cut:])
+    if rest:
+        yield pd.concat(rest)
+
+
+def _slices(key: np.ndarray):
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else []
+    return zip(at, [*at[1:], len(key)])
+
+
+def _candidates(batches, floor: float):
+    """Of each bucket those rows that agree, with a row of another label, in a share of ``floor`` of the signature. A pair counts in its first shared band only."""
+    for b in _whole_keys(batches, "key"):
+        sig = np.array(b["sig"].tolist(), np.int32).reshape(len(b), SIGNATURE)
+        label, slot, side, band = (b[c].to_numpy() for c in ("label", "slot", "side", "band"))
+        use = np.zeros(len(b), bool)
+        for x, y in _slices(b["key"].to_numpy()):
+            for r in range(x, y - 1):
+                to = np.flatnonzero((label[r + 1 : y] != label[r]) & ((side[r + 1 : y] == 0) | (slot[r + 1 : y] != slot[r]))) + r + 1
+                if len(to):
+                    same = sig[to] == sig[r]
+                    to, same = to[near := same.mean(1) >= floor], same[near]
+                    to = to[same.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band[r]]
+                    use[to] = True
+                    use[r] |= len(to) > 0
+        yield b.loc[use, ["key", "doc_id", "label", "slot", "side"]]
+
+
+def _spanning(batches, least: float, k: int):
+    """Links between rows of different labels in a bucket that are similar; only those that join what was apart so far."""
+    for b in _whole_keys(batches, "key"):
+        ids, label, slot, side = (b[c].to_numpy() for c in ("doc_id", "label", "slot", "side"))
+        texts, found = b["text"].tolist(), []
+        for x, y in _slices(b["key"].to_numpy()):
+            at, item, weight = weighted_shingles(texts[x:y], k)
+            times = weight.astype(np.int64)
+            nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            every = mix(np.repeat(item, times) + mix(nth.astype(np.uint64)))
+            ways = [(at, item)] if (times == 1).all() else [(at, item), (np.repeat(at, times), every)]
+            top: dict = {}
+
+            def root(v):
+                while top.setdefault(v, v) != v:
+                    v = top[v]
+                return v
+
+            for own, item in ways:  # shingle sets, then shingles with their counts as sets of (shingle, how many)
+                _, item = np.unique(item, return_inverse=True)
+                order = np.argsort(item, kind="stable")
+                begin = np.searchsorted(item[order], np.arange(item.max() + 2)) if len(item) else np.zeros(1, np.int64)
+                holders, size = own[order], np.bincount(own, minlength=y - x)
+                start = np.searchsorted(own, np.arange(y - x + 1))
+                for r in range(y - x - 1):
+                    mine = item[start[r] : start[r + 1]]
+                    if not len(mine):
+                        continue
+                    both = np.bincount(np.concatenate([holders[begin[m] : begin[m + 1]] for m in mine]), minlength=y - x)
+                    for t in np.flatnonzero(both >= least * (size + size[r] - both)):
+                        if t > r and (side[x] == 0 or slot[x + r] != slot[x + t]) and root(label[x + r]) != root(label[x + t]):
+                            top[root(label[x + r])] = root(label[x + t])
+                            found.append(sorted((ids[x + r], ids[x + t])))
+        yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+
+def near_duplicates(docs: DataFrame, least: float = 0.8, k: int = 5, block: int = 2000) -> DataFrame:
     """doc_id, copy_of (smallest id with exactly this text), class_id (smallest id of its class of near copies).
 
     Documents are linked when shingles of ``k`` words have a Jaccard similarity of ``least`` or more; classes are the
     connected components. Equal texts are one node. Nodes that agree in a band share a bucket. First every node is
     compared with two nodes of its bucket (the extremes of a random order), which joins groups of copies at a cost
-    linear in their size; then all pairs of a bucket that are still in different components are compared, so no link
-    between nodes that share a bucket is missed (at 0.8 a pair misses all 40 buckets once in 10^7). Texts without words are linked to
-    equal texts only; null counts as empty; rows without id are left out. Repeated ids count once.
+    linear in their size. Then buckets that still hold several components are searched for links between these: by
+    signature, then by the texts, inside tasks that hold ``block`` nodes of a bucket, or two blocks, and return only links
+    that join components. So no link between nodes that share a bucket is lost; at 0.8 a pair shares none of the 40
+    once in 10^7. Texts without words are linked to equal texts only; null counts as empty; rows without id are left
+    out; rows that repeat count once.
     """
     store = Store(docs.sparkSession)
     all_docs = store.put(with_signatures(docs, k), "all")
     first = all_docs.groupBy("t1", "t2").agg(F.min("doc_id").alias("copy_of"))
     copies = store.put(all_docs.select("doc_id", "t1", "t2").join(first, ["t1", "t2"]).select("doc_id", "copy_of").distinct(), "copies")
     nodes = copies.filter("doc_id = copy_of").select("doc_id")
-    reps = store.put(all_docs.filter("sig is not null").select("doc_id", "sig").join(nodes, "doc_id", "left_semi"), "reps")
+    reps = store.put(all_docs.filter("sig is not null").select("doc_id", "sig").hint("merge").join(nodes, "doc_id", "left_semi"), "reps")
     store.drop("all")
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * ROWS + 1, ROWS)))).alias("bucket")
-    rows = reps.select("doc_id", band)
+    values = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * ROWS + 1, ROWS)))
+    rows = reps.select("doc_id", F.posexplode(values).alias("band", "bucket"))
     order = F.struct(F.xxhash64("bucket", "doc_id").alias("o"), "doc_id")
     ends = rows.groupBy("bucket").agg(F.min(order)["doc_id"].alias("low"), F.max(order)["doc_id"].alias("high")).filter("low <> high")
-    held = store.put(rows.join(ends, "bucket"), "held")
+    held = store.put(rows.hint("merge").join(ends, "bucket"), "held")
     near = lambda c: held.filter(F.col("doc_id") != F.col(c)).select(F.least("doc_id", c).alias("a"), F.greatest("doc_id", c).alias("b"))
     pairs = store.put(near("low").union(near("high")).distinct(), "pairs")
     links = store.put(_links(pairs, reps, docs, least, k, store, "one"), "links")
     label = components(links, store, "first")
-    told = held.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("label", "doc_id").alias("label"))
+    told = held.hint("merge").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "band", "doc_id", F.coalesce("label", "doc_id").alias("label"))
     told = store.put(told, "told")
-    mixed = told.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("bucket")
-    mixed = store.put(told.join(mixed, "bucket", "left_semi"), "mixed")
-    other = mixed.select("bucket", F.col("doc_id").alias("b"), F.col("label").alias("lb"))
-    rest = mixed.join(other, "bucket").filter("label <> lb and doc_id < b").select(F.col("doc_id").alias("a"), "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = store.put(_links(store.put(rest, "rest"), reps, docs, least, k, store, "two"), "more")
+    store.drop("held", "pairs")
+    mixed = told.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).filter("x <> y")
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    mixed = told.hint("merge").join(mixed.select("bucket", blocks.alias("blocks")), "bucket").withColumn("slot", F.pmod(F.xxhash64(F.lit(3), F.col("doc_id")), "blocks").cast("int"))
+    mixed = mixed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = F.xxhash64("bucket", F.least("slot", "other"), F.greatest("slot", "other"))
+    mixed = store.put(mixed.select(key.alias("key"), "band", "doc_id", "label", "slot", F.when(F.col("slot") == F.col("other"), 0).otherwise(1).alias("side")), "mixed")
+    # side 0: a block with itself; 1: rows of two blocks (each row of the first meets those of the second)
+    store.drop("told")
+    floor = least - 3.5 * (least * (1 - least) / SIGNATURE) ** 0.5
+    signed = mixed.hint("merge").join(reps, "doc_id").repartition("key").sortWithinPartitions("key")
+    close = signed.mapInPandas(lambda it: _candidates(it, floor), "key long, doc_id long, label long, slot int, side int")
+    close = store.put(close, "close")
+    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    exact = text.hint("merge").join(close, "doc_id").repartition("key").sortWithinPartitions("key")
+    more = store.put(exact.mapInPandas(lambda it: _spanning(it, least, k), "a long, b long"), "more")
+    store.drop("mixed", "close", "reps")
     if not more.isEmpty():
         label = components(links.union(more), store, "second")
     return copies.join(label.select(F.col("node").alias("copy_of"), "label"), "copy_of", "left").select("doc_id", "copy_of", F.coalesce("label", "copy_of").alias("class_id"))
