@@ -186,8 +186,9 @@ def _spanning(batches, least: float, k: int):
                     if not len(mine):
                         continue
                     both = np.bincount(np.concatenate([holders[begin[m] : begin[m + 1]] for m in mine]), minlength=y - x)
-                    for t in np.flatnonzero(both >= least * (size + size[r] - both)):
-                        if t > r and (side[x] == 0 or slot[x + r] != slot[x + t]) and root(label[x + r]) != root(label[x + t]):
+                    alike = (both >= least * (size + size[r] - both))[r + 1 :] & (label[x + r + 1 : y] != label[x + r]) & ((side[x] == 0) | (slot[x + r + 1 : y] != slot[x + r]))
+                    for t in np.flatnonzero(alike) + r + 1:
+                        if root(label[x + r]) != root(label[x + t]):
                             top[root(label[x + r])] = root(label[x + t])
                             found.append(sorted((ids[x + r], ids[x + t])))
         yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
