@@ -10,6 +10,8 @@ from sharpfleet.sources import derived as d
 ID = ["stack_id", "frame", "y", "x"]
 ids = ", ".join(ID)
 px = lambda s, f, tiles=1: d.pixels(s, f, tiles)
+one_px = lambda s, f, tiles=1: d.frames_as_stacks(px(s, f, tiles))
+pair_px = lambda s, f, tiles=1: d.frame_pairs(px(s, f, tiles))
 
 
 def taps1(values):

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks.q_a_kernels import ID, ids, px
+from checks.q_a_kernels import ID, ids, one_px, pair_px, px
 from checks.q_b_focus import PX, energy_sql, pxs, winner_sql
 from checks.registry import Q, add, r6, s6
 from sharpfleet.functions.quantiles import exact_quantiles
@@ -92,14 +92,14 @@ add("W4_best_per_mask", lambda s, f: rk.best_per(cands(s, f), ["stack_id", "mask
 
 
 def nms(s, f):
-    m = d.masks(px(s, f)).filter("frame = 0")
+    m = d.masks(one_px(s, f))
     pairs = ma.overlaps(m, m, same=True).filter("iou > 0.55").select("stack_id", F.col("mask_a").alias("a"), F.col("mask_b").alias("b"))
     c = m.groupBy("stack_id", "mask_id").agg(F.count("*").alias("area"))
     return rk.greedy_distinct(c, pairs, ["stack_id"], "mask_id", "area", 3)
 
 
 # masks are nested, so the overlap graph is an interval order: recursion over the ranking in SQL
-add("W5_greedy_distinct", nms, Q().pixels().masks().add("m0", "SELECT * FROM masks WHERE frame = 0").add("ar", "SELECT stack_id, mask_id, count(*) AS area FROM m0 GROUP BY ALL")
+add("W5_greedy_distinct", nms, Q().frames().masks().add("m0", "SELECT * FROM masks").add("ar", "SELECT stack_id, mask_id, count(*) AS area FROM m0 GROUP BY ALL")
     .add("pr", "SELECT a.stack_id, a.mask_id AS a, b.mask_id AS b, count(*) AS n FROM m0 a JOIN m0 b ON a.stack_id=b.stack_id AND a.y=b.y AND a.x=b.x AND a.mask_id <> b.mask_id GROUP BY ALL")
     .add("cf", "SELECT pr.stack_id, a, b FROM pr JOIN ar x ON x.stack_id=pr.stack_id AND x.mask_id=a JOIN ar z ON z.stack_id=pr.stack_id AND z.mask_id=b WHERE n::DOUBLE/(x.area+z.area-n) > 0.55")
     .add("rk", "SELECT *, row_number() OVER (PARTITION BY stack_id ORDER BY area DESC, mask_id) AS rn FROM ar")
@@ -111,14 +111,14 @@ add("W5_greedy_distinct", nms, Q().pixels().masks().add("m0", "SELECT * FROM mas
 
 
 def heat_sql(k):
-    q = Q().pixels().add("h0", f"SELECT {pxs}, v FROM px WHERE frame = 0")
+    q = Q().frames().add("h0", f"SELECT {pxs}, v FROM px")
     for i in range(k):
         q.add(f"b{i}", f"SELECT * FROM h{i} QUALIFY row_number() OVER (PARTITION BY stack_id ORDER BY v DESC, y, x) = 1")
         q.add(f"h{i+1}", f"SELECT h.* FROM h{i} h JOIN b{i} b USING (stack_id) WHERE abs(h.y-b.y) > 2 OR abs(h.x-b.x) > 2")
     return q.select(" UNION ALL ".join(f"SELECT stack_id, {i} AS round, y, x, v FROM b{i}" for i in range(k)))
 
 
-add("W6_heat_maxima", lambda s, f: rk.heat_maxima(px(s, f).filter("frame = 0"), "v", 3, 2), heat_sql(3))
+add("W6_heat_maxima", lambda s, f: rk.heat_maxima(one_px(s, f), "v", 3, 2), heat_sql(3))
 HX = lambda q: q.add("hs", "SELECT stack_id, CAST(least(31, floor(x/640.0::DOUBLE*32)) AS INT) AS bin, CAST(sum(CASE WHEN (x // 64) % 2 = 0 THEN 3 ELSE 1 END) AS DOUBLE) AS weight FROM obs GROUP BY ALL")
 
 
@@ -163,11 +163,11 @@ def ladder_sql():
 
 
 add("W10_otsu_ladder", lambda s, f: rk.otsu_ladder(xhist(s, f), ["stack_id"], F.col("bin") + 0.5, 2).select("stack_id", "bin", r6("weight", "weight"), "layer"), ladder_sql())
-one = lambda s, f: px(s, f).filter("frame = 0").withColumn("m", F.col("v") > 100)
-RUNS = "SELECT *, CASE WHEN v > 100 THEN y - coalesce(max(CASE WHEN v <= 100 THEN y END) OVER (PARTITION BY stack_id, x ORDER BY y), -1) ELSE 0 END AS run FROM px WHERE frame = 0"
-add("W11_column_runs", lambda s, f: rk.column_runs(one(s, f), "m").select(*PX, "run"), Q().pixels().add("r", RUNS).select(f"SELECT {pxs}, CAST(run AS INT) AS run FROM r"))
+one = lambda s, f: one_px(s, f).withColumn("m", F.col("v") > 100)
+RUNS = "SELECT *, CASE WHEN v > 100 THEN y - coalesce(max(CASE WHEN v <= 100 THEN y END) OVER (PARTITION BY stack_id, x ORDER BY y), -1) ELSE 0 END AS run FROM px"
+add("W11_column_runs", lambda s, f: rk.column_runs(one(s, f), "m").select(*PX, "run"), Q().frames().add("r", RUNS).select(f"SELECT {pxs}, CAST(run AS INT) AS run FROM r"))
 add("W12_largest_rectangle", lambda s, f: rk.largest_rectangle(one(s, f), "m").select("stack_id", "area"),
-    Q().pixels().add("r", RUNS).add("c", "SELECT a.stack_id, a.y, a.x AS xa, b.x AS xb, min(c.run) AS mh FROM r a JOIN r b ON b.stack_id=a.stack_id AND b.y=a.y AND b.x >= a.x JOIN r c ON c.stack_id=a.stack_id AND c.y=a.y AND c.x BETWEEN a.x AND b.x GROUP BY ALL")
+    Q().frames().add("r", RUNS).add("c", "SELECT a.stack_id, a.y, a.x AS xa, b.x AS xb, min(c.run) AS mh FROM r a JOIN r b ON b.stack_id=a.stack_id AND b.y=a.y AND b.x >= a.x JOIN r c ON c.stack_id=a.stack_id AND c.y=a.y AND c.x BETWEEN a.x AND b.x GROUP BY ALL")
     .select("SELECT stack_id, CAST(max((xb-xa+1)*mh) AS BIGINT) AS area FROM c GROUP BY ALL"))
 
 
@@ -209,6 +209,8 @@ add("W16_travel_order", travel, Q().measure().add("p", "SELECT stack_id, feature
 # ---- U rows
 mk = lambda s, f: d.masks(px(s, f))
 MK = lambda: Q().pixels().masks()
+mk2 = lambda s, f: d.masks(pair_px(s, f))
+MK2 = lambda: Q().pairs().masks()
 
 
 def u1(s, f):
@@ -218,38 +220,38 @@ def u1(s, f):
 
 
 add("U1_intersection", u1, Q().pixels().select(f"SELECT {pxs} FROM px GROUP BY ALL HAVING bool_and(v > 90)"))
-sub = lambda s, f, i, fr=0: mk(s, f).filter(f"mask_id = {i} AND frame = {fr}")
-add("U2_union", lambda s, f: ma.union_of(sub(s, f, 2, 0), sub(s, f, 3, 1)), MK().select(f"SELECT {pxs} FROM masks WHERE (mask_id = 2 AND frame = 0) OR (mask_id = 3 AND frame = 1) GROUP BY ALL"))
+sub = lambda s, f, i, fr=0: mk2(s, f).filter(f"mask_id = {i} AND frame = {fr}")
+add("U2_union", lambda s, f: ma.union_of(sub(s, f, 2, 0), sub(s, f, 3, 1)), MK2().select(f"SELECT {pxs} FROM masks WHERE (mask_id = 2 AND frame = 0) OR (mask_id = 3 AND frame = 1) GROUP BY ALL"))
 add("U3_difference", lambda s, f: ma.difference(sub(s, f, 1, 0), sub(s, f, 1, 1)).select(*PX),
-    MK().select(f"SELECT {pxs} FROM masks WHERE mask_id = 1 AND frame = 0 EXCEPT SELECT {pxs} FROM masks WHERE mask_id = 1 AND frame = 1"))
+    MK2().select(f"SELECT {pxs} FROM masks WHERE mask_id = 1 AND frame = 0 EXCEPT SELECT {pxs} FROM masks WHERE mask_id = 1 AND frame = 1"))
 add("U4_vote", lambda s, f: ma.vote(mk(s, f).withColumn("m", F.col("frame") * 10 + F.col("mask_id")), "m", 0.75),
     MK().add("n", "SELECT stack_id, count(DISTINCT frame*10+mask_id) AS n FROM masks GROUP BY ALL").add("c", f"SELECT {pxs}, count(DISTINCT frame*10+mask_id) AS votes FROM masks GROUP BY ALL").select(f"SELECT {pxs}, votes FROM c JOIN n USING (stack_id) WHERE votes >= 0.75*n"))
 IOU = f"SELECT stack_id, count(*) AS u, count(a.y) AS aa, count(b.y) AS ab, count(a.y + b.y) AS both FROM (SELECT {pxs} FROM masks WHERE mask_id = 2 AND frame = 0) a FULL OUTER JOIN (SELECT {pxs} FROM masks WHERE mask_id = 2 AND frame = 1) b USING ({pxs}) GROUP BY ALL"
 IOU = f"SELECT coalesce(a.stack_id, b.stack_id) AS stack_id, count(*) AS u, count(a.y) AS aa, count(b.y) AS ab, count(a.y + b.y) AS n FROM (SELECT {pxs} FROM masks WHERE mask_id = 2 AND frame = 0) a FULL OUTER JOIN (SELECT {pxs} FROM masks WHERE mask_id = 2 AND frame = 1) b ON a.stack_id=b.stack_id AND a.y=b.y AND a.x=b.x GROUP BY ALL"
 add("U5_agreement", lambda s, f: ma.agreement(sub(s, f, 2, 0), sub(s, f, 2, 1)).select("stack_id", "union", "both", *[r6(c, c) for c in ("iou", "precision", "recall")]),
-    MK().add("j", IOU).select(f'SELECT stack_id, u AS "union", n AS "both", {s6("n/u", "iou")}, {s6("n/aa", "precision")}, {s6("n/ab", "recall")} FROM j'))
+    MK2().add("j", IOU).select(f'SELECT stack_id, u AS "union", n AS "both", {s6("n/u", "iou")}, {s6("n/aa", "precision")}, {s6("n/ab", "recall")} FROM j'))
 
 
 def u6(s, f):
-    p = px(s, f).filter("frame = 0").select(*PX, (F.col("v") > 128).cast("int").alias("near"), F.when(F.col("v") % 5 < 4, F.floor(F.col("v") / 51)).alias("label"))
+    p = one_px(s, f).select(*PX, (F.col("v") > 128).cast("int").alias("near"), F.when(F.col("v") % 5 < 4, F.floor(F.col("v") / 51)).alias("label"))
     return ma.contingency(p, "label", "near").select("stack_id", "near", "pixels", r6("claimed_right", "claimed_right"), r6("claimed_wrong", "claimed_wrong"))
 
 
-add("U6_contingency", u6, Q().pixels().add("p", "SELECT stack_id, CAST(v > 128 AS INT) AS near, CASE WHEN v % 5 < 4 THEN v // 51 END AS label FROM px WHERE frame = 0").add("c", "SELECT stack_id, near, label, count(*) AS n FROM p GROUP BY ALL")
+add("U6_contingency", u6, Q().frames().add("p", "SELECT stack_id, CAST(v > 128 AS INT) AS near, CASE WHEN v % 5 < 4 THEN v // 51 END AS label FROM px").add("c", "SELECT stack_id, near, label, count(*) AS n FROM p GROUP BY ALL")
     .add("o", "SELECT stack_id, label, near AS own FROM c QUALIFY row_number() OVER (PARTITION BY stack_id, label ORDER BY n DESC, near) = 1")
     .select(f"SELECT c.stack_id, near, CAST(sum(n) AS BIGINT) AS pixels, {s6('coalesce(sum(n) FILTER (own = near), 0)/sum(n)', 'claimed_right')}, {s6('coalesce(sum(n) FILTER (own <> near), 0)/sum(n)', 'claimed_wrong')} FROM c LEFT JOIN o ON o.stack_id=c.stack_id AND o.label=c.label GROUP BY c.stack_id, near"))
 add("U7_subset_violations", lambda s, f: ma.subset_violations(sub(s, f, 1, 0), sub(s, f, 1, 1)),
-    MK().add("v", f"SELECT {pxs} FROM masks WHERE mask_id = 1 AND frame = 0 EXCEPT SELECT {pxs} FROM masks WHERE mask_id = 1 AND frame = 1").select("SELECT stack_id, count(*) AS outside FROM v GROUP BY ALL"))
+    MK2().add("v", f"SELECT {pxs} FROM masks WHERE mask_id = 1 AND frame = 0 EXCEPT SELECT {pxs} FROM masks WHERE mask_id = 1 AND frame = 1").select("SELECT stack_id, count(*) AS outside FROM v GROUP BY ALL"))
 
 # ---- J rows
 add("J1_gather_winner", lambda s, f: px(s, f).join(fo.winner(fo.focus_measure(px(s, f))), PX).filter("frame = winner").select(*PX, "frame", "v"),
     winner_sql(energy_sql(Q().pixels(), "laplacian")).select(f"SELECT {pxs}, frame, v FROM px JOIN wn USING ({pxs}) WHERE frame = winner"))
-add("J6_mask_overlap", lambda s, f: ma.overlaps(mk(s, f).filter("frame = 0"), mk(s, f).filter("frame = 1")).select("stack_id", "mask_a", "mask_b", "both", *[r6(c, c) for c in ("iou", "a_in_b", "b_in_a")]),
-    MK().add("a", "SELECT * FROM masks WHERE frame = 0").add("b", "SELECT * FROM masks WHERE frame = 1").add("sa", "SELECT stack_id, mask_id, count(*) AS n FROM a GROUP BY ALL").add("sb", "SELECT stack_id, mask_id, count(*) AS n FROM b GROUP BY ALL")
+add("J6_mask_overlap", lambda s, f: ma.overlaps(mk2(s, f).filter("frame = 0"), mk2(s, f).filter("frame = 1")).select("stack_id", "mask_a", "mask_b", "both", *[r6(c, c) for c in ("iou", "a_in_b", "b_in_a")]),
+    MK2().add("a", "SELECT * FROM masks WHERE frame = 0").add("b", "SELECT * FROM masks WHERE frame = 1").add("sa", "SELECT stack_id, mask_id, count(*) AS n FROM a GROUP BY ALL").add("sb", "SELECT stack_id, mask_id, count(*) AS n FROM b GROUP BY ALL")
     .add("j", f"SELECT stack_id, a.mask_id AS mask_a, b.mask_id AS mask_b, count(*) AS n FROM a JOIN b USING ({pxs}) GROUP BY ALL")
     .select(f'SELECT j.stack_id, mask_a, mask_b, j.n AS "both", {s6("j.n/(sa.n+sb.n-j.n)", "iou")}, {s6("j.n/sa.n", "a_in_b")}, {s6("j.n/sb.n", "b_in_a")} FROM j JOIN sa ON sa.stack_id=j.stack_id AND sa.mask_id=mask_a JOIN sb ON sb.stack_id=j.stack_id AND sb.mask_id=mask_b'))
-lab = lambda s, f: px(s, f).filter("frame = 0").withColumn("label", F.floor(F.col("v") / 64).cast("int"))
-add("J7_adjacency", lambda s, f: ma.adjacency(lab(s, f), "label"), Q().pixels().add("l", "SELECT *, v // 64 AS lb FROM px WHERE frame = 0")
+lab = lambda s, f: one_px(s, f).withColumn("label", F.floor(F.col("v") / 64).cast("int"))
+add("J7_adjacency", lambda s, f: ma.adjacency(lab(s, f), "label"), Q().frames().add("l", "SELECT *, v // 64 AS lb FROM px")
     .select("SELECT a.stack_id, CAST(least(a.lb, b.lb) AS INT) AS piece_a, CAST(greatest(a.lb, b.lb) AS INT) AS piece_b, count(*) AS border FROM l a JOIN l b ON b.stack_id=a.stack_id AND ((b.y=a.y AND b.x=a.x+1) OR (b.x=a.x AND b.y=a.y+1)) WHERE a.lb <> b.lb GROUP BY ALL"))
 
 

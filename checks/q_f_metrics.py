@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks.q_a_kernels import ID, ids, px, sq
+from checks.q_a_kernels import ID, ids, one_px, pair_px, px, sq
 from checks.q_b_focus import PX, pxs
 from checks.q_c_resample import down_sql
 from checks.q_e_stats import KEY, MI, key
@@ -20,13 +20,13 @@ def pair(s, f, tiles=1):
 
 def single(s, f, tiles=1):
     """One row per pixel: frame 0, frame 1 and the reference."""
-    p = px(s, f, tiles)
+    p = pair_px(s, f, tiles)
     b = p.filter("frame = 1").select(*PX, F.col("v").alias("b"))
     return p.filter("frame = 0").select(*PX, "h", "w", F.col("v").alias("a")).join(b, PX).join(d.truth(p).select(*PX, "t"), PX)
 
 
 pair_q = lambda tiles=1: Q().pixels(tiles).truth().add("pr", f"SELECT px.*, t AS f FROM px JOIN (SELECT {pxs}, t FROM truth) USING ({pxs})")
-single_q = lambda tiles=1: Q().pixels(tiles).truth().add("sg", f"SELECT p.stack_id, p.y, p.x, p.h, p.w, p.v AS a, q.v AS b, t FROM px p JOIN px q ON q.stack_id=p.stack_id AND q.y=p.y AND q.x=p.x AND q.frame=1 JOIN truth tr ON tr.stack_id=p.stack_id AND tr.y=p.y AND tr.x=p.x WHERE p.frame = 0")
+single_q = lambda tiles=1: Q().pairs(tiles).truth().add("sg", f"SELECT p.stack_id, p.y, p.x, p.h, p.w, p.v AS a, q.v AS b, t FROM px p JOIN px q ON q.stack_id=p.stack_id AND q.y=p.y AND q.x=p.x AND q.frame=1 JOIN truth tr ON tr.stack_id=p.stack_id AND tr.y=p.y AND tr.x=p.x WHERE p.frame = 0")
 
 
 def qabf_sql(q, src="pr", out="qa"):

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks.q_a_kernels import ID, ids, px, sq
+from checks.q_a_kernels import ID, ids, one_px, pair_px, px, sq
 from checks.q_b_focus import PX, pxs
 from checks.q_e_stats import KEY, key
 from checks.registry import Q, add, r6, s6
@@ -152,12 +152,12 @@ add("G27_monotone_check", lambda s, f: rg.monotone_violations(px(s, f).withColum
 # ---- I rows
 CCQ = lambda q, src, extra="": q.add("cc", f"""SELECT stack_id, y, x, min(root) AS root FROM (
    WITH RECURSIVE walk(stack_id, y, x, root) AS (SELECT stack_id, y, x, y*100+x FROM {src} UNION SELECT n.stack_id, n.y, n.x, w.root FROM walk w JOIN {src} n ON n.stack_id=w.stack_id AND (abs(n.y-w.y)+abs(n.x-w.x) = 1 {extra})) SELECT * FROM walk) GROUP BY ALL""")
-one = lambda s, f: px(s, f).filter("frame = 0")
+one = lambda s, f: one_px(s, f)
 add("I1_components", lambda s, f: gr.component_table(gr.components(one(s, f).filter("v > 115"))).select("stack_id", "area", "y0", "x0", "y1", "x1"),
-    CCQ(Q().pixels().add("onp", "SELECT * FROM px WHERE frame = 0 AND v > 115"), "onp").select("SELECT stack_id, count(*) AS area, min(y) AS y0, min(x) AS x0, max(y) AS y1, max(x) AS x1 FROM cc GROUP BY stack_id, root"))
+    CCQ(Q().frames().add("onp", "SELECT * FROM px WHERE v > 115"), "onp").select("SELECT stack_id, count(*) AS area, min(y) AS y0, min(x) AS x0, max(y) AS y1, max(x) AS x1 FROM cc GROUP BY stack_id, root"))
 add("V24_fill_holes", lambda s, f: gr.fill_holes(one(s, f).withColumn("m", F.col("v") > 100), "m").select(*PX, F.col("filled").cast("int").alias("filled")),
-    CCQ(Q().pixels().add("onp", "SELECT * FROM px WHERE frame = 0 AND v <= 100"), "onp").add("op", "SELECT stack_id, root, bool_or(y IN (0,7) OR x IN (0,7)) AS o FROM cc GROUP BY ALL")
-    .select("SELECT px.stack_id, px.y, px.x, CAST(px.v > 100 OR NOT o AS INT) AS filled FROM px LEFT JOIN cc ON cc.stack_id=px.stack_id AND cc.y=px.y AND cc.x=px.x LEFT JOIN op ON op.stack_id=cc.stack_id AND op.root=cc.root WHERE px.frame = 0"))
+    CCQ(Q().frames().add("onp", "SELECT * FROM px WHERE v <= 100"), "onp").add("op", "SELECT stack_id, root, bool_or(y IN (0,7) OR x IN (0,7)) AS o FROM cc GROUP BY ALL")
+    .select("SELECT px.stack_id, px.y, px.x, CAST(px.v > 100 OR NOT o AS INT) AS filled FROM px LEFT JOIN cc ON cc.stack_id=px.stack_id AND cc.y=px.y AND cc.x=px.x LEFT JOIN op ON op.stack_id=cc.stack_id AND op.root=cc.root"))
 
 
 def clusters(s, f):
@@ -166,11 +166,11 @@ def clusters(s, f):
     return gr.residual_clusters(p, "v", exact_quantiles(p, ["stack_id"], "v", {"cutoff": 0.7}), ["stack_id"], 3, 2).select("stack_id", "area", "mass", "peak", r6("mean", "mean"), "place")
 
 
-add("I3_residual_clusters", clusters, CCQ(Q().pixels().add("q", "SELECT stack_id, quantile_cont(v, 0.7) AS c FROM px WHERE frame = 0 GROUP BY ALL").add("onp", "SELECT px.* FROM px JOIN q USING (stack_id) WHERE frame = 0 AND v > c"), "onp", "OR (abs(n.y-w.y) = 1 AND abs(n.x-w.x) = 1)")
+add("I3_residual_clusters", clusters, CCQ(Q().frames().add("q", "SELECT stack_id, quantile_cont(v, 0.7) AS c FROM px GROUP BY ALL").add("onp", "SELECT px.* FROM px JOIN q USING (stack_id) WHERE v > c"), "onp", "OR (abs(n.y-w.y) = 1 AND abs(n.x-w.x) = 1)")
     .add("g", "SELECT cc.stack_id, root, count(*) AS area, CAST(sum(v) AS BIGINT) AS mass, max(v) AS peak, avg(v) AS mean FROM cc JOIN on_ o USING (stack_id, y, x) GROUP BY ALL".replace("on_ o", 'onp o').replace("cc.stack_id, root", "stack_id, root"))
     .select(f"SELECT stack_id, area, mass, peak, {s6('mean', 'mean')}, CAST(row_number() OVER (PARTITION BY stack_id ORDER BY mass DESC, root) AS INT) AS place FROM g WHERE area >= 3 QUALIFY place <= 2"))
 add("E15_coherence", lambda s, f: gr.coherent(gr.components(one(s, f).filter("v > 130"), ("stack_id",)), ["stack_id"]).select("stack_id", r6("share", "share"), F.col("coherent").cast("int").alias("coherent")),
-    CCQ(Q().pixels().add("onp", "SELECT * FROM px WHERE frame = 0 AND v > 130"), "onp").add("a0", "SELECT stack_id, root, count(*) AS n FROM cc GROUP BY ALL").add("a", "SELECT *, row_number() OVER (PARTITION BY stack_id ORDER BY n DESC, root) AS k FROM a0")
+    CCQ(Q().frames().add("onp", "SELECT * FROM px WHERE v > 130"), "onp").add("a0", "SELECT stack_id, root, count(*) AS n FROM cc GROUP BY ALL").add("a", "SELECT *, row_number() OVER (PARTITION BY stack_id ORDER BY n DESC, root) AS k FROM a0")
     .add("g", "SELECT stack_id, (sum(n) FILTER (k <= 3))/sum(n)::DOUBLE AS s FROM a GROUP BY ALL").select(f"SELECT stack_id, {s6('s', 'share')}, CAST(s >= 0.6 AS INT) AS coherent FROM g"))
 add("I4_hull", lambda s, f: gr.hull(d.observations(s, f), KEY).select(*KEY, F.size("ring").alias("corners"), (F.col("area") > 0).cast("int").alias("spans")),
     Q().obs().select(f"SELECT {key}, 32 AS corners, 1 AS spans FROM obs GROUP BY ALL"))

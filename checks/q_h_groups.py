@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks.q_a_kernels import ID, ids, px, sq
+from checks.q_a_kernels import ID, ids, one_px, pair_px, px, sq
 from checks.q_b_focus import DEC, FIELD, PEAK, PX, energy_sql, field_sql, pxs, winner_sql
 from checks.q_c_resample import sample_sql
 from checks.q_e_stats import KEY, SUMS, TR, key, otsu_sql
@@ -246,24 +246,24 @@ add("V9_gate_score", lambda s, f: li3(s, f).select("l_orderkey", "l_linenumber",
 
 
 def gate10(s, f):
-    p = px(s, f).filter("frame = 0").select(*PX, "v")
+    p = one_px(s, f).select(*PX, "v")
     fire = p.groupBy("stack_id").agg((F.max("v") > 225).alias("fire"))
     return ow.gated(p, p.withColumn("v", 255 - F.col("v")), fire, ["v"])
 
 
-add("V10_gated", gate10, Q().pixels().select(f"SELECT {pxs}, CASE WHEN max(v) OVER (PARTITION BY stack_id) > 225 THEN 255-v ELSE v END AS v FROM px WHERE frame = 0"))
+add("V10_gated", gate10, Q().frames().select(f"SELECT {pxs}, CASE WHEN max(v) OVER (PARTITION BY stack_id) > 225 THEN 255-v ELSE v END AS v FROM px"))
 add("V11_chromatic_radii", lambda s, f: px(s, f).select("stack_id", "frame").distinct().crossJoin(F.broadcast(s.createDataFrame([("b", 1.02), ("g", 1.0), ("r", 0.97)], "channel string, scale double"))).select("stack_id", "frame", "channel", r6(F.abs(F.col("frame") - 2) * 3.0 * F.col("scale"), "radius")),
     Q().pixels().select(f"SELECT DISTINCT stack_id, frame, c AS channel, {s6('abs(frame-2)*3.0::DOUBLE*k', 'radius')} FROM px, (VALUES ('b',1.02::DOUBLE),('g',1.0),('r',0.97)) t(c,k)"))
 
 
 def geo15(s, f):
-    m = d.masks(px(s, f)).filter("frame = 0")
+    m = d.masks(one_px(s, f))
     pairs = ma.overlaps(m, m, same=True)
     p = m.groupBy("stack_id", "mask_id").agg(F.count("*").alias("area")).withColumns({"owner": (F.col("mask_id") >= 3).cast("int"), "residual": ((F.col("area") * 7 + F.col("mask_id")) % 23) / 10.0})
     return ow.select_geometry(p, pairs, 0.5, 0.05).select("stack_id", "mask_id", "owner", r6("residual", "residual"), "area", "family", r6("margin", "margin"), F.col("accepted").cast("int").alias("accepted"), "reason")
 
 
-add("V15_owner_geometry", geo15, Q().pixels().masks().add("m0", "SELECT * FROM masks WHERE frame = 0").add("pr", "SELECT stack_id, mask_id, count(*) AS area, CAST(mask_id >= 3 AS INT) AS owner, ((count(*)*7+mask_id) % 23)/10.0::DOUBLE AS residual FROM m0 GROUP BY stack_id, mask_id")
+add("V15_owner_geometry", geo15, Q().frames().masks().add("m0", "SELECT * FROM masks").add("pr", "SELECT stack_id, mask_id, count(*) AS area, CAST(mask_id >= 3 AS INT) AS owner, ((count(*)*7+mask_id) % 23)/10.0::DOUBLE AS residual FROM m0 GROUP BY stack_id, mask_id")
     .add("ov", f"SELECT a.stack_id, a.mask_id AS a, b.mask_id AS b, count(*) AS n FROM m0 a JOIN m0 b USING ({pxs}) GROUP BY ALL")
     .add("kin", "SELECT p.stack_id, p.mask_id AS a, q.mask_id AS b FROM pr p JOIN pr q ON q.stack_id=p.stack_id LEFT JOIN ov ON ov.stack_id=p.stack_id AND ov.a=p.mask_id AND ov.b=q.mask_id WHERE p.owner=q.owner AND (p.mask_id=q.mask_id OR n/(p.area+q.area-n)::DOUBLE >= 0.5 OR n/least(p.area, q.area)::DOUBLE >= 0.9)")
     .add("be", "SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY stack_id ORDER BY residual, mask_id) = 1")
@@ -271,9 +271,9 @@ add("V15_owner_geometry", geo15, Q().pixels().masks().add("m0", "SELECT * FROM m
     .add("ch", "SELECT * FROM fa QUALIFY row_number() OVER (PARTITION BY stack_id ORDER BY area DESC, residual, mask_id) = 1")
     .add("ri", "SELECT ch.stack_id, min(p.residual) AS rv FROM ch JOIN pr p ON p.stack_id=ch.stack_id WHERE NOT EXISTS (SELECT 1 FROM kin WHERE kin.stack_id=ch.stack_id AND kin.a=ch.mask_id AND kin.b=p.mask_id) GROUP BY ALL")
     .select(f"SELECT ch.stack_id, ch.mask_id, owner, {s6('residual', 'residual')}, area, family, {s6('rv-residual', 'margin')}, CAST(coalesce(rv-residual > 0.05, false) AS INT) AS accepted, CASE WHEN rv-residual > 0.05 THEN 'selected' ELSE 'ambiguous_competitor' END AS reason FROM ch LEFT JOIN ri USING (stack_id)"))
-m01 = lambda s, f, k: d.masks(px(s, f)).filter(f"frame = {k}")
+m01 = lambda s, f, k: d.masks(pair_px(s, f)).filter(f"frame = {k}")
 add("V16_satellites", lambda s, f: ow.satellites(m01(s, f, 0), m01(s, f, 1), 0.4).select("stack_id", "mask_a", "mask_b", r6("iou", "iou"), F.col("supported").cast("int").alias("supported")),
-    Q().pixels().masks().add("a", "SELECT * FROM masks WHERE frame = 0").add("b", "SELECT * FROM masks WHERE frame = 1").add("sa", "SELECT stack_id, mask_id, count(*) AS n FROM a GROUP BY ALL").add("sb", "SELECT stack_id, mask_id, count(*) AS n FROM b GROUP BY ALL")
+    Q().pairs().masks().add("a", "SELECT * FROM masks WHERE frame = 0").add("b", "SELECT * FROM masks WHERE frame = 1").add("sa", "SELECT stack_id, mask_id, count(*) AS n FROM a GROUP BY ALL").add("sb", "SELECT stack_id, mask_id, count(*) AS n FROM b GROUP BY ALL")
     .add("j", f"SELECT stack_id, a.mask_id AS mask_a, b.mask_id AS mask_b, count(*) AS n FROM a JOIN b USING ({pxs}) GROUP BY ALL").add("k", "SELECT j.stack_id, mask_a, mask_b, j.n/(sa.n+sb.n-j.n)::DOUBLE AS iou, j.n/sa.n::DOUBLE AS ain FROM j JOIN sa ON sa.stack_id=j.stack_id AND sa.mask_id=mask_a JOIN sb ON sb.stack_id=j.stack_id AND sb.mask_id=mask_b")
     .select(f"SELECT stack_id, mask_a, mask_b, {s6('iou', 'iou')}, CAST(iou >= 0.4 OR ain >= 0.9 AS INT) AS supported FROM k QUALIFY row_number() OVER (PARTITION BY stack_id, mask_a ORDER BY round(iou, 9) DESC, mask_b) = 1"))
 c17 = lambda s, f: d.table(s, f, "lineitem").select(F.col("l_orderkey").alias("stack_id"), ((F.col("l_partkey") * 8 + F.col("l_linenumber")) * 64 + F.col("l_quantity").cast("int")).alias("mask_id"), (F.col("l_quantity") / 50).cast("double").alias("score"), (F.col("l_partkey") % 97 / 10.0).alias("after"), F.col("l_tax").cast("double").alias("tax"))
@@ -284,35 +284,35 @@ add("V18_stable_correction", lambda s, f: ow.stable_correction(px(s, f).withColu
 
 
 def cons20(s, f):
-    m = d.masks(px(s, f)).filter("frame = 0 AND mask_id < 3")
-    ref = d.masks(px(s, f)).filter("frame = 0 AND mask_id = 2").select(*PX)
+    m = d.masks(one_px(s, f))
+    ref = d.masks(one_px(s, f)).filter("mask_id = 2").select(*PX)
     return ow.owner_consensus(m, ref, 0.6).select(*PX, F.col("consensus").cast("int").alias("consensus"))
 
 
-add("V20_owner_consensus", cons20, Q().pixels().masks().add("m", "SELECT * FROM masks WHERE frame = 0 AND mask_id < 3").add("ar", "SELECT stack_id, mask_id, count(*) AS n FROM m GROUP BY ALL").add("rf", f"SELECT {pxs} FROM m WHERE mask_id = 2")
-    .add("gd", "SELECT a.stack_id, a.mask_id FROM ar a JOIN ar r ON r.stack_id=a.stack_id AND r.mask_id=2 WHERE r.n/a.n::DOUBLE >= 0.6 AND a.n/r.n::DOUBLE BETWEEN 0.5 AND 1.5").add("en", "SELECT stack_id, count(*) AS k FROM gd GROUP BY ALL HAVING count(*) >= 2")
+add("V20_owner_consensus", cons20, Q().frames().masks().add("m", "SELECT * FROM masks ").add("ar", "SELECT stack_id, mask_id, count(*) AS n FROM m GROUP BY ALL").add("rf", f"SELECT {pxs} FROM m WHERE mask_id = 2")
+    .add("gd", "SELECT a.stack_id, a.mask_id FROM ar a JOIN ar r ON r.stack_id=a.stack_id AND r.mask_id=2 WHERE least(a.n, r.n)/greatest(a.n, r.n)::DOUBLE >= 0.6 AND a.n/r.n::DOUBLE BETWEEN 0.5 AND 1.5").add("en", "SELECT stack_id, count(*) AS k FROM gd GROUP BY ALL HAVING count(*) >= 2")
     .select(f"SELECT {pxs}, 1 AS consensus FROM m JOIN gd USING (stack_id, mask_id) JOIN en USING (stack_id) GROUP BY {pxs}, k HAVING count(*) >= 0.75*k UNION ALL SELECT {pxs}, 0 FROM rf WHERE stack_id NOT IN (SELECT stack_id FROM en)"))
-add("V22_forward_residual", lambda s, f: ow.forward_residual(px(s, f).filter("frame = 0"), F.col("v"), F.lit(128), F.col("v") > 118).select("stack_id", "pixels", r6(F.when(F.col("residual") < 1e300, F.col("residual")), "residual")),
-    Q().pixels().select(f"SELECT stack_id, count(*) FILTER (v > 118) AS pixels, {s6('CASE WHEN count(*) FILTER (v > 118) >= 32 THEN avg(least(abs(v-128), 30)) FILTER (v > 118) END', 'residual')} FROM px WHERE frame = 0 GROUP BY ALL"))
-own = lambda s, f: px(s, f).filter("frame = 0").select(*PX, "v", F.when(F.col("v") < 90, "UNKNOWN").when(F.col("v") < 110, "BOUNDARY").otherwise("OWNED").alias("state"), F.floor(F.col("v") / 64).alias("layer"))
+add("V22_forward_residual", lambda s, f: ow.forward_residual(one_px(s, f), F.col("v"), F.lit(128), F.col("v") > 118).select("stack_id", "pixels", r6(F.when(F.col("residual") < 1e300, F.col("residual")), "residual")),
+    Q().frames().select(f"SELECT stack_id, count(*) FILTER (v > 118) AS pixels, {s6('CASE WHEN count(*) FILTER (v > 118) >= 32 THEN avg(least(abs(v-128), 30)) FILTER (v > 118) END', 'residual')} FROM px GROUP BY ALL"))
+own = lambda s, f: one_px(s, f).select(*PX, "v", F.when(F.col("v") < 90, "UNKNOWN").when(F.col("v") < 110, "BOUNDARY").otherwise("OWNED").alias("state"), F.floor(F.col("v") / 64).alias("layer"))
 add("V25_trinary_shares", lambda s, f: ow.trinary_shares(own(s, f)).select("stack_id", "state", "layer", "pixels", r6("share", "share")),
-    Q().pixels().add("o", "SELECT stack_id, CASE WHEN v < 90 THEN 'UNKNOWN' WHEN v < 110 THEN 'BOUNDARY' ELSE 'OWNED' END AS state, v // 64 AS layer, count(*) AS n FROM px WHERE frame = 0 GROUP BY ALL").select(f"SELECT stack_id, state, CAST(layer AS BIGINT) AS layer, n AS pixels, {s6('n/sum(n) OVER (PARTITION BY stack_id)', 'share')} FROM o"))
+    Q().frames().add("o", "SELECT stack_id, CASE WHEN v < 90 THEN 'UNKNOWN' WHEN v < 110 THEN 'BOUNDARY' ELSE 'OWNED' END AS state, v // 64 AS layer, count(*) AS n FROM px GROUP BY ALL").select(f"SELECT stack_id, state, CAST(layer AS BIGINT) AS layer, n AS pixels, {s6('n/sum(n) OVER (PARTITION BY stack_id)', 'share')} FROM o"))
 cert = lambda s, f, a: px(s, f).groupBy(*PX).agg(F.avg(F.abs(F.col("v") - a)).alias("error"), F.count_if(F.col("v") > a).alias("coverage"))
 add("V30_differential", lambda s, f: ow.differential(cert(s, f, 100), cert(s, f, 120)).select(*PX, r6("difference", "difference")),
     Q().pixels().select(f"SELECT {pxs}, {s6('avg(abs(v-100)) - avg(abs(v-120))', 'difference')} FROM px GROUP BY ALL HAVING count(*) FILTER (v > 100) >= 2 AND count(*) FILTER (v > 120) >= 2"))
-add("V31_region_verdicts", lambda s, f: ow.region_verdicts(px(s, f).filter("frame = 0").withColumns({"label": F.floor(F.col("x") / 2), "covered": F.col("v") > 120, "gain": (F.col("v") - 145).cast("double")}), "gain").select("stack_id", "label", "area", "verdict"),
-    Q().pixels().add("g", "SELECT stack_id, x // 2 AS label, count(*) AS area, avg(CAST(v > 120 AS INT)) AS j, avg(v-145) FILTER (v > 120) AS g FROM px WHERE frame = 0 GROUP BY ALL").select("SELECT stack_id, CAST(label AS BIGINT) AS label, area, CASE WHEN j < 0.5 OR g IS NULL THEN 'unarbitrated' WHEN g < 0 THEN 'vetoed' ELSE 'kept' END AS verdict FROM g"))
+add("V31_region_verdicts", lambda s, f: ow.region_verdicts(one_px(s, f).withColumns({"label": F.floor(F.col("x") / 2), "covered": F.col("v") > 120, "gain": (F.col("v") - 145).cast("double")}), "gain").select("stack_id", "label", "area", "verdict"),
+    Q().frames().add("g", "SELECT stack_id, x // 2 AS label, count(*) AS area, avg(CAST(v > 120 AS INT)) AS j, avg(v-145) FILTER (v > 120) AS g FROM px GROUP BY ALL").select("SELECT stack_id, CAST(label AS BIGINT) AS label, area, CASE WHEN j < 0.5 OR g IS NULL THEN 'unarbitrated' WHEN g < 0 THEN 'vetoed' ELSE 'kept' END AS verdict FROM g"))
 
 
 def veto32(s, f):
-    p = px(s, f, 2).filter("frame = 0").withColumns({"m": F.col("v") > 100, "g": F.when(F.col("v") > 100, F.col("v") - 140).otherwise(0)})
+    p = one_px(s, f, 2).withColumns({"m": F.col("v") > 100, "g": F.when(F.col("v") > 100, F.col("v") - 140).otherwise(0)})
     b = st.box(p, {"n": F.col("m").cast("int"), "s": "g"}, 2, mean=False)
     return b.select(*PX, ((F.col("n") >= 9) & (F.col("s") < 0)).cast("int").alias("vetoed"))
 
 
-add("V32_local_veto", veto32, Q().pixels(2).add("p", "SELECT *, CAST(v > 100 AS INT) AS m, CASE WHEN v > 100 THEN v-140 ELSE 0 END AS g FROM px WHERE frame = 0").box("b", "p", 2, {"n": "m", "s": "g"}, mean=False).select(f"SELECT {pxs}, CAST(n >= 9 AND s < 0 AS INT) AS vetoed FROM b"))
-add("V35_finalize", lambda s, f: ow.finalize(px(s, f).filter("frame = 0").select(*PX, "v"), px(s, f).filter("frame = 1").withColumn("keep", F.col("v") > 120), "keep", ["v"]),
-    Q().pixels().select("SELECT a.stack_id, a.y, a.x, CASE WHEN b.v > 120 THEN b.v ELSE a.v END AS v FROM px a JOIN px b ON b.stack_id=a.stack_id AND b.y=a.y AND b.x=a.x AND b.frame=1 WHERE a.frame=0"))
+add("V32_local_veto", veto32, Q().frames(2).add("p", "SELECT *, CAST(v > 100 AS INT) AS m, CASE WHEN v > 100 THEN v-140 ELSE 0 END AS g FROM px").box("b", "p", 2, {"n": "m", "s": "g"}, mean=False).select(f"SELECT {pxs}, CAST(n >= 9 AND s < 0 AS INT) AS vetoed FROM b"))
+add("V35_finalize", lambda s, f: ow.finalize(pair_px(s, f).filter("frame = 0").select(*PX, "v"), pair_px(s, f).filter("frame = 1").withColumn("keep", F.col("v") > 120), "keep", ["v"]),
+    Q().pairs().select("SELECT a.stack_id, a.y, a.x, CASE WHEN b.v > 120 THEN b.v ELSE a.v END AS v FROM px a JOIN px b ON b.stack_id=a.stack_id AND b.y=a.y AND b.x=a.x AND b.frame=1 WHERE a.frame=0"))
 
 
 def ev36(s, f):

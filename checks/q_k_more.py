@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks.q_a_kernels import ID, ids, px
+from checks.q_a_kernels import ID, ids, one_px, pair_px, px
 from checks.q_b_focus import PX, pxs
 from checks.q_d_fusion import guided_sql, rgb
 from checks.q_e_stats import KEY, SUMS, TR, key
@@ -14,11 +14,11 @@ from sharpfleet.operators import surfaces as sf
 
 
 def members(s, f):
-    p = px(s, f, 2).filter("frame = 0").select(*PX, "h", "w", (F.col("v") / 255.0).alias("guide"), F.when(F.col("v") % 7 < 6, F.floor(F.col("v") / 90)).cast("int").alias("bin"))
+    p = one_px(s, f, 2).select(*PX, "h", "w", (F.col("v") / 255.0).alias("guide"), F.when(F.col("v") % 7 < 6, F.floor(F.col("v") / 90)).cast("int").alias("bin"))
     return rg.bin_memberships(p, 3, "guide", 2).select(*PX, "bin", r6("share", "share"))
 
 
-add("G5_bin_memberships", members, guided_sql(Q().pixels(2).add("b", "SELECT stack_id, y, x, h, w, v/255.0::DOUBLE AS gd, k AS bin, CAST(coalesce(v % 7 < 6 AND v // 90 = k, false) AS DOUBLE) AS raw FROM px, (SELECT unnest(range(3)) AS k) WHERE frame = 0"), "gf_", "b", "gd", "raw", 2, by=("bin",))
+add("G5_bin_memberships", members, guided_sql(Q().frames(2).add("b", "SELECT stack_id, y, x, h, w, v/255.0::DOUBLE AS gd, k AS bin, CAST(coalesce(v % 7 < 6 AND v // 90 = k, false) AS DOUBLE) AS raw FROM px, (SELECT unnest(range(3)) AS k)"), "gf_", "b", "gd", "raw", 2, by=("bin",))
     .add("sh", "SELECT stack_id, y, x, bin, greatest(0, least(1, gf)) AS s FROM gf_").add("nm", f"SELECT {pxs}, bin, s/greatest(sum(s) OVER (PARTITION BY {pxs}), 1) AS s FROM sh")
     .select(f"SELECT {pxs}, CAST(bin AS INT) AS bin, {s6('s', 'share')} FROM nm UNION ALL SELECT {pxs}, -1 AS bin, {s6('greatest(0, 1-sum(s))', 'share')} FROM nm GROUP BY {pxs}"))
 pieces = lambda s, f: px(s, f, 2).withColumn("piece", F.floor(F.col("y") / 8).cast("int"))

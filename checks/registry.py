@@ -51,6 +51,15 @@ class Q:
             CAST(greatest(0, least(255, floor(127.5 + 255 * CAST(embedding[i] AS DOUBLE) + 0.5))) AS INT) AS v
             FROM embeddings, (SELECT unnest(range(1, 65)) AS i)""")
 
+    def frames(self, tiles=1):
+        """Every frame as a stack of its own, in px."""
+        return self.pixels(tiles, "px0").add("px", "SELECT * REPLACE (stack_id*5 + frame AS stack_id, CAST(0 AS INT) AS frame) FROM px0")
+
+    def pairs(self, tiles=1):
+        """Every frame with the one after it as a stack of two frames, in px."""
+        return self.pixels(tiles, "px0").add("px", """SELECT * REPLACE (stack_id*5 + frame AS stack_id, CAST(0 AS INT) AS frame) FROM px0 WHERE frame < 4
+            UNION ALL SELECT * REPLACE (stack_id*5 + frame - 1 AS stack_id, CAST(1 AS INT) AS frame) FROM px0 WHERE frame > 0""")
+
     def colour(self, src="px", name="px3"):
         return self.add(name, f"SELECT *, v AS b, (v + 3*x) % 256 AS g, (v + 5*y) % 256 AS r FROM {src}")
 
@@ -58,7 +67,7 @@ class Q:
         return self.add(name, f"SELECT stack_id, y, x, h, w, CAST(floor(CAST(sum(v) AS DOUBLE) / count(*) + 0.5) AS INT) AS t FROM {src} GROUP BY ALL")
 
     def masks(self, src="px", name="masks"):
-        return self.add(name, f"SELECT stack_id, frame, m AS mask_id, y, x, h, w FROM {src}, (SELECT unnest(range(4)) AS m) WHERE frame <= 1 AND v > 90 + 20*m")
+        return self.add(name, f"SELECT stack_id, frame, m AS mask_id, y, x, h, w FROM {src}, (SELECT unnest(range(4)) AS m) WHERE v > 90 + 20*m")
 
     def obs(self, name="obs"):
         return self.add(name, """SELECT l_suppkey % 10 AS stack_id, CAST(l_linenumber AS INT) AS frame, CAST(l_partkey % 640 AS INT) AS x,

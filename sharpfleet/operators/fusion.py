@@ -36,7 +36,7 @@ def fuse_max(px: DataFrame, method: str = "laplacian", k: int = 9, cols: Sequenc
     return blocked(ev.with_gray(px), halo, lambda df: select_winner(body(df), "_e", cols), side)
 
 
-def fuse_pyramid(px: DataFrame, levels: int | None = None, k: int = 7, depth: int = py.CAP, side: int = SIDE) -> DataFrame:
+def fuse_pyramid(px: DataFrame, levels: int | None = None, k: int = 7, depth: int | None = None, side: int = SIDE) -> DataFrame:
     """Strongest coefficient per band and pixel, all channels from one frame; mean of the base band."""
     p = py.pyramid(px, RGB, (), levels, side=side, depth=depth)
     def body(df):
@@ -46,7 +46,7 @@ def fuse_pyramid(px: DataFrame, levels: int | None = None, k: int = 7, depth: in
     bands = blocked(p, k // 2, body, side)
     base = F.col("level") == F.col("levels")
     bands = bands.select(STACK, "levels", "level", Y, X, "h", "w", *[F.when(base, F.col(f"_{c}")).otherwise(F.col(f"_w.{c}")).alias(c) for c in RGB])
-    return _image(py.collapse(bands, RGB, side=side, depth=depth))
+    return _image(py.collapse(bands, RGB, side=side, depth=py.planned(levels, depth)))
 
 
 def _image(df: DataFrame) -> DataFrame:
@@ -132,16 +132,16 @@ def fuse_decision(px: DataFrame, side: int = SIDE, **kw) -> DataFrame:
     return _image(sums)
 
 
-def multiband_blend(px: DataFrame, weight: str = "wt", levels: int | None = None, depth: int = py.CAP,
+def multiband_blend(px: DataFrame, weight: str = "wt", levels: int | None = None, depth: int | None = None,
                     by=(FRAME,), side: int = SIDE) -> DataFrame:
     """Laplacian bands mixed with the weights blurred to each band's scale, renormalised per band."""
     p = py.pyramid(px.select(STACK, *by, Y, X, "h", "w", *RGB, weight), RGB, [weight], levels, by=by, side=side, depth=depth)
     bands = p.groupBy(STACK, "levels", "level", Y, X, "h", "w").agg(
         *[(F.sum(F.col(weight) * F.col(c)) / (F.sum(weight) + 1e-8)).alias(c) for c in RGB])
-    return _image(py.collapse(bands, RGB, side=side, depth=depth))
+    return _image(py.collapse(bands, RGB, side=side, depth=py.planned(levels, depth)))
 
 
-def fuse_blend(px: DataFrame, levels: int | None = None, depth: int = py.CAP, side: int = SIDE, **kw) -> DataFrame:
+def fuse_blend(px: DataFrame, levels: int | None = None, depth: int | None = None, side: int = SIDE, **kw) -> DataFrame:
     return multiband_blend(guided_weights(px, side=side, **kw), "wt", levels, depth, side=side)
 
 
@@ -152,7 +152,7 @@ def coherent_weights(px: DataFrame, side: int = SIDE, **kw) -> DataFrame:
     return w.withColumn("wt", (first_max("wt", FRAME) == best).cast("double"))
 
 
-def fuse_coherent(px: DataFrame, levels: int | None = None, depth: int = py.CAP, side: int = SIDE, **kw) -> DataFrame:
+def fuse_coherent(px: DataFrame, levels: int | None = None, depth: int | None = None, side: int = SIDE, **kw) -> DataFrame:
     return multiband_blend(coherent_weights(px, side, **kw), "wt", levels, depth, side=side)
 
 
@@ -198,7 +198,7 @@ def perband_weights(p: DataFrame, radius: int = 6, eps: float = 1e-3, k: int = 7
     return blocked(d, k // 2 + 2 * radius, body, side)
 
 
-def fuse_perband(px: DataFrame, levels: int | None = None, depth: int = py.CAP, usable: str | None = None,
+def fuse_perband(px: DataFrame, levels: int | None = None, depth: int | None = None, usable: str | None = None,
                  boundary: str | None = None, side: int = SIDE, **kw) -> DataFrame:
     """A decision per band with edge-aware weights; the base takes the coarsest weights, halved."""
     px = px if "gray" in px.columns else ev.with_gray(px)
@@ -213,7 +213,7 @@ def fuse_perband(px: DataFrame, levels: int | None = None, depth: int = py.CAP,
     base = p.filter("level = levels").join(low, [STACK, FRAME, Y, X])
     total = Window.partitionBy(STACK, Y, X)
     base = base.withColumn("wt", F.col("wt") / (F.sum("wt").over(total) + 1e-8))
-    return _image(py.collapse(mix(w).unionByName(mix(base)), RGB, side=side, depth=depth))
+    return _image(py.collapse(mix(w).unionByName(mix(base)), RGB, side=side, depth=py.planned(levels, depth)))
 
 
 def instability(px: DataFrame, v: str = "gray", neighbourhood: int = 5, ceiling: float = 0.25, floor: float = 0.5,
@@ -238,7 +238,7 @@ def consistency_route(px: DataFrame, v: str = "gray", threshold: float = INSTABI
     return instability(px, v, **kw).withColumn("coherent", F.col("score") >= threshold)
 
 
-def fuse_routed(px: DataFrame, depth: int = py.CAP, threshold: float = INSTABILITY, coherent: dict | None = None,
+def fuse_routed(px: DataFrame, depth: int | None = None, threshold: float = INSTABILITY, coherent: dict | None = None,
                 perband: dict | None = None, side: int = SIDE) -> DataFrame:
     """Unstable stacks share one decision over all bands, the others decide per band."""
     px = ev.with_gray(px)
@@ -263,7 +263,7 @@ def depth_from_focus(px: DataFrame, v: str = "gray", method: str = "content_awar
 
 
 def fuse_adaptive(candidates: DataFrame, quality: DataFrame, radius: int = 8, eps: float = 1e-3, levels: int | None = None,
-                  depth: int = py.CAP, side: int = SIDE) -> DataFrame:
+                  depth: int | None = None, side: int = SIDE) -> DataFrame:
     """Per-pixel choice between candidate images by a quality map, smoothed and blended over bands.
 
     ``candidates``: stack_id, preset, y, x, h, w, b, g, r; ``quality``: stack_id, preset, y, x, q.

@@ -75,11 +75,15 @@ def size_of(axis: str) -> Column:
 
 
 def pad(df: DataFrame, axis: str, r: int) -> DataFrame:
-    """Reflect one axis by ``r`` pixels without repeating the edge; needs r <= size - 1."""
+    """Reflect one axis by ``r`` pixels without repeating the edge, again and again where r reaches beyond the image."""
     c, last = F.col(axis), size_of(axis) - 1
-    mirrored = F.filter(
+    once = F.filter(
         F.array_distinct(F.array(c, -c, 2 * last - c)), lambda p: (p >= -r) & (p <= last + r)
     )
+    period = F.greatest(2 * last, F.lit(1))
+    fold = lambda p: F.least(F.pmod(p, period), 2 * last - F.pmod(p, period))
+    often = F.filter(F.sequence(F.lit(-r), (last + r).cast("int")), lambda p: (last == 0) | (fold(p) == c))
+    mirrored = F.when(F.lit(r) <= last, once).otherwise(often)
     inner = (c > r) & (c < last - r)
     return df.withColumn(axis, F.explode(F.when(inner, F.array(c)).otherwise(mirrored)))
 

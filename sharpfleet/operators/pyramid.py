@@ -26,6 +26,16 @@ def auto_levels(h="h", w="w", requested: int | None = None) -> Column:
     return F.greatest(F.lit(1), F.least(hard, F.lit(CAP if requested is None else requested)))
 
 
+def planned(levels: int | None = None, depth: int | None = None) -> int:
+    """Levels that a plan holds: ``depth`` where given, else the requested depth or the cap that holds without a request."""
+    return depth or levels or CAP
+
+
+def _deepest(level: Column, depth: int) -> Column:
+    """``level``, or an error when an image is deeper than the plan; nothing is cut in silence."""
+    return F.when(level > depth, F.raise_error(F.lit(f"an image has more than {depth} pyramid levels; raise depth"))).otherwise(level).cast("int")
+
+
 def halve(df: DataFrame) -> DataFrame:
     """Keep even pixels and renumber them."""
     return df.filter((F.col(Y) % 2 == 0) & (F.col(X) % 2 == 0)).withColumns({
@@ -97,15 +107,16 @@ def pyramid(px: DataFrame, details: Sequence[str], lows: Sequence[str] = (), lev
 
     Columns ``level`` (0 finest) and ``levels`` (index of the base); ``details`` hold band-pass values
     below the base and the low-pass image at the base, ``lows`` the low-pass image at every level.
-    ``depth`` bounds the number of levels planned when the largest image is known to be small.
+    ``depth`` is the number of levels planned when the largest image is known to be small; a deeper image is an error.
     """
+    depth = planned(levels, depth)
     every = [STACK, *by, Y, X, "h", "w", *details, *lows]
     g = px.select(*[F.col(c).cast("double").alias(c) if c in (*details, *lows) else F.col(c) for c in every],
-                  F.lit(0).alias("level"), auto_levels("h", "w", levels).alias("levels"))
+                  F.lit(0).alias("level"), _deepest(auto_levels("h", "w", levels), depth).alias("levels"))
     every += ["level", "levels"]
     half = lambda c: F.floor(F.col(c) / 2).cast("int")
     out = None
-    for _ in range(min(CAP, levels or CAP, depth or CAP)):
+    for _ in range(depth):
         s = shared(_split(g, details, lows, by, side))
         part = s.select(*every)
         out = part if out is None else out.unionByName(part)
@@ -117,11 +128,12 @@ def pyramid(px: DataFrame, details: Sequence[str], lows: Sequence[str] = (), lev
     return out.unionByName(g.select(*every))
 
 
-def collapse(bands: DataFrame, cols: Sequence[str], by=(), side: int = SIDE, depth: int = CAP) -> DataFrame:
-    """Sum of all bands on the finest grid. ``bands`` has level, levels, y, x, h, w and one row per pixel and level."""
+def collapse(bands: DataFrame, cols: Sequence[str], by=(), side: int = SIDE, depth: int | None = None) -> DataFrame:
+    """Sum of all bands on the finest grid. ``bands`` has level, levels, y, x, h, w and one row per pixel and level, ``depth`` as the pyramid."""
+    depth = planned(None, depth)
     size = F.struct("h", "w")
     keep = [STACK, *by, "levels", "level", Y, X, "h", "w"]
-    bands = cut(bands.select(*keep, *cols))  # one image per stack: small next to the frames
+    bands = cut(bands.withColumn("level", _deepest(F.col("level"), depth)).select(*keep, *cols))  # one image per stack: small next to the frames
     full = bands.filter("level = 0").groupBy(STACK, *by).agg(F.max(size).alias("_full"))
 
     def size_at(level: Column, axis: str) -> Column:

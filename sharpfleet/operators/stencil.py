@@ -44,18 +44,14 @@ def _named(px: DataFrame, outs: Mapping[str, Column | str]) -> DataFrame:
     return px.withColumns({k: F.col(e) if isinstance(e, str) else e for k, e in outs.items()})
 
 
+def _upto(n: str, axis: str, by: By, k: int) -> Column:
+    """Total of ``n`` over all pixels of the line up to ``k`` pixels after this one: a running total, whatever ``k`` and whichever pixels are missing."""
+    return F.coalesce(F.sum(n).over(line(axis, by).rangeBetween(Window.unboundedPreceding, k)), F.lit(0))
+
+
 def _line_sums(df: DataFrame, names: Sequence[str], axis: str, r: int, by: By) -> DataFrame:
-    df, win = pad(df, axis, r), line(axis, by)
-    if r < 4:
-        df = df.withColumns({n: F.sum(n).over(win.rangeBetween(-r, r)) for n in names})
-    else:  # running totals keep the cost per row independent of the radius
-        run = win.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        df = df.withColumns({n: F.sum(n).over(run) for n in names})
-        df = df.withColumns({
-            n: F.lead(n, r).over(win) - F.coalesce(F.lag(n, r + 1).over(win), F.lit(0))
-            for n in names
-        })
-    return unpad(df, axis)
+    df = pad(df, axis, r)
+    return unpad(df.withColumns({n: _upto(n, axis, by, r) - _upto(n, axis, by, -r - 1) for n in names}), axis)
 
 
 def box(px: DataFrame, outs: Mapping[str, Column | str], r: int, by: By = _FRAME,
@@ -75,14 +71,12 @@ def box_by(px: DataFrame, outs: Mapping[str, Column | str], radius: Column, rmax
     def body(df):
         df = _named(df.withColumn("_rad", radius), outs)
         for axis in (X, Y):
-            df, win = pad(df, axis, rmax), line(axis, by)
-            run = win.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            df = df.withColumns({n: F.sum(n).over(run) for n in outs})
+            df = pad(df, axis, rmax)
 
             def pick(n):
                 out = None
                 for r in range(1, rmax + 1):
-                    v = F.lead(n, r).over(win) - F.coalesce(F.lag(n, r + 1).over(win), F.lit(0))
+                    v = _upto(n, axis, by, r) - _upto(n, axis, by, -r - 1)
                     out = F.when(F.col("_rad") == r, v) if out is None else out.when(F.col("_rad") == r, v)
                 return out
             df = unpad(df.withColumns({n: pick(n) for n in outs}), axis)
@@ -166,17 +160,14 @@ def disk_ladder(px: DataFrame, outs: Mapping[str, Column | str], radii: Sequence
 
     def body(df):
         df = pad(_named(df, {f"_d{i}": e for i, e in enumerate(outs.values())}), X, widest)
-        win = line(X, by)
-        run = win.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         names = [f"_d{i}" for i in range(len(outs))]
-        df = df.withColumns({n: F.sum(n).over(run) for n in names})
         chords = sorted({a for r in radii for a in disk_half_widths(r).values()})
         df = unpad(df.withColumns({
-            f"{n}_{a}": (F.lead(n, a).over(win) if a else F.col(n)) - F.coalesce(F.lag(n, a + 1).over(win), F.lit(0))
+            f"{n}_{a}": _upto(n, X, by, a) - _upto(n, X, by, -a - 1)
             for n in names for a in chords
         }), X)
         df, win = pad(df, Y, widest), line(Y, by)
-        at = lambda c, k: F.col(c) if k == 0 else F.lead(c, k).over(win) if k > 0 else F.lag(c, -k).over(win)
+        at = lambda c, k: F.col(c) if k == 0 else F.coalesce(F.sum(c).over(win.rangeBetween(k, k)), F.lit(0))
         cols = {}
         for n, name in zip(names, outs):
             for r in radii:

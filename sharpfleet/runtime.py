@@ -30,12 +30,16 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and continue from the files.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``; only where none is
-    named (tests on one machine) a fresh temporary folder is used.
+    named and the session is local (tests) a fresh temporary folder is used.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-cut-")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="spark-cut-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 

@@ -37,6 +37,18 @@ def pixels(spark: SparkSession, folder: str, tiles: int = 1) -> DataFrame:
     return array_pixels(table(spark, folder, "embeddings"), F.col("vec_id"), "embedding", 5, tiles)
 
 
+def frames_as_stacks(px: DataFrame, frames: int = 5) -> DataFrame:
+    """Every frame as a stack of one frame."""
+    return px.withColumn("stack_id", F.col("stack_id") * frames + F.col("frame")).withColumn("frame", F.lit(0))
+
+
+def frame_pairs(px: DataFrame, frames: int = 5) -> DataFrame:
+    """Every frame and the one after it as a stack of two frames; inner frames are in two of them."""
+    at = F.explode(F.array(F.lit(0), F.lit(1)))
+    out = px.withColumn("_at", at).filter(F.col("frame").between(F.col("_at"), frames - 2 + F.col("_at")))
+    return out.withColumn("stack_id", F.col("stack_id") * frames + F.col("frame") - F.col("_at")).withColumn("frame", F.col("_at")).drop("_at")
+
+
 def colour(px: DataFrame) -> DataFrame:
     """Three channels from the gray value and the position."""
     return px.withColumns({
@@ -51,8 +63,8 @@ def truth(px: DataFrame) -> DataFrame:
 
 
 def masks(px: DataFrame) -> DataFrame:
-    """Sparse masks 0..3 on frames 0 and 1: set pixels above 90 + 20·mask_id."""
-    m = px.filter("frame <= 1").withColumn("mask_id", F.explode(F.array(*[F.lit(i) for i in range(4)])))
+    """Sparse masks 0..3 on every frame: set pixels above 90 + 20·mask_id."""
+    m = px.withColumn("mask_id", F.explode(F.array(*[F.lit(i) for i in range(4)])))
     return m.filter("v > 90 + 20 * mask_id").select("stack_id", "frame", "mask_id", "y", "x", "h", "w")
 
 
