@@ -18,7 +18,7 @@ from sharpfleet.llm.textkit import chunked, code_points, grams
 
 Q = 8
 STRETCH = 60  # a leak is a stretch of so many characters, or the whole of a shorter item
-RATE = 0.08  # edits allowed per character
+RATE = 0.05  # edits allowed per character
 BAND = 16
 BLOCK = 1_000_000  # characters of the benchmark that a task holds at a time
 GAP = 0x110000  # between texts; no character has this code
@@ -68,41 +68,44 @@ def build_index(items: list[tuple[int, str]]) -> GramIndex:
     return GramIndex(ids, codes, n, e, n + 1 - Q * (e + 1), hashes, np.append(begin, len(flat)), owner[order], at[order], seen)
 
 
-def banded_edits(a: np.ndarray, b: np.ndarray, reach: int) -> tuple[int, int, int]:
-    """Fewest edits that turn ``a`` into some stretch of ``b``, with that stretch's ends.
+def banded_edits(a: np.ndarray, b: np.ndarray, size: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per row: fewest edits that turn ``a`` into some stretch of the first ``size`` elements of ``b``, and that stretch's ends.
 
-    Only cells whose diagonal differs from the slack of ``b`` by ``reach`` at most are computed.
+    a [rows, n], b [rows, m]. All rows are aligned at once; only cells whose diagonal differs from the slack of ``b`` by
+    ``reach`` at most are computed.
     """
-    low, high = -reach, max(0, len(b) - len(a)) + reach
-    width, far = high - low + 1, 1 << 20
-    col = np.arange(width) + low  # position in b of the cells of row 0
-    cost = np.where((col >= 0) & (col <= len(b)), 0, far)
-    start = col.copy()
-    for i in range(1, len(a) + 1):
-        j = np.arange(width) + low + i
-        ok = (j >= 0) & (j <= len(b))
-        same = np.zeros(width, bool)
-        inside = (j >= 1) & (j <= len(b))
-        same[inside] = b[j[inside] - 1] == a[i - 1]
-        new, new_start = cost + ~same, start.copy()
-        up = np.append(cost[1:], far) + 1
+    (rows, n), m = a.shape, b.shape[1]
+    low, width, far = -reach, max(0, m - n) + 2 * reach + 1, 1 << 20
+    col = np.arange(width)
+    at = col + low  # position in b of the cells of row 0
+    cost = np.where((at >= 0) & (at <= size[:, None]), 0, far)
+    start = np.broadcast_to(at, cost.shape).copy()
+    wide = np.full((rows, n + width + 2 * reach), -1, np.int64)  # b with room on both sides
+    wide[:, reach : reach + m] = np.where(np.arange(m) < size[:, None], b, -1)
+    edge = np.full((rows, 1), far)
+    for i in range(1, n + 1):
+        j = at + i
+        new = cost + (wide[:, i - 1 : i - 1 + width] != a[:, i - 1, None])
+        up = np.concatenate([cost[:, 1:], edge], 1) + 1
         take = up < new
-        new, new_start = np.where(take, up, new), np.where(take, np.append(start[1:], 0), new_start)
-        new = np.where(ok, new, far)
+        new = np.where(take, up, new)
+        new_start = np.where(take, np.concatenate([start[:, 1:], edge], 1), start)
+        new = np.where((j >= 0) & (j <= size[:, None]), new, far)
         # steps along the row: the cheapest earlier cell plus its distance
-        slope = new - np.arange(width)
-        best = np.minimum.accumulate(slope)
-        from_ = np.maximum.accumulate(np.where(slope == best, np.arange(width), 0))
-        along = best + np.arange(width)
-        take = along < new
-        cost, start = np.where(take & ok, along, new), np.where(take, new_start[from_], new_start)
-    end = int(np.argmin(cost))
-    return int(cost[end]), int(start[end]), end + low + len(a)
-
-
-def candidates(c: np.ndarray, offsets: np.ndarray, index: GramIndex) -> np.ndarray:
-    """Rows (text, item, first and last q-gram in the text, in the item) of regions with enough shared q-grams."""
-    none = np.zeros((0, 6), np.int64)
+        slope = new - col
+        best = np.minimum.accumulate(slope, 1)
+        source = np.maximum.accumulate(np.where(slope == best, col, 0), 1)
+        take = (best + col < new) & (j >= 0) & (j <= size[:, None])
+        cost = np.where(take, best + col, new)
+        start = np.where(take, np.take_along_axis(new_start, source, 1), new_start)
+    end = cost.argmin(1)
+    row = np.arange(rows)
+    return cost[row, end], start[row, end], end + low + n
+
+
+def candidates(c: np.ndarray, offsets: np.ndarray, index: GramIndex) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(text, item, places of the shared q-grams in the text, in the item) of regions with enough of them in a band."""
+    none: list = []
     h = grams(c, Q)
     pos = np.flatnonzero(index.seen[(h >> np.uint64(42)).astype(np.int64)])
     if not len(pos) or not len(index.hashes):
@@ -120,10 +123,15 @@ def candidates(c: np.ndarray, offsets: np.ndarray, index: GramIndex) -> np.ndarr
     band = np.concatenate([band, band[over] - 1])
     order = np.lexsort((pos, band, item, text))
     pos, item, at, text, band = (x[order] for x in (pos, item, at, text, band))
-    last = np.arange(len(pos)) + index.least[item] - 1
-    ok = last < len(pos)
-    last = np.minimum(last, len(pos) - 1)
-    ok &= (text[last] == text) & (item[last] == item) & (band[last] == band) & (pos[last] - pos <= index.size[item] + index.edits[item] - Q)
+    # a place in the text counts once in a band, however many places of the item it equals
+    once = np.ones(len(pos), bool)
+    once[1:] = (pos[1:] != pos[:-1]) | (band[1:] != band[:-1]) | (item[1:] != item[:-1]) | (text[1:] != text[:-1])
+    once = np.flatnonzero(once)
+    p, it, tx, bd = pos[once], item[once], text[once], band[once]
+    last = np.arange(len(p)) + index.least[it] - 1
+    ok = last < len(p)
+    last = np.minimum(last, len(p) - 1)
+    ok &= (tx[last] == tx) & (it[last] == it) & (bd[last] == bd) & (p[last] - p <= index.size[it] + index.edits[it] - Q)
     first = np.flatnonzero(ok)
     if not len(first):
         return none
@@ -131,8 +139,8 @@ def candidates(c: np.ndarray, offsets: np.ndarray, index: GramIndex) -> np.ndarr
     new = np.ones(len(first), bool)  # windows that overlap in one band are one region
     new[1:] = first[1:] > np.maximum.accumulate(last)[:-1]
     run = np.flatnonzero(new)
-    a, b = first[run], np.maximum.reduceat(last, run)
-    return np.column_stack([text[a], item[a], pos[a], pos[b], at[a], at[b]])
+    a, b = once[first[run]], np.append(once, len(pos))[np.maximum.reduceat(last, run) + 1] - 1
+    return [(int(text[x]), int(item[x]), pos[x : y + 1], at[x : y + 1]) for x, y in zip(a, b)]
 
 
 def leaks(texts: list[str], index: GramIndex) -> list[tuple[int, int, int, int, int, int, int]]:
@@ -144,26 +152,42 @@ def leaks(texts: list[str], index: GramIndex) -> list[tuple[int, int, int, int,
         offsets = np.concatenate([[0], np.cumsum([len(t) + 1 for t in part])])
         c = plain(c)
         c[offsets[1:] - 1] = GAP
-        for text, item, p0, p1, i0, i1 in candidates(c, offsets, index).tolist():
-            a, begin, stop = index.codes[item], offsets[text], offsets[text + 1] - 1
-            n, e = int(index.size[item]), int(index.edits[item])
-            i0, i1 = min(i0, i1), max(i0, i1) + Q
-            slack = BAND + e
-            lo, hi = max(begin, p0 - slack), min(stop, p1 + Q + slack)
-            cost, x, y = banded_edits(a[i0:i1], c[lo:hi], slack)
-            if i1 - i0 >= n and cost <= RATE * (i1 - i0):
-                found.append((s.start + text, index.items[item], lo - begin + x, lo - begin + y, i0, i1, cost))
+        for text, item, pos, at in candidates(c, offsets, index):
+            a, begin, stop = index.codes[item], int(offsets[text]), int(offsets[text + 1]) - 1
+            n, e, least = int(index.size[item]), int(index.edits[item]), int(index.least[item])
+            i0, i1, slack = int(at.min()), int(at.max()) + Q, BAND + e
+            lo, hi = max(begin, int(pos[0]) - slack), min(stop, int(pos[-1]) + Q + slack)
+            if i1 - i0 >= n:
+                edits = int(RATE * (i1 - i0))
+                if np.array_equal(c[pos[0] : pos[0] + i1 - i0], a[i0:i1]):
+                    found.append((s.start + text, index.items[item], int(pos[0]) - begin, int(pos[0]) - begin + i1 - i0, i0, i1, 0))
+                    continue
+                if len(np.unique(at)) >= i1 - i0 + 1 - Q * (edits + 1):  # the bound for the region as a whole
+                    cost, x, y = (int(v[0]) for v in banded_edits(a[None, i0:i1], c[None, lo:hi], np.array([hi - lo]), slack))
+                    if cost <= edits:
+                        found.append((s.start + text, index.items[item], lo - begin + x, lo - begin + y, i0, i1, cost))
+                        continue
+            # else the stretches of n characters that hold enough of the shared q-grams
+            first = np.arange(max(0, i0 - n + Q), min(len(a) - n, i1 - Q) + 1)
+            places = np.unique(at)
+            held = np.searchsorted(places, first + n - Q, side="right") - np.searchsorted(places, first)
+            first = first[held >= least]
+            if not len(first):
                 continue
-            spans = []  # else the stretches of n characters inside it
-            for i in range(max(0, i0 - n + Q), min(len(a) - n, i1) + 1):
-                shift = p0 - i0
-                lo, hi = max(begin, i + shift - slack), min(stop, i + shift + n + slack)
-                if hi - lo >= n - e:
-                    cost, x, y = banded_edits(a[i : i + n], c[lo:hi], slack)
-                    if cost <= e:
-                        spans.append((cost, lo - begin + x, lo - begin + y, i, i + n))
-            if spans:
-                found.append((s.start + text, index.items[item], min(z[1] for z in spans), max(z[2] for z in spans), min(z[3] for z in spans), max(z[4] for z in spans), min(z[0] for z in spans)))
+            near = np.clip(np.searchsorted(at, first), 0, len(at) - 1) if (np.diff(at) >= 0).all() else np.zeros(len(first), np.int64)
+            lo = np.maximum(begin, first + (pos - at)[near] - slack)
+            size = np.minimum(stop - lo, n + 2 * slack)
+            ok = size >= n - e
+            first, lo, size = first[ok], lo[ok], size[ok]
+            if not len(first):
+                continue
+            cells = np.arange(n + 2 * slack)
+            part = c[np.minimum(lo[:, None] + cells, len(c) - 1)]
+            cost, x, y = banded_edits(a[first[:, None] + np.arange(n)], part, size, slack)
+            good = cost <= e
+            if good.any():
+                first, lo, x, y = first[good], lo[good] - begin, x[good], y[good]
+                found.append((s.start + text, index.items[item], int((lo + x).min()), int((lo + y).max()), int(first.min()), int(first.max()) + n, int(cost[good].min())))
     return sorted(set(found))
 
 

@@ -23,7 +23,7 @@ def test_banded_alignment_equals_the_full_one():
     for _ in range(200):
         a = [r.randint(0, 3) for _ in range(r.randint(1, 30))]
         b = [r.randint(0, 3) for _ in range(5)] + [x if r.random() > 0.1 else 9 for x in a if r.random() > 0.05] + [r.randint(0, 3) for _ in range(5)]
-        cost, x, y = D.banded_edits(np.array(a), np.array(b), 40)
+        cost, x, y = (int(v[0]) for v in D.banded_edits(np.array([a]), np.array([b]), np.array([len(b)]), 40))
         assert cost == edits(a, b) and 0 <= x <= y <= len(b) and edits(a, b[x:y]) == cost
 
 
