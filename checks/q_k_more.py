@@ -57,15 +57,15 @@ add("G31_edge_offset", lambda s, f: rg.edge_offset(px(s, f, 5), (5, 30, 10, 21),
 
 def grown(s, f):
     start = seeds(s, f).select("stack_id", F.col("seed_id").alias("feature_id"), F.col("sx").alias("x"), F.col("sy").alias("y"))
-    return gp.grow(meas(s, f), MOT(s, f), start, 52.0, 4.0, 4).select("stack_id", "feature_id")
+    return gp.grow(meas(s, f), MOT(s, f), start, 52.0, 2.0).select("stack_id", "feature_id")
 
 
 def grown_sql():
-    q = mot_q().add("ft", FT).add("sd", SEED).add("fi", "SELECT m.stack_id, feature_id, m.x, m.y FROM measure m JOIN tr ON tr.stack_id=m.stack_id AND tr.frame=m.frame GROUP BY ALL HAVING max(abs(shift-(mx*nx+my*ny))) < 4")
-    q.add("h0", "SELECT stack_id, seed_id AS feature_id, sx AS x, sy AS y FROM sd")
-    for k in range(4):
-        q.add(f"h{k+1}", f"SELECT * FROM h{k} UNION SELECT fi.* FROM fi JOIN h{k} h ON h.stack_id=fi.stack_id AND (fi.x-h.x)*(fi.x-h.x)+(fi.y-h.y)*(fi.y-h.y) < 2704")
-    return q.select("SELECT stack_id, feature_id FROM h4")
+    told = "(mx*nx+my*ny)"
+    q = mot_q().add("ft", FT).add("sd", SEED).add("fi", f"SELECT DISTINCT m.stack_id, feature_id, m.x, m.y FROM measure m JOIN tr ON tr.stack_id=m.stack_id AND tr.frame=m.frame WHERE m.score >= 0.5 AND abs(shift) <= 40 AND abs({told}) >= 2 AND abs(shift-{told}) < 2")
+    q.parts.append("""h AS (SELECT stack_id, seed_id AS feature_id, CAST(sx AS DOUBLE) AS x, CAST(sy AS DOUBLE) AS y FROM sd
+        UNION SELECT fi.stack_id, fi.feature_id, CAST(fi.x AS DOUBLE), CAST(fi.y AS DOUBLE) FROM h JOIN fi ON h.stack_id=fi.stack_id AND (fi.x-h.x)*(fi.x-h.x)+(fi.y-h.y)*(fi.y-h.y) < 2704)""")
+    return q.select("SELECT stack_id, feature_id FROM h")
 
 
 add("E8_coverage_growth", grown, grown_sql())

@@ -192,8 +192,9 @@ def within(features: DataFrame, seeds: DataFrame, radius: float, by: Sequence[st
     return j.filter((F.col("x") - F.col("sx")) * (F.col("x") - F.col("sx")) + (F.col("y") - F.col("sy")) * (F.col("y") - F.col("sy")) < radius * radius)
 
 
-def attach_chain(features: DataFrame, members: DataFrame, radius: float, by: Sequence[str] = (STACK,), rounds: int = 6) -> DataFrame:
-    """Features reached from the members by steps shorter than ``radius``: a semi-join per round, until nothing is added.
+def attach_chain(features: DataFrame, members: DataFrame, radius: float, by: Sequence[str] = (STACK,), rounds: int | None = None) -> DataFrame:
+    """Features reached from the members by steps shorter than ``radius``: a semi-join per round, until nothing is added (or for
+    as many ``rounds`` as asked for).
 
     A feature only asks whether any member lies near, so no pair is kept. Members count once per position:
     features sit on pixels, so a bucket of that side holds at most radius² different positions.
@@ -202,7 +203,8 @@ def attach_chain(features: DataFrame, members: DataFrame, radius: float, by: Seq
     cell = lambda c: F.floor(F.col(c) / radius).cast("long")
     rest = cut(features.join(members.select(*by, "feature_id"), [*by, "feature_id"], "left_anti").withColumns({"_cy": cell("y"), "_cx": cell("x")}))
     found, front = members.select(*by, "feature_id", "x", "y"), members.select(*by, "feature_id", "x", "y")
-    for _ in range(rounds):
+    while rounds is None or rounds > 0:
+        rounds = rounds and rounds - 1
         probe = front.select(*by, F.col("x").alias("sx"), F.col("y").alias("sy")).distinct()
         probe = probe.withColumn("_cy", F.explode(F.sequence(cell("sy") - 1, cell("sy") + 1))).withColumn("_cx", F.explode(F.sequence(cell("sx") - 1, cell("sx") + 1)))
         near = (F.col("r.x") - F.col("p.sx")) * (F.col("r.x") - F.col("p.sx")) + (F.col("r.y") - F.col("p.sy")) * (F.col("r.y") - F.col("p.sy")) < radius * radius
@@ -215,9 +217,14 @@ def attach_chain(features: DataFrame, members: DataFrame, radius: float, by: Seq
     return found
 
 
-def grow(m: DataFrame, motion: DataFrame, members: DataFrame, radius: float, near: float = 3.0, rounds: int = 6) -> DataFrame:
-    """Coverage of a group: features whose shifts it predicts in every frame, reached from its members in short steps."""
+def grow(m: DataFrame, motion: DataFrame, members: DataFrame, radius: float, near: float = 3.0, peak: float = 0.5, reach: float = 40.0, rounds: int | None = None) -> DataFrame:
+    """Coverage of a group: features that move with it, reached from its members in steps shorter than ``radius``.
+
+    A frame speaks for a feature when its match is good enough (score, shift) and the group's motion along the normal
+    is at least ``near``, so that the edge could show it; one such frame that agrees is enough, others do not veto.
+    """
     j = attach(m, motion.select(STACK, FRAME, "mx", "my"), [STACK, FRAME])
-    off = F.abs(F.col("shift") - (F.col("mx") * F.col("nx") + F.col("my") * F.col("ny")))
-    fit = j.groupBy(STACK, "feature_id", "x", "y").agg(F.max(off).alias("_o")).filter(F.col("_o") < near).drop("_o")
+    told = F.col("mx") * F.col("nx") + F.col("my") * F.col("ny")
+    agrees = (F.col("score") >= peak) & (F.abs("shift") <= reach) & (F.abs(told) >= near) & (F.abs(F.col("shift") - told) < near)
+    fit = j.filter(agrees).select(STACK, "feature_id", "x", "y").distinct()
     return attach_chain(fit, members, radius, rounds=rounds)
