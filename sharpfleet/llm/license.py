@@ -71,7 +71,7 @@ def templates(spark: SparkSession) -> tuple[DataFrame, dict[int, list[str]]]:
 def spans(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words) of every document, with a row per span: template, label, base, votes, cover, first, last (places of first words), end.
 
-    A document without a match has one row of nulls. Null texts count as empty. Rows that share an id count as one
+    Every document also has one row for itself, where template and label are null. Null texts count as empty. Rows that share an id count as one
     document: their matches add up, and n_words is that of the longest.
     """
     spark = docs.sparkSession

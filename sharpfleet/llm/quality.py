@@ -59,7 +59,9 @@ def _features(texts: list[str]) -> np.ndarray:
     n = np.maximum(np.diff(at), 1)
     w, length, wat = words(texts)
     nw = np.maximum(np.diff(wat), 1)
-    pairs = w * np.uint64(3) + np.concatenate([w[1:], w[:1]]) if len(w) else w
+    after = np.append(w[1:], np.uint64(0))[: len(w)]
+    after[wat[1:][wat[1:] > wat[:-1]] - 1] = 0  # the last word of a text has none after it
+    pairs = w * np.uint64(3) + after
     lines, lat = [], [0]
     for t in texts:
         lines += [hash(x) for x in t.split("\n")]

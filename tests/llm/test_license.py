@@ -33,5 +33,5 @@ def test_spans_of_templates(spark):
     got = {r["doc_id"]: r for r in L.scan(docs).collect()}
     assert [got[i]["labels"] for i in (1, 2, 3, 4, 5)] == ["mit", "mit", "", "", "mit"]
     assert got[1]["score"] == 1.0 and 0.8 < got[2]["score"] < 1 and 0 < got[3]["score"] < 0.5 and got[4]["score"] == 0
-    spans = L.spans(docs.filter("doc_id = 5")).filter(F.col("cover") >= 0.5).orderBy("first").collect()
+    spans = L.spans(docs.filter("doc_id = 5")).filter((F.col("cover") >= 0.5) & F.col("label").isNotNull()).orderBy("first").collect()
     assert [(s["first"], s["end"]) for s in spans] == [(0, len(words)), (len(words) + 120, 2 * len(words) + 120)]
