@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -135,27 +136,40 @@ def column_runs(px: DataFrame, mask: str) -> DataFrame:
 _RECTANGLE = T.StructType([T.StructField("area", T.LongType()), *[T.StructField(n, T.IntegerType()) for n in ("x0", "x1", "height")]])
 
 
+def _not_lower(bars: np.ndarray) -> np.ndarray:
+    """For every bar of every row: how many bars right before it are at least as high. Minima of 2^k bars decide 2^k steps at once."""
+    low, size = [bars], 1
+    while 2 * size <= bars.shape[1]:
+        low.append(np.minimum(low[-1][:, : bars.shape[1] - 2 * size + 1], low[-1][:, size : bars.shape[1] - size + 1]))
+        size *= 2
+    row, count = np.arange(len(bars))[:, None], np.zeros(bars.shape, np.int64)
+    place = np.arange(bars.shape[1])[None, :]
+    for k in range(len(low) - 1, -1, -1):
+        start = place - count - (1 << k)
+        count += (1 << k) * ((start >= 0) & (low[k][row, np.maximum(start, 0)] >= bars))
+    return count
+
+
 @F.pandas_udf(_RECTANGLE)
 def _widest(rows: pd.Series) -> pd.DataFrame:
-    out = []
-    for bars in rows:
-        best, open_bars = (0, 0, 0, 0), []
-        for x, h in enumerate([*bars, 0]):
-            start = x
-            while open_bars and open_bars[-1][1] >= h:
-                start, tall = open_bars.pop()
-                if tall * (x - start) > best[0]:
-                    best = (int(tall * (x - start)), start, x, int(tall))
-            open_bars.append((start, h))
-        out.append(best)
-    return pd.DataFrame(out, columns=["area", "x0", "x1", "height"])
+    """The largest rectangle under each row of bars: every bar is as wide as the bars on both sides that are not lower; the leftmost of equal ones."""
+    bars = np.zeros((len(rows), max([1, *map(len, rows)])), np.int64)
+    for i, r in enumerate(rows):
+        bars[i, : len(r)] = r
+    before, after = _not_lower(bars), _not_lower(bars[:, ::-1])[:, ::-1]
+    area = bars * (before + after + 1)
+    x = area.argmax(1)
+    row = np.arange(len(rows))
+    x0, x1 = x - before[row, x], x + after[row, x] + 1
+    full = area[row, x] > 0
+    return pd.DataFrame({"area": area[row, x], "x0": np.where(full, x0, 0), "x1": np.where(full, x1, 0), "height": bars[row, x]}).astype({"x0": "int32", "x1": "int32", "height": "int32"})
 
 
 def largest_rectangle(px: DataFrame, mask: str) -> DataFrame:
     """Largest all-set rectangle per stack (y0, x0, y1, x1; ends exclusive), first met in scan order.
 
-    Every image line is one array of run heights; the best rectangle ending on that line comes from a
-    linear pass over it, then the lines compete.
+    Every image line is one array of run heights; the best rectangle ending on that line comes from
+    the bars' widths, then the lines compete.
     """
     rows = column_runs(px, mask).groupBy(STACK, Y).agg(F.sort_array(F.collect_list(F.struct(X, "run"))).alias("_l"))
     rows = rows.select(STACK, Y, _widest(F.transform("_l", lambda e: e["run"])).alias("_r"))
