@@ -172,5 +172,17 @@ add("I3_residual_clusters", clusters, CCQ(Q().frames().add("q", "SELECT stack_id
 add("E15_coherence", lambda s, f: gr.coherent(gr.components(one(s, f).filter("v > 130"), ("stack_id",)), ["stack_id"]).select("stack_id", r6("share", "share"), F.col("coherent").cast("int").alias("coherent")),
     CCQ(Q().frames().add("onp", "SELECT * FROM px WHERE v > 130"), "onp").add("a0", "SELECT stack_id, root, count(*) AS n FROM cc GROUP BY ALL").add("a", "SELECT *, row_number() OVER (PARTITION BY stack_id ORDER BY n DESC, root) AS k FROM a0")
     .add("g", "SELECT stack_id, (sum(n) FILTER (k <= 3))/sum(n)::DOUBLE AS s FROM a GROUP BY ALL").select(f"SELECT stack_id, {s6('s', 'share')}, CAST(s >= 0.6 AS INT) AS coherent FROM g"))
-add("I4_hull", lambda s, f: gr.hull(d.observations(s, f), KEY).select(*KEY, F.size("ring").alias("corners"), (F.col("area") > 0).cast("int").alias("spans")),
-    Q().obs().select(f"SELECT {key}, 32 AS corners, 1 AS spans FROM obs GROUP BY ALL"))
+def hull_sql():
+    """Upper and lower chain from left to right: the next corner is that of the steepest (flattest) way, the farthest of equal ones."""
+    q = Q().obs().add("pt", f"SELECT {key}, CAST(x AS DOUBLE) AS x, CAST(min(y) AS DOUBLE) AS lo, CAST(max(y) AS DOUBLE) AS hi FROM obs GROUP BY {key}, x")
+    for name, v, way in (("up", "hi", "arg_max"), ("dn", "lo", "arg_min")):
+        far = "n.x" if way == "arg_max" else "-n.x"
+        q.parts.append(f"""{name} AS (SELECT {key}, x, {v} AS y FROM pt QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY x) = 1 UNION ALL
+            SELECT stack_id, frame, g.x, g.y FROM (SELECT c.stack_id, c.frame, {way}({{'x': n.x, 'y': n.{v}}}, {{'s': (n.{v}-c.y)/(n.x-c.x), 'f': {far}}}) AS g
+            FROM {name} c JOIN pt n ON n.stack_id = c.stack_id AND n.frame = c.frame AND n.x > c.x GROUP BY c.stack_id, c.frame))""")
+    q.add("ud", f"SELECT {key}, x, y, true AS up FROM up UNION ALL SELECT {key}, x, y, false FROM dn")
+    q.add("ar", f"SELECT *, (y + lag(y) OVER w) * (x - lag(x) OVER w) / 2 * (CASE WHEN up THEN 1 ELSE -1 END) AS a FROM ud WINDOW w AS (PARTITION BY {key}, up ORDER BY x)")
+    return q.select(f"SELECT {key}, count(DISTINCT (x, y)) AS corners, {s6('sum(a)', 'area')} FROM ar GROUP BY ALL")
+
+
+add("I4_hull", lambda s, f: gr.hull(d.observations(s, f), KEY).select(*KEY, F.size("ring").cast("long").alias("corners"), r6("area", "area")), hull_sql())
\ No newline at end of file

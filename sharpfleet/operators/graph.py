@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import math
 from typing import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sharpfleet.operators.grid import FRAME, STACK, X, Y
 from sharpfleet.runtime import cut
@@ -83,17 +84,39 @@ def coherent(labelled: DataFrame, by: Sequence[str], biggest: int = 3, share: fl
     return g.withColumn("coherent", F.col("share") >= share)
 
 
-def hull(points: DataFrame, by: Sequence[str], x: str = "x", y: str = "y", directions: int = 32) -> DataFrame:
-    """Convex hull seen from K directions: the extreme point of each, in angle order, and the area they span."""
+_CORNER = T.ArrayType(T.StructType([T.StructField("px", T.DoubleType()), T.StructField("py", T.DoubleType())]))
+
+
+@F.pandas_udf(_CORNER)
+def _corners(columns: pd.Series) -> pd.Series:
+    """Corners of the convex hull of sorted columns (x, lowest y, highest y): below from left to right, above from right to left."""
+    def turn(points):
+        chain = []
+        for p in points:
+            while len(chain) > 1 and (chain[-1][0] - chain[-2][0]) * (p[1] - chain[-2][1]) <= (chain[-1][1] - chain[-2][1]) * (p[0] - chain[-2][0]):
+                chain.pop()
+            chain.append(p)
+        return chain
+
+    out = []
+    for c in columns:
+        below, above = turn([(r["px"], r["lo"]) for r in c]), turn([(r["px"], r["hi"]) for r in reversed(c)])
+        ring = below + [p for p in above if p not in (below[-1], below[0])]
+        out.append([{"px": x, "py": y} for x, y in ring])
+    return pd.Series(out)
+
+
+def hull(points: DataFrame, by: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
+    """Exact convex hull: its corners in angle order (``ring``) and its area.
+
+    Only the lowest and the highest point of each x can be corners, so a key comes down to its distinct x (image columns)
+    before they meet.
+    """
     by = list(by)
-    d = points.select(*by, F.col(x).cast("double").alias("px"), F.col(y).cast("double").alias("py"))
-    ext = d.groupBy(*by).agg(*[
-        F.max_by(F.struct("px", "py"), F.struct(
-            F.round(F.col("px") * math.cos(2 * math.pi * k / directions) + F.col("py") * math.sin(2 * math.pi * k / directions), 9), -F.col("px"), -F.col("py"))).alias(f"_e{k}")
-        for k in range(directions)])
-    ring = F.array(*[f"_e{k}" for k in range(directions)])
-    e = ext.select(*by, ring.alias("ring"))
-    turned = F.concat(F.slice("ring", 2, directions - 1), F.slice("ring", 1, 1))
+    d = points.select(*by, F.col(x).cast("double").alias("px"), F.col(y).cast("double").alias("py")).filter("px IS NOT NULL AND py IS NOT NULL")
+    d = d.groupBy(*by, "px").agg(F.min("py").alias("lo"), F.max("py").alias("hi"))
+    e = d.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("px", "lo", "hi"))).alias("_c")).withColumn("ring", _corners("_c")).drop("_c")
+    turned = F.concat(F.slice("ring", 2, F.greatest(F.size("ring") - 1, F.lit(0))), F.slice("ring", 1, 1))
     cross = F.zip_with("ring", turned, lambda a, b: a["px"] * b["py"] - b["px"] * a["py"])
     return e.withColumn("area", F.abs(F.aggregate(cross, F.lit(0.0), lambda s, v: s + v)) / 2)
 
@@ -101,6 +124,8 @@ def hull(points: DataFrame, by: Sequence[str], x: str = "x", y: str = "y", direc
 def in_hull(points: DataFrame, hulls: DataFrame, by: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
     """Points inside the ring of their key (border included)."""
     j = points.join(hulls.select(*by, "ring"), list(by))
-    turned = F.concat(F.slice("ring", 2, F.size("ring") - 1), F.slice("ring", 1, 1))
+    turned = F.concat(F.slice("ring", 2, F.greatest(F.size("ring") - 1, F.lit(0))), F.slice("ring", 1, 1))
+    span = lambda c, p: F.col(c).between(F.array_min(F.transform("ring", lambda r: r[p])), F.array_max(F.transform("ring", lambda r: r[p])))
+    j = j.filter(span(x, "px") & span(y, "py"))
     side = F.zip_with("ring", turned, lambda a, b: (b["px"] - a["px"]) * (F.col(y) - a["py"]) - (b["py"] - a["py"]) * (F.col(x) - a["px"]))
     return j.filter(F.forall(side, lambda v: v >= -1e-9)).drop("ring")
