@@ -134,12 +134,14 @@ def deep_shallow(strings: list[bytes], group: np.ndarray, skip: int = 0) -> tupl
     return order, common
 
 
-def repeated_around(group: np.ndarray, left: list[bytes], right: list[bytes]) -> list[tuple[int, int] | None]:
+def repeated_around(group: np.ndarray, left: list[bytes], right: list[bytes], rank: np.ndarray | None = None) -> list[tuple[int, int] | None]:
     """For places in rising order, with the bytes before and after: which strings around each stood around an earlier place of its group.
 
     The strings begin d bytes before the place; the answer is the largest and smallest such d, None if there is none.
+    ``rank``: rises with the places; none of equal rank is earlier than another.
     """
     n = len(left)
+    rank = np.arange(n) if rank is None else rank
     r_order, r_common = deep_shallow(right, group, GRAM)
     l_order, l_common = deep_shallow([s[::-1] for s in left], group)
     r_len, l_len = np.array([len(s) for s in right]), np.array([len(s) for s in left])
@@ -154,7 +156,7 @@ def repeated_around(group: np.ndarray, left: list[bytes], right: list[bytes]) ->
         lc[l_order] = np.cumsum((l_common < d) | boundary)
         key = rc[ok] * (n + 1) + lc[ok]
         _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-        again = ok[first[inverse] != np.arange(len(ok))]
+        again = ok[rank[ok[first[inverse]]] < rank[ok]]
         high[again] = d
         low[again] = np.minimum(low[again], d)
     return [(int(a), int(b)) if a >= 0 else None for a, b in zip(high, low)]
@@ -166,64 +168,75 @@ def _whole(at: int, left: bytes, right: bytes) -> tuple[int, int] | None:
     return (at - most, at - least + SPAN) if most >= least else None
 
 
-def spans_of(rows: list[tuple[int, int, int, bytes, bytes]]) -> list[tuple[int, int, int]]:
-    """(doc_id, start, end) repeated around anchors. rows: hash, doc_id, place, bytes before, bytes after; whole groups of a hash."""
+def spans_of(rows: list[tuple[int, int, int, int, bytes, bytes]]) -> list[tuple[int, int, int, int]]:
+    """(doc_id, t, start, end) repeated around anchors. rows: hash, doc_id, hash t of the text, place, bytes before, bytes after; whole groups of a hash.
+
+    Places are ordered by (doc_id, place), so equal places of rows that share an id do not count as repeats of each other.
+    """
     out, seen = [], {}
-    for h, doc, at, left, right in sorted(rows, key=lambda r: (r[1], r[2])):
-        if (h, left, right) in seen:
-            if span := _whole(at, left, right):
-                out.append((doc, *span))
-        else:
-            seen[h, left, right] = (doc, at)
+    for h, doc, t, at, left, right in sorted(rows, key=lambda r: (r[1], r[3])):
+        first = seen.setdefault((h, left, right), (doc, at, set()))
+        if first[:2] == (doc, at):
+            first[2].add(t)
+        elif span := _whole(at, left, right):
+            out.append((doc, t, *span))
     count: dict[int, int] = {}
     for h, _, _ in seen:
         count[h] = count.get(h, 0) + 1
     rest = [(h, left, right, *place) for (h, left, right), place in seen.items() if count[h] > 1]
     if rest:
-        for r, found in zip(rest, repeated_around(np.array([r[0] for r in rest]), [r[1] for r in rest], [r[2] for r in rest])):
+        rank = np.cumsum([0, *(x[3:5] != y[3:5] for x, y in zip(rest, rest[1:]))])
+        for r, found in zip(rest, repeated_around(np.array([r[0] for r in rest]), [r[1] for r in rest], [r[2] for r in rest], rank)):
             if found:
-                out.append((r[3], r[4] - found[0], r[4] - found[1] + SPAN))
+                out += [(r[3], t, r[4] - found[0], r[4] - found[1] + SPAN) for t in r[5]]
     return out
 
 
 def repeated_spans(docs: DataFrame, copies: DataFrame, store: Store) -> DataFrame:
-    """(doc_id, spans): byte ranges to remove per document, not merged; not for the documents of ``copies``."""
+    """(doc_id, t, spans): byte ranges to remove per text of an id, not merged; not for those of ``copies``.
+
+    ``docs``: doc_id, text and its hash t, which tells texts of one id apart. Rows that repeat give their spans once.
+    """
 
     def find(batches):
         for b in batches:
-            ids = b["doc_id"].to_numpy()
+            ids, t = b["doc_id"].to_numpy(), b["t"].to_numpy()
             texts = b["text"].tolist()
             for s in chunked(texts):
                 raw = [t.encode() for t in texts[s]]
                 offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
                 at, h = anchors(b"".join(raw), offsets)
                 owner = np.searchsorted(offsets, at, side="right") - 1
-                yield pd.DataFrame({"h": h.view(np.int64), "doc_id": ids[s][owner], "at": (at - offsets[owner]).astype(np.int32)})
+                yield pd.DataFrame({"h": h.view(np.int64), "doc_id": ids[s][owner], "t": t[s][owner], "at": (at - offsets[owner]).astype(np.int32)})
 
-    found = docs.mapInPandas(find, "h long, doc_id long, at int")
+    found = docs.mapInPandas(find, "h long, doc_id long, t long, at int")
     twice = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    places = found.hint("merge").join(twice, "h", "left_semi").join(copies, "doc_id", "left_anti")
-    places = store.put(places.groupBy("doc_id").agg(F.collect_list(F.struct("h", "at")).alias("places")), "places")
+    places = found.hint("merge").join(twice, "h", "left_semi").join(copies, ["doc_id", "t"], "left_anti")
+    places = store.put(places.groupBy("doc_id", "t").agg(F.collect_set(F.struct("h", "at")).alias("places")), "places")
 
     def around(batches):
+        last = None
         for b in batches:
-            rows, seen = [], set()
-            for doc, text, found_at in zip(b["doc_id"].tolist(), b["text"].tolist(), b["places"]):
+            rows, seen = [], {}
+            for doc, t, text, found_at in zip(b["doc_id"].tolist(), b["t"].tolist(), b["text"].tolist(), b["places"]):
+                if (doc, t) == last:  # the row repeats
+                    continue
+                last = doc, t
                 raw = text.encode()
                 for p in sorted(found_at, key=lambda p: p["at"]):
                     h, at = p["h"], p["at"]
                     left, right = raw[max(0, at - REACH) : at], raw[at : at + SPAN]
-                    if (h, left, right) in seen:  # combined before the shuffle: it is not the first
+                    if seen.setdefault((h, left, right), (doc, at)) < (doc, at):  # combined before the shuffle: it is not the first
                         if span := _whole(at, left, right):
-                            rows.append((hash((doc, at)), doc, -1, None, None, *span))
+                            rows.append((hash((doc, at)), doc, t, -1, None, None, *span))
                     else:
-                        seen.add((h, left, right))
-                        rows.append((h, doc, at, left, right, None, None))
-            yield pd.DataFrame(rows, columns=["h", "doc_id", "at", "left", "right", "start", "stop"]).astype({"start": "Int64", "stop": "Int64"})
+                        seen[h, left, right] = (doc, at)
+                        rows.append((h, doc, t, at, left, right, None, None))
+            yield pd.DataFrame(rows, columns=["h", "doc_id", "t", "at", "left", "right", "start", "stop"]).astype({"start": "Int64", "stop": "Int64"})
 
-    text = docs.hint("merge").join(places, "doc_id")
+    text = docs.hint("merge").join(places, ["doc_id", "t"])
     # ids rise within a task, so the first of equal surroundings in a batch is the earliest of the batch
-    strings = text.sortWithinPartitions("doc_id").mapInPandas(around, "h long, doc_id long, at int, left binary, right binary, start long, stop long")
+    strings = text.sortWithinPartitions("doc_id", "t").mapInPandas(around, "h long, doc_id long, t long, at int, left binary, right binary, start long, stop long")
     strings = strings.repartition("h").sortWithinPartitions("h")
 
     def settle(batches):
@@ -231,20 +244,20 @@ def repeated_spans(docs: DataFrame, copies: DataFrame, store: Store) -> DataFram
         for b in batches:
             done = b["start"].notna().to_numpy()
             if done.any():
-                yield b.loc[done, ["doc_id", "start", "stop"]].astype("int64")
-            rows = list(zip(*(b.loc[~done, c].tolist() for c in ("h", "doc_id", "at", "left", "right"))))
+                yield b.loc[done, ["doc_id", "t", "start", "stop"]].astype("int64")
+            rows = list(zip(*(b.loc[~done, c].tolist() for c in ("h", "doc_id", "t", "at", "left", "right"))))
             rest += rows
             if len(rest) > 20_000 and rest[0][0] != rest[-1][0]:
                 cut = len(rest)
                 while rest[cut - 1][0] == rest[-1][0]:
                     cut -= 1
-                yield pd.DataFrame(spans_of(rest[:cut]), columns=["doc_id", "start", "stop"], dtype="int64")
+                yield pd.DataFrame(spans_of(rest[:cut]), columns=["doc_id", "t", "start", "stop"], dtype="int64")
                 rest = rest[cut:]
         if rest:
-            yield pd.DataFrame(spans_of(rest), columns=["doc_id", "start", "stop"], dtype="int64")
+            yield pd.DataFrame(spans_of(rest), columns=["doc_id", "t", "start", "stop"], dtype="int64")
 
-    spans = strings.mapInPandas(settle, "doc_id long, start long, stop long")
-    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = strings.mapInPandas(settle, "doc_id long, t long, start long, stop long")
+    return spans.groupBy("doc_id", "t").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
 def merge(spans: list[tuple[int, int]]) -> list[list[int]]:
@@ -262,15 +275,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     A byte goes when a string of SPAN bytes over it also starts earlier: in a document of smaller id, or earlier in the
     same one. Strings are compared in the input. A document that equals an earlier one of SPAN bytes or more goes whole.
-    Null texts are empty; rows without id are left out; ids should be unique.
+    Null texts are empty; rows without id are left out. Texts that share an id count as one document that has several bytes
+    at a place: equal strings at the same place of them are no repeats, so rows that repeat have equal results.
     """
     store = Store(docs.sparkSession)
-    docs = docs.filter("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    keys = docs.select("doc_id", F.xxhash64("text").alias("t1"), F.sha2(F.encode("text", "UTF-8"), 256).alias("t2"), F.octet_length("text").alias("n")).filter(F.col("n") >= SPAN)
+    docs = docs.filter("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
+    keys = docs.select("doc_id", F.col("t").alias("t1"), F.sha2(F.encode("text", "UTF-8"), 256).alias("t2"), F.octet_length("text").alias("n")).filter(F.col("n") >= SPAN)
     first = keys.groupBy("t1", "t2").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).filter("c > 1")
-    copies = store.put(keys.join(first, ["t1", "t2"]).filter("doc_id > first").select("doc_id"), "copies")
+    copies = store.put(keys.join(first, ["t1", "t2"]).filter("doc_id > first").select("doc_id", F.col("t1").alias("t")).distinct(), "copies")
     spans = repeated_spans(docs, copies, store)
-    gone = spans.withColumn("copy", F.lit(False)).unionByName(copies.select("doc_id", F.lit(None).cast("array<struct<start:long,stop:long>>").alias("spans"), F.lit(True).alias("copy")))
+    gone = spans.withColumn("copy", F.lit(False)).unionByName(copies.select("doc_id", "t", F.lit(None).cast("array<struct<start:long,stop:long>>").alias("spans"), F.lit(True).alias("copy")))
 
     def cut(batches):
         for b in batches:
@@ -287,7 +301,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 rows.append((doc, kept, len(raw), len(raw) - len(kept), len(runs)))
             yield pd.DataFrame(rows, columns=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    return docs.hint("merge").join(gone, "doc_id", "left").mapInPandas(cut, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+    return docs.hint("merge").join(gone, ["doc_id", "t"], "left").mapInPandas(cut, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

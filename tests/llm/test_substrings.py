@@ -40,6 +40,33 @@ def test_passages_with_neighbours(spark):
     assert S.remove_repeats(empty(spark)).count() == 0
 
 
+def by_place(rows):
+    """As by_hand, where the first place of a string is that of the smallest (doc_id, start) of all rows."""
+    rows = [(r["doc_id"], r["text"].encode()) for r in rows]
+    first: dict = {}
+    for k, b in rows:
+        for s in range(len(b) - 99):
+            first[b[s : s + 100]] = min(first.get(b[s : s + 100], (k, s)), (k, s))
+    for k, b in rows:
+        gone = bytearray(len(b))
+        for s in range(len(b) - 99):
+            if first[b[s : s + 100]] < (k, s):
+                gone[s : s + 100] = b"\1" * 100
+        yield k, len(b), sum(gone), hashlib.sha256(bytes(v for v, g in zip(b, gone) if not g)).hexdigest()
+
+
+def test_rows_that_share_an_id(spark):
+    """Rows that repeat keep their text; different texts of one id are cut by their own spans."""
+    a, b, c = prose(1, 40), prose(2, 40), prose(3, 40)
+    rows = [(1, a), (1, a), (2, b + " " + a), (2, b + " " + a), (2, c), (3, "x " + b), (3, c + " " + b), (3, c), (4, a), (4, a), (4, prose(4, 40)), (5, c + c), (5, c + c), (5, "é" * 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(by_place(docs.collect()))
+    assert [w[2] for w in want[:2]] == [0, 0]
+    for n in (1, 5):
+        got = S.remove_repeats(docs.repartition(n)).collect()
+        assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], hashlib.sha256(r["kept"]).hexdigest()) for r in got) == want
+
+
 def test_deep_shallow_sorts():
     r = random.Random(6)
     for _ in range(60):
