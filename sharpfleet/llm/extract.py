@@ -15,13 +15,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+RAW = ["script", "style", "textarea", "title"]  # without an end tag, the rest of the page is theirs
+OPAQUE = ["noscript", "template", "iframe", "svg", "math", "select", "object", "canvas", "video", "audio"]  # left out with what they hold, where they end
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|math|select|title|object|canvas|video|audio)\b(?:.*?</(?P=raw)\s*+>|.*\Z)"
+    rf"|<(?P<raw>{'|'.join(RAW + OPAQUE)})(?=[\s/>])(?:(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+(?:>|\Z))"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)"
     r"|</?[a-zA-Z][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
+ENDS = {name: re.compile(rf"</{name}\s*+>", re.I) for name in RAW + OPAQUE}
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b", re.I)
 PIECE = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 SPACE = re.compile(r"\s+")
@@ -101,9 +104,21 @@ def blocks(page: str) -> list[Block]:
         if not chunk.isspace():
             breaks = 0
 
-    for m in TOKEN.finditer(page):
+    unclosed: set[str] = set()  # names without a further end tag
+    while m := TOKEN.search(page, at):
         text(page[at : m.start()])
         at = m.end()
+        if m["raw"]:
+            name = m["raw"].lower()
+            if name in OPAQUE and (name in unclosed or m[0].endswith("/>")):
+                continue
+            if end := ENDS[name].search(page, at):
+                at = end.end()
+            elif name in RAW:
+                at = len(page)
+            else:
+                unclosed.add(name)
+            continue
         tag = m["tag"]
         if tag is None:
             continue

@@ -35,3 +35,14 @@ def test_odd_pages(spark):
     assert main_text("<article><p>Kept.</p><div class=comment-list><article><p>" + STOPS * 4 + "</p></article></div></article>") == "Kept."
     pages = spark.createDataFrame([(None, None, None, "old")], "page_id long, url string, html string, text string")
     assert extract(pages).collect()[0]["text"] == "" and extract(pages.limit(0)).count() == 0
+
+
+def test_elements_that_do_not_end_keep_the_rest_of_the_page():
+    for tag in ("<video-js id=x></video-js>", "<svg-icon>", "<select-box>", "<svg class=i />", "<iframe src='/a'/>", "<object/>", "<math/>", "<svg>", "<video src=a>", "<canvas", "<VIDEO/>"):
+        page = f"<article><p>Before.</p>{tag}{'>' if tag == '<canvas' else ''}<p>After.</p></article>"
+        assert main_text(page) == "Before.\n\nAfter.", tag
+    for tag in ("<svg class='/>'><text>no</text></svg>", "<select a=1><option>no</select >", "<script>'<p>no'</script>", "<style/>no</style>", "<object><p>no</p></OBJECT>", "<svg/><svg>no</svg>", "<title a='>'>no</title>"):
+        assert main_text(f"<article><p>Before.</p>{tag}<p>After.</p></article>") == "Before.\n\nAfter.", tag
+    for name in ("script", "style", "textarea", "title"):
+        assert main_text(f"<article><p>Before.</p><{name} x><p>After.</p></article>") == "Before."
+    assert main_text("<article><p>Before.</p>" + "<video>" * 20_000 + "<p>After.</p></article>") == "Before.\n\nAfter."
