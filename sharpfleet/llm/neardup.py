@@ -3,7 +3,8 @@
 Every shingle owns a region weight x rank. Darts fall into it at places that depend on the shingle alone; a document
 sees those below its weight of the shingle and keeps, for each coordinate, the dart of the smallest rank. Two documents
 agree in a coordinate with the probability of their weighted Jaccard similarity. Documents are only thrown as many
-darts as fill the coordinates, whatever the number of shingles.
+darts as fill the coordinates, whatever the number of shingles. A text that repeats shingles has a second signature, of
+its shingle set.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from sharpfleet.llm.textkit import chunked, mix, shingles
 
 BANDS, ROWS = 40, 5
 SIGNATURE = BANDS * ROWS
+DOUBT = 5.7  # standard deviations of agreement within which the texts decide; beyond, once in 10^7
 
 
 def weighted_shingles(texts: list[str], k: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,21 +73,26 @@ def throw_darts(at: np.ndarray, item: np.ndarray, weight: np.ndarray, n: int, si
 
 
 def with_signatures(docs: DataFrame, k: int = 5) -> DataFrame:
-    """doc_id, two hashes of the exact text, and the signature (null for texts without words)."""
+    """doc_id, two hashes of the exact text, and the signatures of shingle counts (null for texts without words) and of the shingle set (null where it is the same)."""
 
     def rows(batches):
         for b in batches:
-            texts, sigs = b["text"].tolist(), []
+            texts, sigs, sets = b["text"].tolist(), [], []
             for s in chunked(texts, 1 << 21):
                 at, item, weight = weighted_shingles(texts[s], k)
                 n = s.stop - s.start
                 sig, some = throw_darts(at, item, weight, n).view(np.int32), np.bincount(at, minlength=n) > 0
                 sigs += [row if x else None for row, x in zip(sig, some)]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "t1": b["t1"], "t2": b["t2"], "sig": sigs})
+                again = np.zeros(n, bool)
+                again[at[weight > 1]] = True
+                use = again[at]
+                once = throw_darts(at[use], item[use], np.ones(use.sum()), n).view(np.int32)
+                sets += [row if x else None for row, x in zip(once, again)]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "t1": b["t1"], "t2": b["t2"], "sig": sigs, "once": sets})
 
     text = F.coalesce("text", F.lit(""))
     return docs.filter("doc_id is not null").select("doc_id", F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2"), text.alias("text")).mapInPandas(
-        rows, "doc_id long, t1 long, t2 long, sig array<int>")
+        rows, "doc_id long, t1 long, t2 long, sig array<int>, once array<int>")
 
 
 def _similar(a: list[str], b: list[str], k: int) -> np.ndarray:
@@ -103,11 +110,14 @@ def _similar(a: list[str], b: list[str], k: int) -> np.ndarray:
 def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, least: float, k: int, store: Store, name: str) -> DataFrame:
     """Those of ``pairs`` (a, b) that are similar. Agreement of signatures settles clear pairs; the texts settle the others.
 
-    Agreement has a standard deviation of sqrt(s (1-s) / SIGNATURE), 0.028 at 0.8; pairs within 3.5 of them are compared exactly.
+    Agreement, the larger of that of counts and that of sets, has a standard deviation of sqrt(s (1-s) / SIGNATURE), 0.028 at
+    0.8; pairs within ``DOUBT`` of them are compared exactly.
     """
-    doubt = 3.5 * (least * (1 - least) / SIGNATURE) ** 0.5
-    one = lambda c: reps.select(F.col("doc_id").alias(c), F.col("sig").alias(f"s{c}"))
-    same = F.expr("aggregate(zip_with(sa, sb, (x, y) -> if(x = y, 1, 0)), 0, (s, x) -> s + x)") / SIGNATURE
+    doubt = DOUBT * (least * (1 - least) / SIGNATURE) ** 0.5
+    one = lambda c: reps.select(F.col("doc_id").alias(c), F.col("sig").alias(f"s{c}"), F.col("once").alias(f"o{c}"))
+    agree = lambda x, y: F.expr(f"aggregate(zip_with({x}, {y}, (x, y) -> if(x = y, 1, 0)), 0, (s, x) -> s + x)")
+    once = F.when(F.expr("oa is not null or ob is not null"), agree("coalesce(oa, sa)", "coalesce(ob, sb)"))
+    same = F.greatest(agree("sa", "sb"), once) / SIGNATURE
     tried = store.put(pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", same.alias("same")).filter(F.col("same") >= least - doubt), f"{name}-tried")
 
     @F.pandas_udf("double")
@@ -140,20 +150,26 @@ def _slices(key: np.ndarray):
 
 
 def _candidates(batches, floor: float):
-    """Of each bucket those rows that agree, with a row of another label, in a share of ``floor`` of the signature. A pair counts in its first shared band only."""
+    """Of each bucket those rows that agree, with a row of another label, in a share of ``floor`` of either signature. A pair counts in the first band that it shares of a signature only."""
     for b in _whole_keys(batches, "key"):
         sig = np.array(b["sig"].tolist(), np.int32).reshape(len(b), SIGNATURE)
+        other = b["once"].notna().to_numpy()
+        once = sig
+        if other.any():
+            once = sig.copy()
+            once[other] = np.array(b["once"][other].tolist(), np.int32)
         label, slot, side, band = (b[c].to_numpy() for c in ("label", "slot", "side", "band"))
         use = np.zeros(len(b), bool)
         for x, y in _slices(b["key"].to_numpy()):
             for r in range(x, y - 1):
                 to = np.flatnonzero((label[r + 1 : y] != label[r]) & ((side[r + 1 : y] == 0) | (slot[r + 1 : y] != slot[r]))) + r + 1
-                if len(to):
-                    same = sig[to] == sig[r]
-                    to, same = to[near := same.mean(1) >= floor], same[near]
-                    to = to[same.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band[r]]
-                    use[to] = True
-                    use[r] |= len(to) > 0
+                for s, left in ((sig, to), (once, to if other[r] else to[other[to]])):
+                    if len(left):
+                        same = s[left] == s[r]
+                        left, same = left[near := same.mean(1) >= floor], same[near]
+                        left = left[same.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band[r]]
+                        use[left] = True
+                        use[r] |= len(left) > 0
         yield b.loc[use, ["key", "doc_id", "label", "slot", "side"]]
 
 
@@ -197,13 +213,13 @@ def _spanning(batches, least: float, k: int):
 def near_duplicates(docs: DataFrame, least: float = 0.8, k: int = 5, block: int = 2000) -> DataFrame:
     """doc_id, copy_of (smallest id with exactly this text), class_id (smallest id of its class of near copies).
 
-    Documents are linked when shingles of ``k`` words have a Jaccard similarity of ``least`` or more; classes are the
-    connected components. Equal texts are one node. Nodes that agree in a band share a bucket. First every node is
+    Documents are linked when their shingles of ``k`` words, as sets or with counts, have a Jaccard similarity of ``least``
+    or more; classes are the connected components. Equal texts are one node. Nodes that agree in a band of either signature share a bucket. First every node is
     compared with two nodes of its bucket (the extremes of a random order), which joins groups of copies at a cost
     linear in their size. Then buckets that still hold several components are searched for links between these: by
     signature, then by the texts, inside tasks that hold ``block`` nodes of a bucket, or two blocks, and return only links
-    that join components. So no link between nodes that share a bucket is lost; at 0.8 a pair shares none of the 40
-    once in 10^7. Texts without words are linked to equal texts only; null counts as empty; rows without id are left
+    that join components. At 0.8 a pair shares none of the 40 bands
+    once in 10^7, and as rarely do signatures of a pair that shares one differ so much that the texts are not compared. Texts without words are linked to equal texts only; null counts as empty; rows without id are left
     out; rows that repeat count once.
     """
     store = Store(docs.sparkSession)
@@ -211,10 +227,10 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, k: int = 5, block: int
     first = all_docs.groupBy("t1", "t2").agg(F.min("doc_id").alias("copy_of"))
     copies = store.put(all_docs.select("doc_id", "t1", "t2").join(first, ["t1", "t2"]).select("doc_id", "copy_of").distinct(), "copies")
     nodes = copies.filter("doc_id = copy_of").select("doc_id")
-    reps = store.put(all_docs.filter("sig is not null").select("doc_id", "sig").hint("merge").join(nodes, "doc_id", "left_semi"), "reps")
+    reps = store.put(all_docs.filter("sig is not null").select("doc_id", "sig", "once").hint("merge").join(nodes, "doc_id", "left_semi"), "reps")
     store.drop("all")
-    values = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * ROWS + 1, ROWS)))
-    rows = reps.select("doc_id", F.posexplode(values).alias("band", "bucket"))
+    values = lambda c: F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(i, F.slice(c, i * ROWS + 1, ROWS)).alias("bucket")))
+    rows = reps.select("doc_id", F.inline(F.when(F.isnull("once"), values("sig")).otherwise(F.array_union(values("sig"), values("once")))))
     order = F.struct(F.xxhash64("bucket", "doc_id").alias("o"), "doc_id")
     ends = rows.groupBy("bucket").agg(F.min(order)["doc_id"].alias("low"), F.max(order)["doc_id"].alias("high")).filter("low <> high")
     held = store.put(rows.hint("merge").join(ends, "bucket"), "held")
@@ -233,7 +249,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, k: int = 5, block: int
     mixed = store.put(mixed.select(key.alias("key"), "band", "doc_id", "label", "slot", F.when(F.col("slot") == F.col("other"), 0).otherwise(1).alias("side")), "mixed")
     # side 0: a block with itself; 1: rows of two blocks (each row of the first meets those of the second)
     store.drop("told")
-    floor = least - 3.5 * (least * (1 - least) / SIGNATURE) ** 0.5
+    floor = least - DOUBT * (least * (1 - least) / SIGNATURE) ** 0.5
     signed = mixed.hint("merge").join(reps, "doc_id").repartition("key").sortWithinPartitions("key")
     close = signed.mapInPandas(lambda it: _candidates(it, floor), "key long, doc_id long, label long, slot int, side int")
     close = store.put(close, "close")

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 
 from sharpfleet.llm import neardup as N
 from sharpfleet.llm.links import components
@@ -49,6 +50,27 @@ def test_classes_equal_brute_force(spark):
     assert N.near_duplicates(empty(spark)).count() == 0
 
 
+def test_texts_alike_as_sets_only(spark):
+    """A text and the same doubled or with a passage repeated often: alike as shingle sets, not with counts."""
+    rows = []
+    for i in range(6):
+        text, passage = prose(i, 80), " ".join(prose(i, 80).split()[:30])
+        rows += [(10 * i, text), (10 * i + 1, f"{text} {text}"), (10 * i + 2, f"{text} " + " ".join([passage] * 6)), (10 * i + 3, " ".join([text] * 5))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (2000, 3):
+        assert {x["doc_id"]: x["class_id"] for x in N.near_duplicates(docs, block=block).collect()} == classes_by_hand(docs.collect())
+    assert set(classes_by_hand(docs.collect()).values()) == set(range(0, 60, 10))
+
+
+def test_floor_keeps_pairs_at_the_limit():
+    """Two rows of one band whose signatures agree in 0.67 of the places go on to the comparison of texts."""
+    sig = np.arange(N.SIGNATURE, dtype=np.int32)
+    near = np.where(np.arange(N.SIGNATURE) < 134, sig, -1).astype(np.int32)
+    b = pd.DataFrame({"key": 1, "doc_id": [1, 2], "label": [1, 2], "slot": 0, "side": 0, "band": 0, "sig": [sig, near], "once": None})
+    floor = 0.8 - N.DOUBT * (0.8 * 0.2 / N.SIGNATURE) ** 0.5
+    assert floor < 0.67 and sum(len(x) for x in N._candidates(iter([b]), floor)) == 2
+
+
 def test_agreement_is_weighted_jaccard():
     r = np.random.default_rng(2)
     items, n = r.integers(0, 1 << 63, 60).astype(np.uint64), 60
