@@ -1,6 +1,6 @@
 """Queries of this subpackage by name, and the SQL of those that SQL can express."""
 
-from sharpfleet.llm import decontaminate, extract, license, lines, neardup, packing, quality, substrings, toxicity, winnow
+from sharpfleet.llm import align, decontaminate, extract, license, lines, neardup, packing, quality, substrings, toxicity, winnow
 
 QUERIES = {
     "op1_html": extract.op1_html,
@@ -13,5 +13,6 @@ QUERIES = {
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_quality": quality.op9_quality,
     "op10_near_duplicates": neardup.op10_near_duplicates,
+    "op11_alignment": align.op11_alignment,
 }
 SQL = {"op8_line_dedup": lines.OP8_SQL}
