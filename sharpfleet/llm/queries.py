@@ -1,6 +1,6 @@
 """Queries of this subpackage by name, and the SQL of those that SQL can express."""
 
-from sharpfleet.llm import align, decontaminate, extract, license, lines, neardup, packing, quality, substrings, toxicity, winnow
+from sharpfleet.llm import align, decontaminate, extract, license, lines, mixing, neardup, packing, quality, repair, substrings, toxicity, winnow
 
 QUERIES = {
     "op1_html": extract.op1_html,
@@ -14,5 +14,7 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_near_duplicates": neardup.op10_near_duplicates,
     "op11_alignment": align.op11_alignment,
+    "op12_repair": repair.op12_repair,
+    "op13_mixing": mixing.op13_mixing,
 }
-SQL = {"op8_line_dedup": lines.OP8_SQL}
+SQL = {"op8_line_dedup": lines.OP8_SQL, "op13_mixing": mixing.OP13_SQL}

@@ -1,4 +1,5 @@
 import hashlib
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -20,7 +21,7 @@ def by_hand(rows):
     s = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     marks, out, counts = A.byte_of_mark(), [], Counter()
     for r in rows:
-        raw, links, groups = b" " + (r["text"] or "").encode(), [], []
+        raw = b" " + (r["text"] or "").encode()
         a = t.encode(" " + r["text"], add_special_tokens=False).ids if r["text"] else []
         b = s.encode(r["text"]) if r["text"] else []
         a_raw = [bytes(marks[c] for c in t.id_to_token(i)) for i in a]
@@ -36,10 +37,12 @@ def by_hand(rows):
             ends.append(spans)
         b_at = {e: i for i, _, e in ends[1]}
         links = [(i, b_at[e]) for i, _, e in ends[0] if e in b_at]
-        last = 0
-        for e in sorted({e for _, _, e in ends[0]} & set(b_at)):
-            groups.append("|".join(",".join(str(i) for i, _, x in side if last < x <= e) for side in ends))
-            last = e
+        both = sorted({e for _, _, e in ends[0]} & set(b_at))
+        cells = [[[] for _ in both] for _ in ends]
+        for side, cell in zip(ends, cells):
+            for i, _, e in side:
+                cell[bisect_left(both, e)].append(str(i))
+        groups = ["|".join(map(",".join, c)) for c in zip(*cells)]
         overlaps = sum(x < f and y < e for _, x, e in ends[0] for _, y, f in ends[1]) if len(a) < 400 else None
         counts.update(links)
         out.append((r["doc_id"], len(a), len(b), len(groups), links, ";".join(groups), overlaps))
