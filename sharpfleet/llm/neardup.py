@@ -231,7 +231,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, k: int = 5, block: int
     store.drop("all")
     values = lambda c: F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(i, F.slice(c, i * ROWS + 1, ROWS)).alias("bucket")))
     rows = reps.select("doc_id", F.inline(F.when(F.isnull("once"), values("sig")).otherwise(F.array_union(values("sig"), values("once")))))
-    order = F.struct(F.xxhash64("bucket", "doc_id").alias("o"), "doc_id")
+    order = F.struct(F.xxhash64("doc_id").alias("o"), "doc_id")  # the same in every bucket, so the buckets of a group share their extremes
     ends = rows.groupBy("bucket").agg(F.min(order)["doc_id"].alias("low"), F.max(order)["doc_id"].alias("high")).filter("low <> high")
     held = store.put(rows.hint("merge").join(ends, "bucket"), "held")
     near = lambda c: held.filter(F.col("doc_id") != F.col(c)).select(F.least("doc_id", c).alias("a"), F.greatest("doc_id", c).alias("b"))
