@@ -16,22 +16,25 @@ from sharpfleet.runtime import cut
 def connected(nodes: DataFrame, edges: DataFrame, by: Sequence[str]) -> DataFrame:
     """Smallest node id of every component: columns of ``by``, node, label.
 
-    ``edges`` has a and b. Every round takes the smallest label among the neighbours and then the label of
-    that label, so chains shorten by doubling; a round costs two joins over all components of all keys.
+    ``edges`` has a and b. Every round points a node at its smallest neighbour, and on to where that one points, and then
+    contracts the graph: only edges between different targets remain. Stars vanish in one round, chains shorten by a
+    factor in each, and so does the table of edges; the maps of the rounds are put together at the end.
     """
     by = list(by)
-    e = edges.select(*by, F.col("a").alias("node"), F.col("b").alias("_o"))
-    e = cut(e.unionByName(edges.select(*by, F.col("b").alias("node"), F.col("a").alias("_o"))).distinct())
-    state = cut(nodes.select(*by, "node", F.col("node").alias("label")))
-    while True:
-        seen = e.join(state.select(*by, F.col("node").alias("_o"), F.col("label").alias("_l")), [*by, "_o"])
-        low = seen.groupBy(*by, "node").agg(F.min("_l").alias("_m"))
-        step = state.join(low, [*by, "node"], "left").select(*by, "node", F.col("label").alias("_old"), F.least("label", F.coalesce("_m", "label")).alias("label"))
-        jump = step.select(*by, F.col("node").alias("label"), F.col("label").alias("_j"))
-        step = cut(step.join(jump, [*by, "label"]).select(*by, "node", "_old", F.least("label", "_j").alias("label")))
-        state = step.select(*by, "node", "label")
-        if step.filter("_old <> label").isEmpty():
-            return state
+    ordered = lambda d, a, b: d.select(*by, F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a < b").distinct()
+    left, maps = cut(ordered(edges, "a", "b")), []
+    while not left.isEmpty():
+        both = left.select(*by, F.col("a").alias("node"), F.col("b").alias("_o")).unionByName(left.select(*by, F.col("b").alias("node"), F.col("a").alias("_o")))
+        low = both.groupBy(*by, "node").agg(F.least(F.first("node"), F.min("_o")).alias("_low"))
+        step = low.join(low.select(*by, F.col("node").alias("_low"), F.col("_low").alias("_to")), [*by, "_low"]).select(*by, "node", "_to")
+        maps.append(cut(step))
+        to = lambda end: maps[-1].select(*by, F.col("node").alias(end), F.col("_to").alias(f"_{end}"))
+        left = cut(ordered(left.join(to("a"), [*by, "a"]).join(to("b"), [*by, "b"]), "_a", "_b"))
+    state = nodes.select(*by, "node", F.col("node").alias("label"))
+    for m in maps:
+        moved = m.select(*by, F.col("node").alias("label"), "_to")
+        state = state.join(moved, [*by, "label"], "left").select(*by, "node", F.coalesce("_to", "label").alias("label"))
+    return state
 
 
 def components(mask: DataFrame, by: Sequence[str] = (STACK, FRAME), diagonal: bool = False) -> DataFrame:

@@ -17,6 +17,7 @@ from sharpfleet.operators.grid import FRAME, SIDE, STACK, X, Y, attach
 
 # Fixed values
 MIN_PEAK, MAX_SHIFT, MIN_FRAMES, INLIER, FOCAL_SIGMA = 0.5, 40.0, 3, 2.0, 2.5
+MIN_GROUP, SEEDS, NEAR, JOIN = 8, 24, 120.0, 52.0
 MIN_FEATURES, MIN_WEIGHT, GATE_TOL, GATE_WEIGHT, GATE_SEEN = 6, 2.5, 1.5, 2.0, 0.10
 
 
@@ -228,3 +229,55 @@ def grow(m: DataFrame, motion: DataFrame, members: DataFrame, radius: float, nea
     agrees = (F.col("score") >= peak) & (F.abs("shift") <= reach) & (F.abs(told) >= near) & (F.abs(F.col("shift") - told) < near)
     fit = j.filter(agrees).select(STACK, "feature_id", "x", "y").distinct()
     return attach_chain(fit, members, radius, rounds=rounds)
+
+
+def _fits(m: DataFrame, members: DataFrame, by: Sequence[str], least: int = 4) -> DataFrame:
+    """Translation of every set of members (``by`` and feature_id) in each frame that ``least`` of them see."""
+    on = [c for c in by if c in m.columns] + ["feature_id"]
+    fit = sa.normal_translation(m.join(members.select(*by, "feature_id"), on), [*by, FRAME])
+    return fit.filter((F.col("n") >= least) & F.col("mx").isNotNull()).select(*by, FRAME, "mx", "my")
+
+
+def _residuals_of(m: DataFrame, motion: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Residual of every feature under each of its stack's motions; a stack has few of them."""
+    j = attach(m, motion, [STACK, FRAME])
+    e = F.col("mx") * F.col("nx") + F.col("my") * F.col("ny") - F.col("shift")
+    return j.groupBy(*by, "feature_id", "nx", "ny").agg(F.sqrt(F.avg(e * e)).alias("rms"), F.count("*").alias("frames")).filter(F.col("frames") >= MIN_FRAMES)
+
+
+def consensus_groups(m: DataFrame, rounds: int = 6, seeds: int = SEEDS, near: float = NEAR, least: int = MIN_GROUP, inlier: float = INLIER, reach: float = JOIN) -> DataFrame:
+    """Groups of features that one translation per frame explains: stack_id, group_id (in the order found), feature_id, ``informative``.
+
+    ``m``: stack_id, feature_id, frame, x, y, nx, ny, shift. A round fits a motion around every n/``seeds``-th feature of
+    what is left (n features, so at most twice ``seeds`` fits), all of all stacks at once. The fit with the most features that
+    agree and can see it makes the group; features that agree but can't see the motion join next to one that can. The
+    group leaves the pool before the next round. A stack is done when no fit finds ``least`` features.
+    """
+    from sharpfleet.runtime import cut
+    pool = cut(m.select(STACK, "feature_id", "x", "y").distinct())
+    found, by = None, [STACK, "seed_id"]
+    for k in range(rounds):
+        size = pool.groupBy(STACK).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least)
+        p = attach(rk.places(pool, [STACK], "feature_id"), size, [STACK])
+        step = F.greatest(F.lit(1), F.floor(F.col("_n") / seeds))
+        at = p.filter(F.col("place") % step == 0).select(STACK, F.col("feature_id").alias("seed_id"), F.col("x").alias("sx"), F.col("y").alias("sy"))
+        own = m.join(pool.select(STACK, "feature_id"), [STACK, "feature_id"], "left_semi")
+        around = within(p.select(STACK, "feature_id", "x", "y"), at, near).select(*by, "feature_id")
+        enough = around.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).select(*by)
+        motion = cut(_fits(own, around.join(enough, by), by))
+        agree = cut(consensus(_residuals_of(own, motion, by), motion, by, inlier).select(*by, "feature_id"))
+        count = agree.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least)
+        best = count.groupBy(STACK).agg((-F.max(F.struct("_n", (-F.col("seed_id")).alias("s")))["s"]).alias("seed_id"))
+        core = cut(agree.join(best, by).select(STACK, "feature_id"))
+        if core.isEmpty():
+            break
+        res = _residuals_of(own, _fits(own, core, [STACK]), [STACK]).filter(F.col("rms") < inlier).select(STACK, "feature_id")
+        spots = lambda ids: pool.join(ids, [STACK, "feature_id"], "left_semi")
+        group = attach_chain(spots(res), spots(core), reach, rounds=1).select(STACK, "feature_id")
+        group = group.join(core.withColumn("_core", F.lit(True)), [STACK, "feature_id"], "left")
+        group = cut(group.select(STACK, F.lit(k).alias("group_id"), "feature_id", F.col("_core").isNotNull().alias("informative")))
+        found = group if found is None else found.unionByName(group)
+        pool = cut(pool.join(group.select(STACK, "feature_id"), [STACK, "feature_id"], "left_anti"))
+    if found is None:
+        found = pool.limit(0).select(STACK, F.lit(0).alias("group_id"), "feature_id", F.lit(False).alias("informative"))
+    return found

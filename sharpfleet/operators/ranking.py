@@ -212,3 +212,21 @@ def travel_order(pieces: DataFrame, by: Sequence[str], travel: str, tolerance: f
     gap = F.coalesce((F.lag(travel).over(w) - F.col(travel) > tolerance).cast("int"), F.lit(0))
     d = pieces.withColumns({"rank": F.row_number().over(w), "_gap": gap})
     return d.withColumn("group", F.sum("_gap").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_gap")
+
+
+def places(df: DataFrame, by: Sequence[str], order: str, out: str = "place") -> DataFrame:
+    """Place of every row within its key, from 0, in the order of a column that is unique there.
+
+    Rows are sorted in ranges, so a key with most of the rows spreads over many tasks; the driver sees one count per range.
+    """
+    from sharpfleet.operators.grid import attach
+    from sharpfleet.runtime import cut
+    d = cut(df.repartitionByRange(*by, order).sortWithinPartitions(*by, order).withColumn("_id", F.monotonically_increasing_id()))
+    part, before, total = F.shiftright("_id", 33), [], 0
+    for r in d.groupBy(part.alias("part")).count().orderBy("part").collect():
+        before += [F.lit(r["part"]).cast("long"), F.lit(total).cast("long")]
+        total += r["count"]
+    start = F.element_at(F.create_map(*before), part) if before else F.lit(0).cast("long")
+    d = d.withColumn(out, start + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id")
+    first = d.groupBy(*by).agg(F.min(out).alias("_first"))
+    return attach(d, first, list(by)).withColumn(out, F.col(out) - F.col("_first")).drop("_first")
