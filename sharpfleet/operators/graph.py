@@ -16,25 +16,28 @@ from sharpfleet.runtime import cut
 def connected(nodes: DataFrame, edges: DataFrame, by: Sequence[str]) -> DataFrame:
     """Smallest node id of every component: columns of ``by``, node, label.
 
-    ``edges`` has a and b. Every round points a node at its smallest neighbour, and on to where that one points, and then
-    contracts the graph: only edges between different targets remain. Stars vanish in one round, chains shorten by a
-    factor in each, and so does the table of edges; the maps of the rounds are put together at the end.
+    ``edges`` has a and b. Every round points a node at its first neighbour in a random order of the round, and on to where
+    that one points, and then contracts the graph: only edges between different targets remain. Stars vanish in one round,
+    and chains, whatever their ids, shorten by a factor in each, and so does the table of edges. The maps of the rounds are
+    put together at the end.
     """
     by = list(by)
-    ordered = lambda d, a, b: d.select(*by, F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a < b").distinct()
+    ordered = lambda d, a, b: d.filter(F.col(a) != F.col(b)).select(*by, F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
     left, maps = cut(ordered(edges, "a", "b")), []
     while not left.isEmpty():
+        turn = lambda c: F.struct(F.xxhash64(F.lit(len(maps)), F.col(c)).alias("h"), F.col(c).alias("n"))
         both = left.select(*by, F.col("a").alias("node"), F.col("b").alias("_o")).unionByName(left.select(*by, F.col("b").alias("node"), F.col("a").alias("_o")))
-        low = both.groupBy(*by, "node").agg(F.least(F.first("node"), F.min("_o")).alias("_low"))
+        low = both.groupBy(*by, "node").agg(F.min(turn("_o")).alias("_m")).select(*by, "node", F.least(turn("node"), F.col("_m"))["n"].alias("_low"))
         step = low.join(low.select(*by, F.col("node").alias("_low"), F.col("_low").alias("_to")), [*by, "_low"]).select(*by, "node", "_to")
         maps.append(cut(step))
         to = lambda end: maps[-1].select(*by, F.col("node").alias(end), F.col("_to").alias(f"_{end}"))
         left = cut(ordered(left.join(to("a"), [*by, "a"]).join(to("b"), [*by, "b"]), "_a", "_b"))
-    state = nodes.select(*by, "node", F.col("node").alias("label"))
+    state = nodes.select(*by, "node", F.col("node").alias("_at"))
     for m in maps:
-        moved = m.select(*by, F.col("node").alias("label"), "_to")
-        state = state.join(moved, [*by, "label"], "left").select(*by, "node", F.coalesce("_to", "label").alias("label"))
-    return state
+        moved = m.select(*by, F.col("node").alias("_at"), "_to")
+        state = state.join(moved, [*by, "_at"], "left").select(*by, "node", F.coalesce("_to", "_at").alias("_at"))
+    state = cut(state)
+    return state.join(state.groupBy(*by, "_at").agg(F.min("node").alias("label")), [*by, "_at"]).select(*by, "node", "label")
 
 
 def components(mask: DataFrame, by: Sequence[str] = (STACK, FRAME), diagonal: bool = False) -> DataFrame:
