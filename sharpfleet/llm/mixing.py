@@ -109,7 +109,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, block: int =
     s = dealt.groupBy("src", "shard").agg(F.sum(F.col("size") * F.col("n")).alias("words"))
     s = attach(s, sources.select(F.col("party").alias("src"), F.col("seats").alias("total")), ["src"])
     s = sainte_lague(s.select("src", F.col("shard").alias("party"), "words", F.col("words").cast("double").alias("votes"), "total"), "src", store, "shards")
-    s = s.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "src", "party")  # few bytes a shard, but its blocks are drawn there
+    s = s.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("src", "party"))  # few bytes a shard, but its blocks are drawn there; by the plain keys Spark leaves the exchange out
     s = s.withColumn("blocks", F.greatest(F.lit(1), F.floor(F.col("words") / block + 0.5)).cast("long"))
     s = s.withColumn("seats", F.least("seats", cap * F.col("blocks")))
     place = lambda j: seeded(F.lit(seed), F.col("src"), F.col("party"), j)
