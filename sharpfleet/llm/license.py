@@ -2,7 +2,8 @@
 
 All runs of K consecutive words of a document are joined, by hash, to the places where they stand in the templates (a
 template of fewer words is one run). A match votes for its diagonal, the difference of the two places; diagonals next
-to each other are merged, and a merged span counts when enough of the template's runs are found in it.
+to each other are merged, and a merged span is verified: it is no longer than the template and ``DRIFT`` words, each
+place of the template counts once and each word of the document backs one place.
 """
 
 from __future__ import annotations
@@ -11,8 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 K = 3
-NEAR = 3  # diagonals that differ by at most so many words are merged
+DRIFT = 8  # diagonals of one span differ by at most so many words
 COVER = 0.5  # share of a template's runs that a span must hold
 
 # fixed values: phrases whose places are counted, with their labels
@@ -33,7 +35,10 @@ SENTENCES = [
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), 0)
+    """Words of a text with A-Z lower-cased and no other letter."""
+    text = F.coalesce(text, F.lit(""))
+    small = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
+    return F.regexp_extract_all(small, F.lit(WORD), 0)
 
 
 def _runs(size: int) -> Column:
@@ -68,41 +73,59 @@ def templates(spark: SparkSession) -> tuple[DataFrame, dict[int, list[str]]]:
     return out.select("template", "label", "base", count, F.size("words").alias("length"), F.col("r.at").alias("place"), F.col("r.run").alias("run")), short
 
 
+# Equal rows of one input partition are one group; the partition keeps many equal rows, or rows without an id, apart.
+KEY = ["_doc", "_text", "_part"]
+
+
 def spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words) of every document, with a row per span: template, label, base, votes, cover, first, last (places of first words), end.
+    """(doc_id, n_words) of every document, with a row per verified span: template, label, base, votes, cover, first, last, end (places of words).
 
-    Every document also has one row for itself, where template and label are null. Null texts count as empty. Rows that share an id count as one
-    document: their matches add up, and n_words is that of the longest.
+    ``votes`` are the distinct runs of the template in the span, ``cover`` their share of all its runs. Of spans of one
+    template whose diagonals differ by ``DRIFT`` or less the best stays, the first of equal ones; base phrases all stay.
+    Every group of equal rows (doc_id, text) of a partition also has one row for itself, where template and label are
+    null and ``votes`` is the number of its rows. Null texts count as empty; ids may be null or repeat.
     """
     spark = docs.sparkSession
     table, short = templates(spark)
-    d = docs.select("doc_id", words(F.col("text")).alias("words"))
+    d = docs.select(F.col("doc_id").alias("_doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text"), F.spark_partition_id().alias("_part"), words(F.col("text")).alias("words"))
     runs = F.concat(F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).cast("long").alias("run"))), *[_short_runs(n, f) for n, f in sorted(short.items())], _runs(K))
     # the row at -1 stands for the document itself, so that one pass yields its words and its matches
-    d = d.select("doc_id", F.size("words").cast("long").alias("n_words"), F.explode(runs).alias("r")).select("doc_id", "n_words", "r.at", "r.run")
+    d = d.select(*KEY, F.size("words").cast("long").alias("n_words"), F.explode(runs).alias("r")).select(*KEY, "n_words", "r.at", "r.run")
     own = spark.createDataFrame([(None, None, None, 1, 0, -1, 0)], "template int, label string, base boolean, runs int, length int, place int, run long")
     hits = d.join(F.broadcast(table.union(own)), "run")  # the templates are the few above
-    votes = hits.groupBy("doc_id", "template", "label", "base", "runs", "length", (F.col("at") - F.col("place")).alias("diagonal")).agg(
-        F.count("*").alias("votes"), F.min("at").alias("first"), F.max("at").alias("last"), F.max("n_words").alias("n_words"))
-    w = Window.partitionBy("doc_id", "template").orderBy("diagonal")
-    apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(w) > NEAR) | F.col("base"), F.lit(True))
-    merged = votes.withColumn("_new", apart.cast("int")).withColumn("_span", F.sum("_new").over(w))
-    merged = merged.groupBy("doc_id", "template", "label", "base", "runs", "length", "_span").agg(
-        F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"), F.max("n_words").alias("n_words"))
-    cover = F.least(F.col("votes") / F.col("runs"), F.lit(1.0))
-    return merged.select("doc_id", "n_words", "template", "label", "base", "votes", cover.alias("cover"), "first", "last", (F.col("first") + F.col("length")).alias("end"))
+    diagonal = (F.col("at") - F.col("place")).alias("diagonal")
+    votes = hits.groupBy(*KEY, "template", "label", "base", "runs", "length", diagonal).agg(
+        F.count("*").alias("rows"), F.collect_set("place").alias("places"), F.max("n_words").alias("n_words"))
+    w = Window.partitionBy(*KEY, "template").orderBy("diagonal")
+    after, around = w.rangeBetween(0, DRIFT), w.rangeBetween(-DRIFT, DRIFT)
+    both = F.array_distinct(F.flatten(F.collect_list("places").over(after)))
+    ats = F.array_distinct(F.flatten(F.collect_list(F.transform("places", lambda p: p + F.col("diagonal"))).over(after)))
+    v = votes.withColumns({"_places": both, "_ats": ats})
+    backed = F.least(F.size("_places"), F.size("_ats"))
+    v = v.withColumn("votes", F.when(F.col("template").isNull(), F.col("rows")).when(F.col("base"), F.lit(1)).otherwise(backed).cast("long"))
+    mine = F.struct(F.col("votes").alias("n"), (-F.col("diagonal")).alias("early"))
+    v = v.withColumn("_best", F.max(mine).over(around))
+    v = v.filter(F.col("template").isNull() | F.col("base") | (F.col("_best") == mine))
+    at = F.when(F.col("base"), F.array("diagonal")).otherwise(F.col("_ats"))
+    size = F.least(F.col("length"), F.lit(K))
+    return v.withColumn("_at", at).select(
+        *KEY, F.col("_doc").alias("doc_id"), "n_words", "template", "label", "base", "votes", F.when(F.col("template").isNotNull(), F.col("votes") / F.col("runs")).alias("cover"),
+        F.array_min("_at").alias("first"), F.array_max("_at").alias("last"), (F.array_max("_at") + size).alias("end"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """One row per document: counts and places of the base phrases, labels, and the best cover of a template as score."""
+    """One row per row of ``docs``: counts and places of the base phrases, labels, and the best cover of a template as score."""
     s = spans(docs)
     base, found = F.col("base"), F.col("label").isNotNull() & (F.col("cover") >= COVER)
     names = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("label")))), ",")
-    return s.groupBy("doc_id").agg(
+    groups = s.groupBy(*KEY).agg(
         F.max("n_words").alias("n_words"), F.coalesce(F.sum(F.when(base, F.col("votes"))), F.lit(0)).cast("long").alias("n_base"),
         F.min(F.when(base, F.col("first"))).cast("long").alias("first_word"), F.max(F.when(base, F.col("last"))).cast("long").alias("last_word"),
         names(base).alias("base_labels"), names(base | found).alias("labels"),
-        F.coalesce(F.max(F.when(F.col("label").isNotNull(), F.col("cover"))), F.lit(0.0)).alias("score"))
+        F.coalesce(F.max(F.when(F.col("label").isNotNull(), F.col("cover"))), F.lit(0.0)).alias("score"),
+        F.max(F.when(F.col("template").isNull(), F.col("votes"))).alias("_rows"))
+    each = F.explode(F.sequence(F.lit(1), F.col("_rows").cast("int")))
+    return groups.withColumn("_row", each).select(F.col("_doc").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
