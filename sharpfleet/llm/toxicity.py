@@ -2,8 +2,9 @@
 
 Words are read as symbols: insults (with a weight learned from labelled rows), threats, people addressed, negations,
 verbs of report. Five transducers with weights are composed into one machine, which reads each clause that holds an
-insult or a threat and pays out its weight: more when somebody is addressed, less when negated or reported. The score
-of a document is a logistic function of the weights of its clauses.
+insult or a threat and pays out its weight: more when somebody is addressed, less when negated or reported. A threat
+pays when a target stands before it or follows in its clause. The weights of the arcs are learned from the clauses of
+the labelled rows. The score of a document is a logistic function of the weights of its clauses.
 """
 
 from __future__ import annotations
@@ -24,17 +25,19 @@ FIT_ROWS = 12_000  # most labelled rows that are fitted on
 ENTRIES = 5_000  # most learned entries of the lexicon
 PREFIXES = (4, 5, 6)
 
-OTHER, INSULT, THREAT, TARGET, NOT, REPORT = range(6)
+SYMBOLS = OTHER, INSULT, THREAT, TARGET, NOT, REPORT, SUBJECT, AUX = range(8)
 
 # fixed values: closed classes of words in four languages
-TARGETS = "you your yours yourself u he him his she her they them their du dich dir dein deine ihr euch sie tu te toi ton ta tes vous votre vos il elle ils tú tu ti usted ustedes él ella ellos".split()
+TARGETS = "your yours yourself him his her them their dir dich dein deine euch sie te toi ton ta tes vous votre vos ti".split()
+SUBJECTS = "you u he she they du ihr tu il elle vosotros tú usted ustedes él ella ellos".split()  # the doer when a threat follows, else a target
+AUXILIARIES = "will would shall should can could may might must do does did have has gonna going to am are is werden werde wirst wird kann muss vais va vas veux peux voy vas puedo".split()
 NEGATIONS = "not no never neither nor isn't aren't wasn't don't doesn't didn't without kein keine keinen nicht nie niemals ohne ne pas jamais sans ni nunca jamás sin".split()
 REPORTS = "said says say saying told tells claimed claims reported reportedly allegedly called calls quote quoted wrote sagte sagt behauptet nannte schrieb dit disait affirme appelé écrit dijo dice afirma llamó escribió".split()
 THREATS = "kill hurt destroy beat stab shoot burn murder strangle töten umbringen schlagen vernichten tuer frapper détruire matar golpear destruir".split()
 INSULTS = "idiot idiots moron morons stupid dumb loser losers scum trash pathetic worthless disgusting clown dummkopf abschaum imbécile crétin idiote estúpido estúpida imbécil basura".split()
 
 TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:\n]+")
-FIXED = {w: (k, 1.0) for k, ws in ((TARGET, TARGETS), (NOT, NEGATIONS), (REPORT, REPORTS), (THREAT, THREATS)) for w in ws}
+FIXED = {w: (k, 1.0) for k, ws in ((AUX, AUXILIARIES), (TARGET, TARGETS), (SUBJECT, SUBJECTS), (NOT, NEGATIONS), (REPORT, REPORTS), (THREAT, THREATS)) for w in ws}
 
 
 @dataclass
@@ -52,31 +55,70 @@ def compose(parts: list[Transducer]) -> dict:
     """Arcs of the machine that runs all parts at once: (states, symbol) -> (states, product of the factors)."""
     out = {}
     for states in product(*(range(p.states) for p in parts)):
-        for symbol in range(6):
+        for symbol in SYMBOLS:
             moves = [p.step(s, symbol) for p, s in zip(parts, states)]
             out[states, symbol] = (tuple(m[0] for m in moves), float(np.prod([m[1] for m in moves])))
     return out
 
 
-# a factor below is paid when an insult or threat is read in that state
-GRAMMAR = compose([
-    Transducer(2, {(0, INSULT): (1, 1.0), (1, INSULT): (1, 1.1)}),  # insults in a row add force
-    Transducer(2, {(0, THREAT): (1, 1.0), (1, TARGET): (0, 1.0), (1, INSULT): (1, 1.3)}),  # an insult after a threat
-    Transducer(2, {(0, TARGET): (1, 1.0), (1, INSULT): (1, 1.5), (1, THREAT): (1, 2.0)}),  # somebody is addressed
-    Transducer(4, {(0, NOT): (1, 1.0), (1, OTHER): (2, 1.0), (2, OTHER): (3, 1.0), (3, OTHER): (0, 1.0), **{(s, x): (0, 0.4) for s in (1, 2, 3) for x in (INSULT, THREAT)}}),  # a negation reaches three words
-    Transducer(2, {(0, REPORT): (1, 1.0), (1, INSULT): (1, 0.6), (1, THREAT): (1, 0.6)}),  # reported speech
-])
+# fixed values: weights of arcs before any is learned
+FACTORS = {"row": 1.1, "after_threat": 1.3, "addressed": 1.5, "threatened": 1.0, "negated": 0.4, "reported": 0.6}
+# fixed values: weights that learning may choose for an arc; those that weaken stay at 1 or below, those that strengthen at 1 or above
+CHOICES = {"row": (1.0, 1.1, 1.5, 2.0), "after_threat": (1.0, 1.3, 2.0), "addressed": (1.0, 1.5, 2.0, 3.0), "threatened": (0.5, 1.0, 2.0), "negated": (0.0, 0.2, 0.4, 0.7, 1.0), "reported": (0.0, 0.3, 0.6, 0.8, 1.0)}
+GAIN = 2.0  # log-likelihood that another weight of an arc must gain
+
+
+def grammar_of(f: dict) -> dict:
+    """The composed machine with arc weights ``f``. A factor is paid when an insult or threat is read in that state."""
+    return compose([
+        Transducer(2, {(0, INSULT): (1, 1.0), (1, INSULT): (1, f["row"])}),  # insults in a row
+        Transducer(2, {(0, THREAT): (1, 1.0), (1, INSULT): (1, f["after_threat"])}),  # an insult after a threat
+        # somebody is addressed (2); a subject (1) becomes that with the next word, unless this is a threat, whose doer it is
+        Transducer(3, {(0, SUBJECT): (1, 1.0), **{(s, TARGET): (2, 1.0) for s in (0, 1)}, (1, OTHER): (2, 1.0), (1, REPORT): (0, 1.0), (1, THREAT): (0, 1.0), **{(s, INSULT): (2, f["addressed"]) for s in (1, 2)}}),
+        Transducer(4, {(0, NOT): (1, 1.0), **{(s, x): ((s + 1) % 4, 1.0) for s in (1, 2, 3) for x in (OTHER, AUX)}, **{(s, x): (0, f["negated"]) for s in (1, 2, 3) for x in (INSULT, THREAT)}}),  # a negation reaches three words
+        Transducer(2, {(0, REPORT): (1, 1.0), (1, INSULT): (1, f["reported"]), (1, THREAT): (1, f["reported"])}),  # reported speech
+    ])
+
+
 START = (0,) * 5
 
 
+def weigh(clause: list[tuple[int, float]], grammar: dict, threatened: float) -> float:
+    """Weight paid by one clause. A threat read before any target waits, with the factors of its place, for the first target after it.
+
+    A subject ends the wait only when it is not the doer of another threat.
+    """
+    state, total, waiting, doer = START, 0.0, 0.0, False
+    for symbol, weight in clause:
+        addressed = state[2] == 2
+        state, factor = grammar[state, symbol]
+        if doer and symbol in (OTHER, TARGET, INSULT):
+            total, waiting = total + waiting, 0.0
+        doer = symbol == SUBJECT or doer and symbol in (AUX, NOT)
+        if symbol == INSULT:
+            total += weight * factor
+        elif symbol == THREAT:
+            if addressed:
+                total += threatened * weight * factor
+            else:
+                waiting += threatened * weight * factor
+        elif symbol == TARGET:
+            total, waiting = total + waiting, 0.0
+    return total + waiting if doer else total
+
+
 @dataclass
 class Grammar:
-    """Lexicon: word, or prefix with a star, to weight. ``coef``: intercept and slopes of the logistic."""
+    """Lexicon: word, or prefix with a star, to weight. ``coef``: intercept and slopes of the logistic. ``factors``: weights of the arcs."""
 
     lexicon: dict
     coef: np.ndarray
+    factors: dict = field(default_factory=lambda: dict(FACTORS))
     known: dict = field(default_factory=dict)
 
+    def __post_init__(self):
+        self.grammar = grammar_of(self.factors)
+
     def symbol(self, word: str) -> tuple[int, float]:
         got = self.known.get(word)
         if got is None:
@@ -86,13 +128,13 @@ class Grammar:
                 self.known[word] = got
         return got
 
-    def clauses(self, text: str) -> tuple[list[float], int]:
-        """Weights of the clauses that hold an insult or a threat, and the number of words."""
+    def read(self, text: str) -> tuple[list[list[tuple[int, float]]], int]:
+        """Symbols of the clauses that hold an insult or a threat, and the number of words."""
         out, clause, words, hot = [], [], 0, False
         for token in TOKEN.findall(text.lower()):
             if token[0] in ".!?;:\n":
                 if hot:
-                    out.append(self.weigh(clause))
+                    out.append(clause)
                 clause, hot = [], False
                 continue
             words += 1
@@ -101,33 +143,28 @@ class Grammar:
             if s[0] == INSULT or s[0] == THREAT:
                 hot = True
         if hot:
-            out.append(self.weigh(clause))
+            out.append(clause)
         return out, words
 
-    @staticmethod
-    def weigh(clause: list[tuple[int, float]]) -> float:
-        state, total = START, 0.0
-        for symbol, weight in clause:
-            state, factor = GRAMMAR[state, symbol]
-            if symbol == INSULT:
-                total += weight * factor
-            elif symbol == THREAT and state[2]:
-                total += 0.5 * weight * factor  # a threat without a target pays nothing
-        return total
+    def clauses(self, text: str) -> tuple[list[float], int]:
+        """Weights of the clauses that hold an insult or a threat, and the number of words."""
+        got, words = self.read(text)
+        return [weigh(c, self.grammar, self.factors["threatened"]) for c in got], words
 
     def features(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), 4))
-        for i, t in enumerate(texts):
-            w, n = self.clauses(t)
-            if w:
-                out[i] = np.log1p(sum(w)), max(w), np.log1p(len(w)), 100 * sum(w) / (n + 20)
-        return out
+        return np.array([of_weights(*self.clauses(t)) for t in texts]).reshape(-1, 4)
 
     def score(self, texts: list[str]) -> np.ndarray:
         z = self.coef[0] + self.features(texts) @ self.coef[1:]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def of_weights(w: list[float], n: int) -> tuple[float, float, float, float]:
+    """Features of a document of ``n`` words from the weights of its clauses; a clause that pays nothing counts for nothing."""
+    total = sum(w)
+    return (np.log1p(total), max(w), np.log1p(sum(x > 0 for x in w)), 100 * total / (n + 20)) if total > 0 else (0.0, 0.0, 0.0, 0.0)
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
     """Intercept and slopes by Newton's method. Without both labels: the intercept of their share, and slopes of 1 for weights."""
     share = (y.sum() + 0.5) / (len(y) + 1)
@@ -146,6 +183,40 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int =
     return w
 
 
+def likelihood(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
+    z = np.clip(w[0] + x @ w[1:], -30, 30)
+    return float((y * z - np.logaddexp(0, z)).sum())
+
+
+def learn_factors(read: list[tuple[list, int]], y: np.ndarray, rounds: int = 2) -> tuple[dict, np.ndarray]:
+    """Arc weights, and the logistic that goes with them, from the clauses of labelled documents.
+
+    One arc after another takes the weight of ``CHOICES`` under which the documents' labels are likeliest; it stays as it
+    is unless that gains ``GAIN``, so arcs that no clause of the sample uses keep their first weight.
+    """
+
+    def fitted(f):
+        grammar = grammar_of(f)
+        x = np.array([of_weights([weigh(c, grammar, f["threatened"]) for c in clauses], n) for clauses, n in read]).reshape(-1, 4)
+        w = fit_logistic(x, y)
+        return likelihood(x, y, w), w
+
+    best, (level, coef) = dict(FACTORS), fitted(FACTORS)
+    if len(np.unique(y)) < 2:
+        return best, coef
+    for _ in range(rounds):
+        before = dict(best)
+        for arc, choices in CHOICES.items():
+            for value in choices:
+                if value != best[arc]:
+                    tried, w = fitted(best | {arc: value})
+                    if tried > level + GAIN:
+                        best, level, coef = best | {arc: value}, tried, w
+        if best == before:
+            break
+    return best, coef
+
+
 def _one_of_copies(sample: DataFrame) -> DataFrame:
     """Rows of the sample without near copies: a row goes when a smaller id shares one of four minima of its shingles' hashes."""
 
@@ -202,28 +273,43 @@ def learn_lexicon(sample: DataFrame, least: float = 18.0, entries: int = ENTRIES
 
 
 def fit_documents(docs: DataFrame, labels: DataFrame, label: str = "toxic", train="true", bound: int = FIT_ROWS) -> Grammar:
-    """Lexicon and logistic from at most about ``bound`` labelled rows, near copies counted once. Only counts and clause weights reach the driver."""
+    """Lexicon, arc weights and logistic from at most about ``bound`` labelled rows, near copies counted once. Only counts and the symbols of clauses with an insult or threat reach the driver."""
     sample = _one_of_copies(labelled_sample(docs, labels, label, train, bound)).select("text", F.col("_y").cast("long").alias("_y"))
     sample = sample.persist()
     g = Grammar(learn_lexicon(sample), np.zeros(5))
 
     def rows(batches):
         for b in batches:
-            yield pd.DataFrame({"x": list(g.features(b["text"].fillna("").tolist())), "y": b["_y"].astype("float64")})
+            got = [g.read(t) for t in b["text"].fillna("").tolist()]
+            flat = [[v for c in clauses for v in (*[x for pair in c for x in pair], -1.0)] for clauses, _ in got]
+            yield pd.DataFrame({"c": flat, "n": [n for _, n in got], "y": b["_y"].astype("float64")})
 
-    got = sample.mapInPandas(rows, "x array<double>, y double").toPandas()
+    got = sample.mapInPandas(rows, "c array<double>, n long, y double").collect()
     sample.unpersist()
-    x = np.array(got["x"].tolist()).reshape(-1, 4)
-    order = np.lexsort(np.column_stack([x, got["y"]]).T) if len(x) else []
-    return Grammar(g.lexicon, fit_logistic(x[order], got["y"].to_numpy()[order]))
+    got = sorted((list(r["c"]), r["n"], r["y"]) for r in got)
+    factors, coef = learn_factors([(_unflatten(c), n) for c, n, _ in got], np.array([y for _, _, y in got]))
+    return Grammar(g.lexicon, coef, factors)
+
+
+def _unflatten(flat: list[float]) -> list[list[tuple[int, float]]]:
+    """Clauses of (symbol, weight) from a row of symbols and weights in turn, -1 after each clause."""
+    out, clause, i = [], [], 0
+    while i < len(flat):
+        if flat[i] < 0:
+            out.append(clause)
+            clause, i = [], i + 1
+        else:
+            clause.append((int(flat[i]), flat[i + 1]))
+            i += 2
+    return out
 
 
 def score_documents(docs: DataFrame, grammar: Grammar) -> DataFrame:
-    """The rows of ``docs`` with ``score`` (replaced if there); a null text scores as an empty one."""
-    lexicon, coef = grammar.lexicon, grammar.coef
+    """The rows of ``docs`` with ``score`` (replaced if there); a null text scores as an empty one, each row by its own text whatever its id."""
+    lexicon, coef, factors = grammar.lexicon, grammar.coef, grammar.factors
 
     def scores(parts):
-        g = Grammar(lexicon, coef)
+        g = Grammar(lexicon, coef, factors)
         for text in parts:
             yield pd.Series(g.score(text.fillna("").tolist()), dtype="float64")
 
