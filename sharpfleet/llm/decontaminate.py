@@ -23,7 +23,7 @@ BAND = 16
 BLOCK = 1_000_000  # characters of the benchmark that a task holds at a time
 GAP = 0x110000  # between texts; no character has this code
 
-LOWER = np.array([ord(x) if len(x := chr(i).lower()) == 1 and not chr(i).isspace() else 32 if chr(i).isspace() else i for i in range(0x3000)], np.uint32)
+LOWER = np.array([ord(x) if len(x := chr(i).lower()) == 1 and not chr(i).isspace() else 32 if chr(i).isspace() else i for i in range(0x3001)], np.uint32)
 
 
 def plain(c: np.ndarray) -> np.ndarray:
@@ -31,9 +31,20 @@ def plain(c: np.ndarray) -> np.ndarray:
     return np.where(c < len(LOWER), LOWER[np.minimum(c, len(LOWER) - 1)], c)
 
 
+def fold(c: np.ndarray) -> np.ndarray:
+    """Places of ``c`` that stay when each run of blanks becomes its first one."""
+    blank = c == 32
+    stays = np.ones(len(c), bool)
+    stays[1:] = ~(blank[1:] & blank[:-1])
+    return np.flatnonzero(stays)
+
+
 @dataclass
 class GramIndex:
-    """q-grams of a block of items: distinct hashes, where the occurrences of each begin, and their item and position."""
+    """q-grams of a block of items: distinct hashes, where the occurrences of each begin, and their item and position.
+
+    ``short``: for each length below ``Q`` the hashes of the items of that length, in order, with their places in ``small``.
+    """
 
     items: list
     codes: list
@@ -45,16 +56,26 @@ class GramIndex:
     item: np.ndarray
     at: np.ndarray
     seen: np.ndarray
+    small: list
+    short: dict
 
 
 def build_index(items: list[tuple[int, str]]) -> GramIndex:
-    """Index of (item_id, text). Items of fewer than ``Q`` characters have no q-gram and are left out."""
-    codes, ids = [], []
+    """Index of (item_id, text). Items of fewer than ``Q`` characters have no q-gram and are kept to be matched whole; blank ones match nothing."""
+    codes, ids, small = [], [], []
     for key, text in items:
         c = plain(code_points([" ".join(text.split())])[0])
         if len(c) >= Q:
             codes.append(c)
             ids.append(key)
+        elif len(c):
+            small.append((key, c))
+    short = {}
+    for m in sorted({len(c) for _, c in small}):
+        of = [i for i, (_, c) in enumerate(small) if len(c) == m]
+        hashed = np.array([grams(small[i][1], m)[0] for i in of], np.uint64)
+        order = np.argsort(hashed, kind="stable")
+        short[m] = hashed[order], np.array(of)[order]
     n = np.array([min(STRETCH, len(c)) for c in codes], np.int64)
     e = np.minimum((RATE * n).astype(np.int64), np.maximum(n // Q - 1, 0))
     h = [grams(c, Q) for c in codes]
@@ -65,7 +86,7 @@ def build_index(items: list[tuple[int, str]]) -> GramIndex:
     hashes, begin = np.unique(flat[order], return_index=True)
     seen = np.zeros(1 << 22, bool)
     seen[(hashes >> np.uint64(42)).astype(np.int64)] = True
-    return GramIndex(ids, codes, n, e, n + 1 - Q * (e + 1), hashes, np.append(begin, len(flat)), owner[order], at[order], seen)
+    return GramIndex(ids, codes, n, e, n + 1 - Q * (e + 1), hashes, np.append(begin, len(flat)), owner[order], at[order], seen, small, short)
 
 
 def banded_edits(a: np.ndarray, b: np.ndarray, size: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,6 +164,22 @@ def candidates(c: np.ndarray, offsets: np.ndarray, index: GramIndex) -> list[tup
     return [(int(text[x]), int(item[x]), pos[x : y + 1], at[x : y + 1]) for x, y in zip(a, b)]
 
 
+def whole_items(c: np.ndarray, offsets: np.ndarray, index: GramIndex) -> list[tuple[int, int, int, int]]:
+    """(text, item id, start, end) of items below ``Q`` characters in ``c``, equal and not inside a longer word or number."""
+    found = []
+    letter = lambda x: chr(x).isalnum() if x < GAP else False
+    for m, (hashes, of) in index.short.items():
+        h = grams(c, m)
+        lo, hi = np.searchsorted(hashes, h), np.searchsorted(hashes, h, side="right")
+        for at in np.flatnonzero(hi > lo):
+            for key, code in (index.small[i] for i in of[lo[at] : hi[at]]):
+                before, after = int(c[at - 1]) if at else GAP, int(c[at + m])
+                if np.array_equal(c[at : at + m], code) and not (letter(before) and letter(int(code[0]))) and not (letter(after) and letter(int(code[-1]))):
+                    text = int(np.searchsorted(offsets, at, side="right")) - 1
+                    found.append((text, key, int(at - offsets[text]), int(at - offsets[text]) + m))
+    return found
+
+
 def leaks(texts: list[str], index: GramIndex) -> list[tuple[int, int, int, int, int, int, int]]:
     """(text index, item id, start, end, item start, item end, edits) of verified stretches, in code points."""
     found = []
@@ -152,6 +189,11 @@ def leaks(texts: list[str], index: GramIndex) -> list[tuple[int, int, int, int,
         offsets = np.concatenate([[0], np.cumsum([len(t) + 1 for t in part])])
         c = plain(c)
         c[offsets[1:] - 1] = GAP
+        stays, whole, known = fold(c), offsets, len(found)
+        c = c[stays]
+        offsets = np.searchsorted(stays, whole)
+        for text, item, x, y in whole_items(c, offsets, index):
+            found.append((s.start + text, item, x, y, 0, y - x, 0))
         for text, item, pos, at in candidates(c, offsets, index):
             a, begin, stop = index.codes[item], int(offsets[text]), int(offsets[text + 1]) - 1
             n, e, least = int(index.size[item]), int(index.edits[item]), int(index.least[item])
@@ -188,6 +230,11 @@ def leaks(texts: list[str], index: GramIndex) -> list[tuple[int, int, int, int,
             if good.any():
                 first, lo, x, y = first[good], lo[good] - begin, x[good], y[good]
                 found.append((s.start + text, index.items[item], int((lo + x).min()), int((lo + y).max()), int(first.min()), int(first.max()) + n, int(cost[good].min())))
+        for i in range(known, len(found)):  # back to the places of the text as it stands
+            text, item, x, y, *rest = found[i]
+            begin = int(offsets[text - s.start])
+            x, y = (int(v) - int(whole[text - s.start]) for v in (stays[begin + x], stays[max(begin + y - 1, begin)] + 1))
+            found[i] = (text, item, x, max(x, y), *rest)
     return sorted(set(found))
 
 
@@ -204,7 +251,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per stretch of a document that repeats one of a benchmark item: doc_id, item_id, start, end, item_start, item_end, edits.
 
     A stretch has ``STRETCH`` characters or more (or is a whole shorter item) and at most ``RATE`` edits per character,
-    apart from case and kind of white space. Null texts have none. Documents are scanned once per block of the benchmark
+    apart from case, kind and length of white space. An item of fewer than ``Q`` characters has no edits and is no part of
+    a longer word. Null texts have none, rows that repeat or share an id each have their own; items without id or text
+    are no items. Documents are scanned once per block of the benchmark
     and are not shuffled.
     """
     schema = "doc_id long, item_id long, start long, end long, item_start long, item_end long, edits long"

@@ -73,3 +73,31 @@ def test_odd_rows(spark):
     assert D.drop_leaked(odd(spark), items).count() == 7 and D.drop_leaked(odd(spark), items).columns == odd(spark).columns
     assert D.find_leaks(empty(spark), items).count() == 0 and D.find_leaks(odd(spark), items.limit(0)).count() == 0
     assert len(D.blocks(items, 10)) == 7  # several blocks
+
+
+def test_blanks_and_short_items():
+    """Runs of blanks count as one, in the item and the text; items without a q-gram match whole."""
+    item = prose(5, 40)
+    index = D.build_index([(3, item), (4, "7 x 8=?"), (5, "  "), (6, "ab")])
+    texts = [
+        prose(7) + "  " + item.replace(" ", "  ") + " " + prose(8), item.replace(" ", "\n     "), "   what  is 7 \t x\n 8=? Say", "17 x 8=? cab abs", "AB", "x" * 9 + " ab",
+        "\u3000" + item.replace(" ", "\u3000 "), "", "   "]
+    got = D.leaks(texts, index)
+    assert {(t, i) for t, i, *_ in got} == {(0, 3), (1, 3), (2, 4), (4, 6), (5, 6), (6, 3)}
+    for t, i, x, y, *_ in got:
+        assert " ".join(texts[t][x:y].lower().split()) == {3: item, 4: "7 x 8=?", 6: "ab"}[i] and not texts[t][x].isspace() and not texts[t][y - 1].isspace()
+
+
+def test_stretches_equal_brute_force_with_edits_and_blanks():
+    """Whole items with and without edits, blanks doubled: found exactly where the full alignment is within the budget."""
+    r = random.Random(7)
+    items = [(i, prose(i, 25)[: D.STRETCH].strip()) for i in range(6)]
+    index, texts = D.build_index(items), []
+    for n in range(60):
+        body = list(items[n % 6][1])
+        for at in r.sample(range(len(body)), n % 8):
+            body[at] = r.choice(["#", "", body[at] + "#"])
+        texts.append(prose(n + 300, 20) + " " + "".join(body).replace(" ", " " * r.randint(1, 3)) + " " + prose(n + 600, 20))
+    found = {(t, i) for t, i, *_ in D.leaks(texts, index)}
+    folded = [" ".join(t.split()) for t in texts]
+    assert found == {(t, i) for t, text in enumerate(folded) for i, item in items if edits(item, text) <= min(int(D.RATE * len(item)), len(item) // D.Q - 1)}
