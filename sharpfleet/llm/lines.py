@@ -108,11 +108,22 @@ def drop_lines(docs: DataFrame, least: int = 40, copies: int = 5, batches: int =
     kept = F.transform(
         F.filter(stripped, lambda x: ~((F.char_length(x["key"]) >= least) & F.array_contains(
             F.col("_go"), F.struct(F.xxhash64(x["key"]).alias("k1"), F.xxhash64(F.lit(7), x["key"]).alias("k2"))))), lambda x: x["line"])
-    out = docs.drop("n_lines", "n_dropped").hint("merge").join(goes, "doc_id", "left")  # one plan at every size
+    # the user's columns travel in one, so that no name of theirs meets one of these
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    out = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in columns if c not in ("doc_id", "text")], F.lit(0).alias(_fresh(columns))).alias("_user"))
+    out = out.hint("merge").join(goes, "doc_id", "left")  # one plan at every size
     lines = F.when(F.col("_go").isNull(), F.split(F.coalesce("text", F.lit("")), "\n", -1)).otherwise(kept)
     out = out.withColumn("_kept", lines).withColumn("n_lines", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long"))
     out = out.withColumn("n_dropped", F.col("n_lines") - F.size("_kept")).withColumn("text", F.when(F.col("_go").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n")))
-    return out.drop("_go", "_kept")
+    return out.select(*[F.col(c) if c in ("doc_id", "text") else F.col("_user").getField(c).alias(c) for c in columns], "n_lines", "n_dropped")
+
+
+def _fresh(names: list[str]) -> str:
+    """A name that is none of ``names``."""
+    name = "_none"
+    while name in names:
+        name += "_"
+    return name
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import duckdb
+from pyspark.sql import functions as F
 
 from sharpfleet.llm import lines as L
 
@@ -48,3 +49,13 @@ def test_runs_are_compacted_and_merge(spark):
     assert len(runs.levels) >= 3 and {r["k1"]: (r["n"], r["last"]) for r in runs.merged().collect()} == want
     assert L.LineRuns(spark).merged().count() == 0
     assert prose(1) == prose(1)
+
+
+def test_columns_of_the_user_keep_their_values(spark):
+    docs = odd(spark).withColumns({"_go": F.lit("go"), "_kept": F.lit("kept"), "_user": F.lit(5), "a.b": F.lit("dot"), "k1": F.lit(1.5), "n_lines": F.lit(-1)})
+    out = L.drop_lines(docs)
+    assert out.columns == [c for c in docs.columns if c != "n_lines"] + ["n_lines", "n_dropped"]
+    rows = out.collect()
+    assert len(rows) == docs.count() and all((r["_go"], r["_kept"], r["_user"], r["a.b"], r["k1"]) == ("go", "kept", 5, "dot", 1.5) and r["n_lines"] >= 1 for r in rows)
+    plain = {(r["doc_id"], r["text"], r["n_dropped"]) for r in L.drop_lines(odd(spark)).collect()}
+    assert {(r["doc_id"], r["text"], r["n_dropped"]) for r in rows} == plain
