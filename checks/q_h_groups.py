@@ -204,8 +204,23 @@ def tiles_sql(q):
 TP = lambda s, f: ow.tile_pairs(fieldpx(s, f), fo.focus_measure(px(s, f, 5)), 5, 16, 8)
 add("T1_tile_pairs", lambda s, f: TP(s, f).select("stack_id", "ty", "tx", "near", "far", r6("quality", "quality"), r6("weight", "weight", 3)),
     tiles_sql(FLD5()).select(f"SELECT stack_id, CAST(ty AS INT) AS ty, CAST(tx AS INT) AS tx, near, far, {s6('quality', 'quality')}, {s6('weight', 'weight', 3)} FROM tp"))
-add("T2_merge_pairs", lambda s, f: ow.merge_pairs(d.observations(s, f).select("stack_id", F.col("frame").alias("near"), (F.col("frame") + F.col("x") % 3).alias("far"), F.lit(1.0).alias("weight"))).select("stack_id", "near", "far", "weight", "kept_near", "kept_far"),
-    None)
+asked = lambda s, f: d.observations(s, f).select("stack_id", "x", "y", F.col("frame").alias("near"), (F.col("frame") + F.col("x") % 3).alias("far"), F.lit(1.0).alias("weight"))
+
+
+def kept_sql():
+    """Pairs kept by taking the heaviest and dropping its neighbours, six times at most, and the nearest kept of every pair."""
+    q = Q().obs().add("ask", "SELECT stack_id, x, y, frame AS near, frame + x % 3 AS far, 1.0::DOUBLE AS weight FROM obs")
+    q.add("cnt", "SELECT stack_id, near, far, sum(weight) AS weight FROM ask GROUP BY ALL")
+    q.parts.append("""greedy AS (SELECT stack_id, 0 AS place, list({'near': near, 'far': far} ORDER BY round(weight, 6) DESC, near, far) AS rest FROM cnt GROUP BY stack_id
+        UNION ALL SELECT stack_id, place + 1, [p FOR p IN rest IF abs(p.near - rest[1].near) > 1 OR abs(p.far - rest[1].far) > 1] FROM greedy WHERE len(rest) > 0 AND place < 5)""")
+    q.add("kp", "SELECT stack_id, place, rest[1].near AS kept_near, rest[1].far AS kept_far FROM greedy WHERE len(rest) > 0")
+    return q.add("nk", """SELECT stack_id, near, far, weight, kept_near, kept_far FROM cnt JOIN kp USING (stack_id)
+        QUALIFY row_number() OVER (PARTITION BY stack_id, near, far ORDER BY abs(kept_near - near) + abs(kept_far - far), place) = 1""")
+
+
+add("T2_merge_pairs", lambda s, f: ow.merge_pairs(asked(s, f)).select("stack_id", "near", "far", "weight", "kept_near", "kept_far"), kept_sql().select("SELECT * FROM nk"))
+add("J5_nearest_kept", lambda s, f: ow.nearest_kept(asked(s, f)).select("stack_id", "x", "y", "near", "far", "kept_near", "kept_far"),
+    kept_sql().select("SELECT stack_id, x, y, near, far, kept_near, kept_far FROM ask JOIN nk USING (stack_id, near, far)"))
 grad5 = lambda s, f: st.gradient_magnitude(px(s, f, 5).filter("frame = 2"), "v", "gradient").select(*PX, "gradient")
 
 

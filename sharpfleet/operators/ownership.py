@@ -128,6 +128,47 @@ def forward_residual(px: DataFrame, predicted: Column, observed: Column, shell:
     return g.select(STACK, "pixels", F.when(F.col("pixels") >= least, F.col("_e")).otherwise(F.lit(float("inf"))).alias("residual"))
 
 
+def unsupported_texture(px: DataFrame, plates: DataFrame, sigma: Column, v: str = "v", quiet: float = 1.5, least: int = 32, side: int = SIDE) -> DataFrame:
+    """Fine texture that a correction adds where no frame shows structure above the noise: its mean in units of the noise, per stack.
+
+    ``plates``: one row per pixel with base, corrected, mask, and the columns of ``sigma``. A pixel counts where the mask is
+    set and the strongest mid-scale structure of all frames stays at ``quiet`` times the noise; fewer than ``least`` such
+    pixels score 0. Frames are reduced to one row per pixel before the join.
+    """
+    mid = st.gaussian(px, {"_m": F.col(v)}, 1.6, side=side).groupBy(STACK, Y, X).agg(F.round(F.max(F.abs(F.col(v) - F.col("_m"))), 9).alias("_mid"))
+    # both images pass through the same linear filter, so their difference is filtered once
+    new = st.gaussian(plates.withColumn("_d", (F.col("corrected") - F.col("base")).cast("double")), {"_s": F.col("_d")}, 0.7, by=(), side=side)
+    noise = F.greatest(sigma, F.lit(1e-3))
+    j = new.join(mid, [STACK, Y, X]).withColumns({"_calm": (F.col("mask") > 0.05) & (F.col("_mid") <= quiet * noise), "_new": F.abs(F.col("_d") - F.col("_s")) / (noise + 1e-6)})
+    g = j.groupBy(STACK).agg(F.count_if("_calm").alias("pixels"), F.avg(F.when(F.col("_calm"), F.col("_new"))).alias("_t"))
+    return g.select(STACK, "pixels", F.when(F.col("pixels") >= least, F.col("_t")).otherwise(F.lit(0.0)).alias("score"))
+
+
+def contamination_band(px: DataFrame, radius: float, alpha: str = "alpha", out: str = "band", by: Sequence[str] = (FRAME,), side: int = SIDE) -> DataFrame:
+    """``out``: true where a defocused occluder veils what is behind it, outside its opaque inside."""
+    b = st.disk(px, {"_ab": F.col(alpha)}, max(1, round(0.7 * radius)), by, side)
+    return b.withColumn(out, (F.round("_ab", 9) > 0.02) & (F.col(alpha) < 0.98)).drop("_ab")
+
+
+def thin_matte_features(px: DataFrame, radius: float, alpha: str = "alpha", dominance: str = "dominance", gradient: str = "gradient",
+                        by: Sequence[str] = (FRAME,), side: int = SIDE) -> DataFrame:
+    """Seven features of a thin occluder's matte per (stack, *by): support, dominance and opaque share in it, edges in it, veil, and two of its rim.
+
+    All null where nothing is supported; features of the rim are 0 without a rim. One aggregate after two block passes.
+    """
+    g = contamination_band(st.gradient_magnitude(px, alpha, "_ga", by=by, side=side), radius, alpha, "_band", by, side)
+    a = F.col(alpha)
+    support, rim = a > 0.15, (a > 0.2) & (a < 0.8)
+    share = lambda c: F.count_if(c) / F.count("*")
+    inside = lambda c, where: F.avg(F.when(where, c))
+    mean = F.avg(gradient) + 1e-6
+    out = {
+        "support": share(support), "dominance_in": inside(F.col(dominance), support), "opaque": F.count_if(a > 0.6) / (F.count_if(support) + 1e-6),
+        "edges_in": inside(F.col(gradient), support) / mean, "veil": share(F.col("_band")), "rim_slope": F.coalesce(inside(F.col("_ga"), rim), F.lit(0.0)),
+        "rim_edges": F.coalesce(inside(F.col(gradient), rim) / mean, F.lit(0.0))}
+    return g.groupBy(STACK, *by).agg(*[F.when(F.count_if(support) > 0, c).alias(n) for n, c in out.items()])
+
+
 def trinary_shares(own: DataFrame, by: Sequence[str] = (STACK,)) -> DataFrame:
     """Pixels and share of every (state, layer)."""
     n = own.groupBy(*by, "state", "layer").agg(F.count("*").alias("pixels"))
@@ -210,6 +251,11 @@ def merge_pairs(tiles: DataFrame) -> DataFrame:
     return j.groupBy(STACK, "near", "far").agg(F.min_by(F.struct("kept_near", "kept_far"), F.struct(gap, F.col("place"))).alias("_m"), F.max("weight").alias("weight")).select(STACK, "near", "far", "weight", "_m.*")
 
 
+def nearest_kept(tiles: DataFrame) -> DataFrame:
+    """Every tile with the kept pair nearest to its own: kept_near, kept_far."""
+    return attach(tiles, merge_pairs(tiles).drop("weight"), [STACK, "near", "far"])
+
+
 def layer_masks(e: DataFrame, pairs: DataFrame, textured: DataFrame, value: str = "e") -> DataFrame:
     """Which frame of its pair supplies each pixel by the focus contest, and whether the pixel has enough texture to vote.
 
