@@ -60,37 +60,50 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return winnow(docs.select("doc_id", "text"), "text", "own").select("doc_id", entry.alias("fingerprint"))
 
 
-def next_ids(docs: DataFrame, store: Store) -> DataFrame:
-    """(doc_id, next_id): the next smaller id, for the smallest the largest. Ids are ranged over partitions; only the ends of ranges meet."""
-    ids = docs.select("doc_id").filter("doc_id is not null").distinct().repartitionByRange("doc_id").withColumn("part", F.spark_partition_id())
-    ids = store.put(ids, "ids")
-    ends = ids.groupBy("part").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    order = Window.orderBy("lo")
-    below = ends.select("part", F.coalesce(F.lag("hi").over(order), F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("below"))
-    inner = ids.withColumn("next_id", F.lag("doc_id").over(Window.partitionBy("part").orderBy("doc_id")))
-    return inner.join(below, "part").select("doc_id", F.coalesce("next_id", "below").alias("next_id"))
+# a document is told by its id (a null one comes after all others), whether it is null, and a hash of its text
+KEY = ["_id", "_null", "_hash"]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"), F.col("doc_id").isNull().alias("_null"), F.xxhash64(text).alias("_hash"), text.alias("text"))
+
+
+def next_keys(keys: DataFrame, store: Store) -> DataFrame:
+    """``keys``, distinct, with the key of the next smaller one as next_*; for the smallest the largest. Keys are ranged over partitions; only the ends of ranges meet."""
+    order = [F.col("_id"), F.col("_null").desc(), F.col("_hash")]
+    keys = keys.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    keys = store.put(keys.withColumn("_key", F.struct("_id", (~F.col("_null")).alias("known"), "_hash")), "ids")
+    ends = keys.groupBy("part").agg(F.min("_key").alias("lo"), F.max("_key").alias("hi"))
+    w = Window.orderBy("lo")
+    below = ends.select("part", F.coalesce(F.lag("hi").over(w), F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("below"))
+    inner = keys.withColumn("next", F.lag("_key").over(Window.partitionBy("part").orderBy("_key")))
+    after = F.coalesce("next", "below")
+    return inner.join(below, "part").select(*KEY, "third", after["_id"].alias("next_id"), (~after["known"]).alias("next_null"), after["_hash"].alias("next_hash"))
 
 
 def compare_edited(docs: DataFrame) -> DataFrame:
-    """Per document: its fingerprint, that of its edited text, and their likeness, and the likeness to the next document.
+    """Per row: its fingerprint, that of its edited text, and their likeness, and the likeness to the next document.
 
     The edited text has the last third of the code points replaced by as many from the start of the next document (by
-    descending id; after the last the first). Null texts count as empty, rows without id are left out; ids that repeat give
-    a row for every combination.
+    descending id; after the last the first). Null texts count as empty. Rows of equal id and text are one document and
+    each has its result; texts that share an id stand in the order of their hashes, those without an id come last.
     """
     store = Store(docs.sparkSession)
-    ids = store.put(next_ids(docs, store), "next")
-    base = docs.filter("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    third = docs.filter("doc_id is not null").select("doc_id", F.floor(F.char_length(F.coalesce("text", F.lit(""))) / 3).cast("int").alias("third"))
-    need = store.put(ids.join(third, "doc_id"), "need")
-    after = need.withColumnRenamed("doc_id", "for_id").withColumnRenamed("next_id", "doc_id").hint("merge").join(base, "doc_id")
-    after = winnow(after.select(F.col("for_id").alias("doc_id"), F.substring("text", F.lit(1), F.col("third")).alias("tail"), "text", "third"), "text", "after")
-    after = after.select("doc_id", "third", "tail", hashes(F.col("after")).alias("after"))
-    d = base.hint("merge").join(after, "doc_id").withColumn("n_chars", F.char_length("text").cast("long"))
+    base = keyed(docs)
+    keys = base.select(*KEY, F.floor(F.char_length("text") / 3).cast("int").alias("third")).groupBy(*KEY).agg(F.max("third").alias("third"))
+    need = store.put(next_keys(keys, store), "need")
+    # equal rows lie side by side in the order that the join needs anyway; the first of them serves
+    first = F.lag(F.lit(1)).over(Window.partitionBy(*KEY).orderBy("_hash")).isNull()
+    one = base.withColumn("_first", first).filter("_first").drop("_first")
+    after = need.select(*[F.col(k).alias(f"for{k}") for k in KEY], "third", *[F.col(f"next{k}").alias(k) for k in KEY]).hint("merge").join(one, KEY)
+    after = winnow(after.select(*[F.col(f"for{k}").alias(k) for k in KEY], "third", F.substring("text", F.lit(1), F.col("third")).alias("tail"), "text"), "text", "after").drop("text")
+    after = after.select(*KEY, "third", "tail", hashes(F.col("after")).alias("after"))
+    d = base.hint("merge").join(after, KEY).withColumn("n_chars", F.char_length("text").cast("long"))
     d = d.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - F.col("third")), F.col("tail"))).drop("tail", "third")
     d = winnow(winnow(d, "text", "own"), "edited", "new").withColumns({"h": hashes(F.col("own")), "g": hashes(F.col("new"))})
     return d.select(
-        "doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), as_text(F.col("own")).alias("fingerprint"), as_text(F.col("new")).alias("edited_fingerprint"),
+        F.when(~F.col("_null"), F.col("_id")).alias("doc_id"), "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), as_text(F.col("own")).alias("fingerprint"), as_text(F.col("new")).alias("edited_fingerprint"),
         likeness(F.col("h"), F.col("g")).alias("near_edited"), likeness(F.col("h"), F.col("after")).alias("near_next"))
 
 

@@ -35,7 +35,8 @@ def test_shared_runs_share_an_entry(spark):
 
 
 def edited_by_hand(rows):
-    rows = sorted(((r["doc_id"], r["text"] or "") for r in rows if r["doc_id"] is not None), reverse=True)
+    """Rows with distinct ids, one of them null at most; that one comes last."""
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in rows), key=lambda r: (r[0] is None, -(r[0] or 0)))
     for i, (k, t) in enumerate(rows):
         m = len(t) // 3
         yield k, len(t), hashlib.sha256((t[: len(t) - m] + rows[(i + 1) % len(rows)][1][:m]).encode()).hexdigest()
@@ -44,7 +45,7 @@ def edited_by_hand(rows):
 def test_edited_texts(spark):
     for docs in (given(spark), odd(spark)):
         out = W.compare_edited(docs).collect()
-        assert sorted((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in out) == sorted(edited_by_hand(docs.collect()))
+        assert sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in out), key=str) == sorted(edited_by_hand(docs.collect()), key=str)
         assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in out)
         by_text = {}
         text = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
@@ -58,3 +59,13 @@ def test_edited_texts(spark):
 def test_one_document_is_its_own_next(spark):
     out = W.compare_edited(spark.createDataFrame([(5, "abc def ghi")], "doc_id long, text string")).collect()
     assert out[0]["edited_sha256"] == hashlib.sha256(b"abc def abc").hexdigest() and out[0]["near_next"] == 1.0
+
+
+def test_rows_that_repeat_have_one_result_each(spark):
+    rows = [(1, prose(1)), (1, prose(1)), (1, prose(2)), (2, prose(3)), (2, prose(3)), (2, prose(3)), (None, prose(4)), (None, prose(4)), (None, None), (-(2**63), prose(5))]
+    out = W.compare_edited(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted((str(r["doc_id"]), r["n_chars"]) for r in out) == sorted((str(k), len(t or "")) for k, t in rows)
+    assert len({(r["doc_id"], r["n_chars"], r["edited_sha256"], r["near_next"]) for r in out}) == len(set(rows))
+    two = {r["edited_sha256"] for r in out if r["doc_id"] == 2}  # its next is one of the two texts of id 1
+    tail = lambda t: hashlib.sha256((prose(3)[: len(prose(3)) - len(prose(3)) // 3] + t[: len(prose(3)) // 3]).encode()).hexdigest()
+    assert len(two) == 1 and two <= {tail(prose(1)), tail(prose(2))}
