@@ -3,7 +3,8 @@
 Every string of SPAN bytes holds an anchor, the place of the smallest rolling hash in it, which depends on its bytes
 alone; so equal strings share an anchor at the same place in them. Anchors whose hash occurs once are done. Of the others,
 the suffixes that begin there and the reversed prefixes that end there are sorted, which tells for every string around
-an anchor where it stands first. Sorting is deep-shallow: multikey quicksort on keys of eight bytes down to a shallow
+an anchor where it stands first. The places of a frequent anchor are parted further by the bytes around it before they
+are sorted, until a part fits into a task. Sorting is deep-shallow: multikey quicksort on keys of eight bytes down to a shallow
 depth, then a blind trie for each group that is still together.
 """
 
@@ -21,6 +22,8 @@ SPAN = 100  # bytes of a repeated string
 GRAM = 32  # bytes of an anchor
 REACH = SPAN - GRAM  # an anchor begins at most so far into the string
 SHALLOW = 3  # keys of eight bytes that multikey quicksort looks at
+PART = 20_000  # places that are sorted together; larger groups are parted by further bytes
+SALTS = 64  # shares of a group that is still too large
 
 
 def _slide(a: np.ndarray, width: int, pick) -> np.ndarray:
@@ -192,10 +195,12 @@ def spans_of(rows: list[tuple[int, int, int, int, bytes, bytes]]) -> list[tuple[
     return out
 
 
-def repeated_spans(docs: DataFrame, copies: DataFrame, store: Store) -> DataFrame:
+def repeated_spans(docs: DataFrame, copies: DataFrame, store: Store, part: int = PART) -> DataFrame:
     """(doc_id, t, spans): byte ranges to remove per text of an id, not merged; not for those of ``copies``.
 
     ``docs``: doc_id, text and its hash t, which tells texts of one id apart. Rows that repeat give their spans once.
+    An anchor found more than ``part`` times is parted by the bytes around it, half of what is free at a time, until its
+    parts are that small or hold one string each, of which the first place is an aggregate.
     """
 
     def find(batches):
@@ -210,9 +215,9 @@ def repeated_spans(docs: DataFrame, copies: DataFrame, store: Store) -> DataFram
                 yield pd.DataFrame({"h": h.view(np.int64), "doc_id": ids[s][owner], "t": t[s][owner], "at": (at - offsets[owner]).astype(np.int32)})
 
     found = docs.mapInPandas(find, "h long, doc_id long, t long, at int")
-    twice = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    places = found.hint("merge").join(twice, "h", "left_semi").join(copies, ["doc_id", "t"], "left_anti")
-    places = store.put(places.groupBy("doc_id", "t").agg(F.collect_set(F.struct("h", "at")).alias("places")), "places")
+    twice = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h", (F.col("n") > part).alias("hot"))
+    places = found.hint("merge").join(twice, "h").join(copies, ["doc_id", "t"], "left_anti")
+    places = store.put(places.groupBy("doc_id", "t").agg(F.collect_set(F.struct("h", "at", "hot")).alias("places")), "places")
 
     def around(batches):
         last = None
@@ -228,36 +233,94 @@ def repeated_spans(docs: DataFrame, copies: DataFrame, store: Store) -> DataFram
                     left, right = raw[max(0, at - REACH) : at], raw[at : at + SPAN]
                     if seen.setdefault((h, left, right), (doc, at)) < (doc, at):  # combined before the shuffle: it is not the first
                         if span := _whole(at, left, right):
-                            rows.append((hash((doc, at)), doc, t, -1, None, None, *span))
+                            rows.append((hash((doc, at)), doc, t, -1, None, None, *span, False))
                     else:
                         seen[h, left, right] = (doc, at)
-                        rows.append((h, doc, t, at, left, right, None, None))
-            yield pd.DataFrame(rows, columns=["h", "doc_id", "t", "at", "left", "right", "start", "stop"]).astype({"start": "Int64", "stop": "Int64"})
+                        rows.append((h, doc, t, at, left, right, None, None, p["hot"]))
+            yield pd.DataFrame(rows, columns=["key", "doc_id", "t", "at", "left", "right", "start", "stop", "hot"]).astype({"start": "Int64", "stop": "Int64"})
 
     text = docs.hint("merge").join(places, ["doc_id", "t"])
     # ids rise within a task, so the first of equal surroundings in a batch is the earliest of the batch
-    strings = text.sortWithinPartitions("doc_id", "t").mapInPandas(around, "h long, doc_id long, t long, at int, left binary, right binary, start long, stop long")
-    strings = strings.repartition("h").sortWithinPartitions("h")
+    strings = text.sortWithinPartitions("doc_id", "t").mapInPandas(around, "key long, doc_id long, t long, at int, left binary, right binary, start long, stop long, hot boolean")
+    fixed = [F.lit(0).alias("before"), F.lit(0).alias("after")]
+    done = store.put(settle(strings.select("*", *fixed), part), "settled0")
+    spans, level = done.filter("start is not null").select("doc_id", "t", "start", "stop"), 0
+    while not (open_ := done.filter("start is null")).isEmpty():
+        level += 1
+        same = open_.filter(F.col("before") + F.col("after") == REACH)
+        spans = spans.unionByName(later_of_equal(same))
+        parts = store.put(halves(open_.filter(F.col("before") + F.col("after") < REACH)), f"parts{level}")
+        large = parts.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > part)
+        hot = large.select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("hot"))
+        parts = parts.withColumn("salt", _salt()).join(hot, ["key", "salt"], "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+        empty = [F.lit(None).cast("long").alias(c) for c in ("start", "stop")]
+        done = store.put(settle(parts.select("*", *empty), part), f"settled{level}")
+        spans = spans.unionByName(done.filter("start is not null").select("doc_id", "t", "start", "stop"))
+    return spans.groupBy("doc_id", "t").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+
+
+def _salt():
+    return F.pmod(F.xxhash64("doc_id", "at"), F.lit(SALTS)).cast("int")
+
+
+def settle(rows: DataFrame, part: int) -> DataFrame:
+    """Spans of whole groups of ``key``; the rows of hot groups are handed on as they are, spread over tasks."""
+    columns = ["key", "doc_id", "t", "at", "left", "right", "start", "stop", "before", "after"]
+    schema = "key long, doc_id long, t long, at int, left binary, right binary, start long, stop long, before int, after int"
+
+    def table(spans):
+        out = pd.DataFrame(spans, columns=["doc_id", "t", "start", "stop"], dtype="Int64")
+        return out.assign(key=0, at=-1, left=None, right=None, before=0, after=0)[columns]
 
-    def settle(batches):
+    def run(batches):
         rest: list = []
         for b in batches:
-            done = b["start"].notna().to_numpy()
-            if done.any():
-                yield b.loc[done, ["doc_id", "t", "start", "stop"]].astype("int64")
-            rows = list(zip(*(b.loc[~done, c].tolist() for c in ("h", "doc_id", "t", "at", "left", "right"))))
-            rest += rows
-            if len(rest) > 20_000 and rest[0][0] != rest[-1][0]:
+            ready, hot = b["start"].notna().to_numpy(), b["hot"].to_numpy(bool)
+            if (ready | hot).any():
+                yield b.loc[ready | hot, columns].astype({"start": "Int64", "stop": "Int64"})
+            rest += zip(*(b.loc[~ready & ~hot, c].tolist() for c in ("key", "doc_id", "t", "at", "left", "right")))
+            if len(rest) > part and rest[0][0] != rest[-1][0]:
                 cut = len(rest)
                 while rest[cut - 1][0] == rest[-1][0]:
                     cut -= 1
-                yield pd.DataFrame(spans_of(rest[:cut]), columns=["doc_id", "t", "start", "stop"], dtype="int64")
+                yield table(spans_of(rest[:cut]))
                 rest = rest[cut:]
         if rest:
-            yield pd.DataFrame(spans_of(rest), columns=["doc_id", "t", "start", "stop"], dtype="int64")
+            yield table(spans_of(rest))
 
-    spans = strings.mapInPandas(settle, "doc_id long, t long, start long, stop long")
-    return spans.groupBy("doc_id", "t").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spread = F.when(F.col("hot"), _salt() + 1).otherwise(0)
+    return rows.withColumn("spread", spread).repartition("key", "spread").sortWithinPartitions("key").drop("spread", "salt").mapInPandas(run, schema)
+
+
+def halves(rows: DataFrame) -> DataFrame:
+    """The places of groups that agree in ``before`` and ``after`` bytes around the anchor, in two finer groupings each.
+
+    A string has REACH bytes besides the anchor, so it has the upper half of those that are still free before the anchor
+    or the other part after it. Each grouping holds the strings of one of these cases, and only the bytes that they reach.
+    """
+    free = REACH - F.col("before") - F.col("after")
+    more = F.ceil(free / 2).cast("int")
+    cases = F.array(
+        F.struct((F.col("before") + more).alias("before"), F.col("after").alias("after")),
+        F.struct(F.col("before").alias("before"), (F.col("after") + free - more + 1).alias("after")),
+    )
+    rows = rows.select("key", "doc_id", "t", "at", "left", "right", F.explode(cases).alias("c")).select("key", "doc_id", "t", "at", "left", "right", "c.*")
+    most = F.least(REACH - F.col("after"), F.length("left"))
+    rows = rows.filter((F.length("left") >= F.col("before")) & (F.length("right") >= GRAM + F.col("after")) & (most + F.length("right") >= SPAN))
+    left = F.expr(f"substring(left, greatest(length(left) - ({REACH} - after), 0) + 1)")
+    right = F.expr(f"substring(right, 1, {SPAN} - before)")
+    rows = rows.select("key", "doc_id", "t", "at", left.alias("left"), right.alias("right"), "before", "after")
+    near = F.expr("substring(left, length(left) - before + 1, before)"), F.expr(f"substring(right, {GRAM} + 1, after)")
+    return rows.withColumn("key", F.xxhash64("key", "before", "after", *near))
+
+
+def later_of_equal(rows: DataFrame) -> DataFrame:
+    """Spans of strings that are one string each (``left`` and ``right`` hold nothing else) and are not its first place."""
+    string = ["key", "before", "left", "right"]
+    first = rows.groupBy(*string).agg(F.min(F.struct("doc_id", "at")).alias("first")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    later = rows.withColumn("salt", _salt()).join(first, [*string, "salt"]).filter(F.struct("doc_id", "at") > F.col("first"))
+    start = (F.col("at") - F.col("before")).cast("long")
+    return later.select("doc_id", "t", start.alias("start"), (start + SPAN).alias("stop"))
 
 
 def merge(spans: list[tuple[int, int]]) -> list[list[int]]:
@@ -270,20 +333,21 @@ def merge(spans: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, part: int = PART) -> DataFrame:
     """doc_id, kept (remaining bytes), n_bytes, n_removed, n_spans of every document.
 
     A byte goes when a string of SPAN bytes over it also starts earlier: in a document of smaller id, or earlier in the
     same one. Strings are compared in the input. A document that equals an earlier one of SPAN bytes or more goes whole.
     Null texts are empty; rows without id are left out. Texts that share an id count as one document that has several bytes
     at a place: equal strings at the same place of them are no repeats, so rows that repeat have equal results.
+    ``part``: places of an anchor that are sorted in one task at most; the result does not depend on it.
     """
     store = Store(docs.sparkSession)
     docs = docs.filter("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
     keys = docs.select("doc_id", F.col("t").alias("t1"), F.sha2(F.encode("text", "UTF-8"), 256).alias("t2"), F.octet_length("text").alias("n")).filter(F.col("n") >= SPAN)
     first = keys.groupBy("t1", "t2").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).filter("c > 1")
     copies = store.put(keys.join(first, ["t1", "t2"]).filter("doc_id > first").select("doc_id", F.col("t1").alias("t")).distinct(), "copies")
-    spans = repeated_spans(docs, copies, store)
+    spans = repeated_spans(docs, copies, store, part)
     gone = spans.withColumn("copy", F.lit(False)).unionByName(copies.select("doc_id", "t", F.lit(None).cast("array<struct<start:long,stop:long>>").alias("spans"), F.lit(True).alias("copy")))
 
     def cut(batches):

@@ -20,8 +20,8 @@ def by_hand(rows):
         yield k, len(b), sum(gone), sum(1 for i in range(len(gone)) if gone[i] and not (i and gone[i - 1])), hashlib.sha256(bytes(v for v, g in zip(b, gone) if not g)).hexdigest()
 
 
-def same(docs):
-    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in S.remove_repeats(docs).collect())
+def same(docs, part=S.PART):
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in S.remove_repeats(docs, part).collect())
     assert got == sorted(by_hand(docs.collect()))
     return sum(r[2] for r in got)
 
@@ -40,6 +40,32 @@ def test_passages_with_neighbours(spark):
     assert S.remove_repeats(empty(spark)).count() == 0
 
 
+def test_frequent_anchors_are_parted(spark):
+    """A passage between ever new neighbours, some of them shared in part: parts of two places give what one task would."""
+    r = random.Random(8)
+    passage, sides = "~" + prose(50, 22) + "~", [prose(60 + i, 30) for i in range(4)]
+    docs = []
+    for i in range(24):
+        left, right = r.choice(sides)[-r.randint(0, 80) :], r.choice(sides)[: r.randint(0, 80)]
+        docs.append((i, f"{prose(200 + i, r.randint(0, 12))}{left}{passage}{right}{prose(300 + i, r.randint(0, 12))}"))
+    docs += [(30, passage), (31, passage[: S.SPAN]), (32, passage[-S.SPAN :]), (33, passage + passage), (34, None)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert same(docs, 2) == same(docs) > 0
+
+
+def test_halves_cover_every_string_once():
+    cases, leaves = [(0, 0)], []
+    while cases:
+        before, after = cases.pop()
+        free = S.REACH - before - after
+        if free == 0:
+            leaves.append(before)
+            continue
+        more = -(-free // 2)
+        cases += [(before + more, after), (before, after + free - more + 1)]
+    assert sorted(leaves) == list(range(S.REACH + 1))
+
+
 def by_place(rows):
     """As by_hand, where the first place of a string is that of the smallest (doc_id, start) of all rows."""
     rows = [(r["doc_id"], r["text"].encode()) for r in rows]
