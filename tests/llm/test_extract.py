@@ -46,3 +46,35 @@ def test_elements_that_do_not_end_keep_the_rest_of_the_page():
     for name in ("script", "style", "textarea", "title"):
         assert main_text(f"<article><p>Before.</p><{name} x><p>After.</p></article>") == "Before."
     assert main_text("<article><p>Before.</p>" + "<video>" * 20_000 + "<p>After.</p></article>") == "Before.\n\nAfter."
+
+
+def test_the_article_element_is_one_vote_of_several(spark):
+    """At least 95 of 100 pages keep their text without the element; so do long paragraphs between unnamed lists of links."""
+    rows = [r["html"] for r in given(spark, "pages").select("html").collect()]
+    renamed = [p.replace("<article>", "<div>").replace("</article>", "</div>") for p in rows]
+    assert sum(main_text(a) == main_text(b) for a, b in zip(rows, renamed)) >= 0.95 * len(rows)
+    links = "<div><ul>" + "".join(f"<li><a href=/{i}>Some page of the site</a></li>" for i in range(6)) + "</ul></div>"
+    page = f"<body>{links}<div><h1>Title</h1><p>Short.</p><p>{STOPS * 3}</p><p><a href=/x>One link</a></p></div>{links}</body>"
+    want = "\n\n".join(["Title", "Short.", (STOPS * 3).strip(), "One link"])
+    assert main_text(page) == want.removesuffix("\n\nOne link")  # here the density of links decides, in an article its vote is outweighed
+    assert main_text(page.replace("<div><h1>", "<article><h1>").replace("link</a></p></div>", "link</a></p></article>")) == want
+    assert main_text(f"<article><p>{STOPS * 3}</p></article><div><p>Short words outside.</p></div>") == (STOPS * 3).strip()
+
+
+def test_scripts_without_the_stop_words():
+    russian, chinese = "Это длинный текст о разных вещах, который занимает много места на странице и не кончается. " * 3, "这是一篇很长的文章。" * 30
+    assert main_text(f"<div class=nav>Меню</div><div><p>{russian}</p><p>{chinese}</p></div>") == f"{russian.strip()}\n\n{chinese}"
+
+
+def test_names_count_whole():
+    for attrs in ("class=related-work", "id=search-methods", "data-hidden", "data-class=ad", "class=legal-history", "class=header-text", "class='entry-header'"):
+        kept = attrs not in ("class=header-text",)
+        assert (main_text(f"<article><section {attrs}><p>Kept.</p></section><p>{STOPS * 3}</p></article>").startswith("Kept.")) == kept, attrs
+    for attrs in ("class=related-posts", "class=search-box", "id=cookie-banner", "class=siteFooter", "class='x ad-slot'", "hidden", "style='display: none'", "aria-hidden=true", "class=legal"):
+        assert main_text(f"<article><section {attrs}><p>{STOPS * 3}</p></section><p>Kept.</p></article>") == "Kept.", attrs
+
+
+def test_elements_inside_a_line():
+    assert main_text("<article><p>a<span hidden>no <span>no</span> no</span>b <button>no</button>c<label>no<br>no</label> <i class=ad>no</i>d</p></article>") == "ab c d"
+    assert main_text("<article><div><span hidden>open</div><p>a</p><button>open<p>b</p></article>") == "a\n\nb"
+    assert main_text("<article><p>a <span data-hidden class=word>b</span><br hidden>c</p></article>") == "a b c"
