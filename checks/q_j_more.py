@@ -102,7 +102,7 @@ add("T10_match_blur", lambda s, f: sf.match_blur(pair(s, f, 2), "a", "b", F.col(
     matched_sql().select(f"SELECT {pxs}, {s6('la', 'a_low')}, {s6('lb', 'b_low')} FROM lo"))
 add("T11_surface_agreement", lambda s, f: sf.agreement(pair(s, f, 2), "a", "b", F.col("x") % 2, F.col("y") % 3, 2, 1.5, 3).select(*PX, "agree", F.col("unanimous").cast("int").alias("unanimous"), F.col("majority").cast("int").alias("majority")),
     matched_sql().kernel("sx", "lo", SOBEL_X, {"xa": "la", "xb": "lb"}, by=(), carry=("la", "lb")).kernel("sy", "lo", SOBEL_Y, {"ya": "la", "yb": "lb"}, by=())
-    .add("ag", f"SELECT sx.*, CAST(abs(la-lb) <= 1.5*greatest(sqrt(xa*xa+ya*ya), sqrt(xb*xb+yb*yb))/8 + 0.02*greatest(la, lb) + 1 AS INT) AS agree FROM sx JOIN sy USING ({pxs})")
+    .add("ag", f"SELECT sx.*, CAST(round(abs(la-lb) - (1.5*greatest(sqrt(xa*xa+ya*ya), sqrt(xb*xb+yb*yb))/8 + 0.02*greatest(la, lb) + 1), 9) <= 0 AS INT) AS agree FROM sx JOIN sy USING ({pxs})")
     .kernel("mn", "ag", sq(1), {"u": "agree"}, by=(), border="none", agg="min", carry=("agree",)).kernel("bx", "ag", sq(1), {"s": "agree"}, by=())
     .select(f"SELECT {pxs}, agree, u AS unanimous, CAST(s*2 >= 9 AS INT) AS majority FROM mn JOIN bx USING ({pxs})"))
 

@@ -36,11 +36,12 @@ def agreement(px: DataFrame, a: str, b: str, radius_a: Column, radius_b: Column,
         la, lb = f"{a}_low", f"{b}_low"
         d = st.gradient_magnitude(d, la, "_g1", scale=8.0, by=by)
         d = st.gradient_magnitude(d, lb, "_g2", scale=8.0, by=by)
-        ok = F.abs(F.col(la) - F.col(lb)) <= ev.agreement_budget("_g1", "_g2", la, lb, tol)
-        d = d.withColumn("agree", ok.cast("int"))
+        over = F.abs(F.col(la) - F.col(lb)) - ev.agreement_budget("_g1", "_g2", la, lb, tol)
+        ok = F.round(over, 9) <= 0  # a difference of exactly the budget agrees, in whatever order its means were summed
+        d = st.fringe(d.withColumn("agree", ok.cast("int")), half, by, agree=None)  # the pool is a square, also around missing pixels
         d = st.extreme(d, {"_all": "agree"}, half, "erode", by)
         d = st.box(d, {"_some": "agree"}, half, by, mean=False)
-        return d.withColumns({"unanimous": F.col("_all") == 1, "majority": F.col("_some") * 2 >= pool * pool}).drop("_g1", "_g2", "_all", "_some")
+        return st.unfringe(d).withColumns({"unanimous": F.col("_all") == 1, "majority": F.col("_some") * 2 >= pool * pool}).drop("_g1", "_g2", "_all", "_some")
     return blocked(px, rmax + (int(round(sigma * 4)) if sigma > 0 else 0) + 1 + half, body, side)
 
 

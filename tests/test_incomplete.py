@@ -1,8 +1,16 @@
 """Many features on few pixels, images that end early, frames that are missing."""
 
+import collections
+from pathlib import Path
+
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from sharpfleet.operators import focus as fo
+from sharpfleet.operators import registration as rg
+from sharpfleet.operators import stencil as st
+from sharpfleet.operators import surfaces as sf
 
 
 def test_patches_of_features_are_never_broadcast(spark, formula):
@@ -24,3 +32,68 @@ def test_patches_of_features_are_never_broadcast(spark, formula):
             mean[f] = round(sum(v) / len(v), 9)
         best = max(mean, key=lambda f: (mean[f], -f))
         assert rows[fid] == (best, mean[best])
+
+
+def cut_short(formula, **kw):
+    """A 16×16 image that ends within its fifth row of tiles."""
+    return formula(size=16, frames=1, **kw).filter("y < 8 OR y < 12 AND x < 5")
+
+
+def direct(image, y, x, taps):
+    fold = lambda p: -p if p < 0 else 30 - p if p > 15 else p
+    return sum(t * image.get((fold(y + dy), fold(x + dx)), 0) for (dy, dx), t in taps.items())
+
+
+def test_kernels_take_missing_pixels_as_zero(formula):
+    px = cut_short(formula)
+    image = {(r["y"], r["x"]): r["v"] for r in px.collect()}
+    gx = {(dy, dx): dx * (2 if dy == 0 else 1) for dy in (-1, 0, 1) for dx in (-1, 1)}
+    lap = {(-1, -1): 2, (-1, 1): 2, (0, 0): -8, (1, -1): 2, (1, 1): 2}
+    rows = st.derivatives(px, "v", ("gx", "lap3"), side=8).collect()
+    assert len(rows) == len(image)
+    for r in rows:
+        assert (r["gx"], r["lap3"]) == (direct(image, r["y"], r["x"], gx), direct(image, r["y"], r["x"], lap))
+    wide = {(dy, dx): 1.0 + dy + 5 * dx for dy in range(-2, 3) for dx in range(-2, 3)}
+    for r in st.conv2d(px, "v", wide, "c", side=8).collect():
+        assert r["c"] == direct(image, r["y"], r["x"], wide)
+    line = [1.0, 2.0, 3.0, 4.0, 3.0, 2.0, 7.0]
+    for r in st.conv1d(px, {"c": "v"}, line, "y", side=8).collect():
+        assert r["c"] == direct(image, r["y"], r["x"], {(k - 3, 0): t for k, t in enumerate(line)})
+
+
+def test_a_calm_field_that_ends_early_stays(formula):
+    px = cut_short(formula).withColumns({"dispx": F.col("x") * 0.05, "dispy": F.col("y") * 0.05})
+    for r in rg.limit_stretch(px, rounds=2, sigma=0.6).collect():
+        assert abs(r["dispx"] - r["x"] * 0.05) < 1e-12 and abs(r["dispy"] - r["y"] * 0.05) < 1e-12
+
+
+def test_agreement_pools_squares_around_missing_pixels(formula):
+    px = cut_short(formula).withColumns({"a": F.col("v"), "b": F.when(F.expr("y = 8 AND x = 4"), 255 - F.col("v")).otherwise(F.col("v"))}).drop("frame")
+    rows = {(r["y"], r["x"]): r for r in sf.agreement(px, "a", "b", F.lit(0), F.lit(0), 1, 0.01, 3).collect()}
+    wrong = {p for p, r in rows.items() if not r["agree"]}
+    assert len(rows) == 148 and (8, 4) in wrong
+    assert all(r["unanimous"] == (not any(abs(p[0] - q[0]) <= 1 and abs(p[1] - q[1]) <= 1 for q in wrong)) for p, r in rows.items())
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    """Five stacks of 125 arrays, four of which end early: within a row of tiles, within a frame, after two frames, after one array."""
+    folder = tmp_path_factory.mktemp("odd")
+    one = "concat('[', array_join(transform(sequence(1, 64), i -> cast((pmod(hash(id, i), 200) - 100) / 256.0 as float)), ','), ']')"
+    ends = F.element_at(F.array(*[F.lit(n) for n in (125, 81, 63, 50, 1)]), (F.floor(F.col("id") / 125) + 1).cast("int"))
+    rows = spark.range(625).filter(F.col("id") % 125 < ends).select(F.col("id").alias("vec_id"), F.from_json(F.expr(one), "array<float>").alias("embedding"))
+    rows.coalesce(1).write.parquet(f"{folder}/embeddings.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("key", ["J9_fallback_chain", "J10_profiles", "J11_profile_match", "J12_shift_search", "F1_laplacian", "F5_content_aware", "G14_footprint_crop",
+                                 "T1_tile_pairs", "T4_layer_masks"])
+def test_stacks_that_end_early_equal_their_sql(spark, odd, key):
+    import __spark_entry__ as entry
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{Path(odd)}/embeddings.parquet/*.parquet'")
+    got = entry.queries()[key](spark, str(odd))
+    rel = con.execute(entry.oracle_sql()[key])
+    names = [d[0] for d in rel.description]
+    want = collections.Counter(tuple(map(repr, r)) for r in rel.fetchall())
+    assert want and collections.Counter(tuple(map(repr, r)) for r in got.select(*names).collect()) == want
