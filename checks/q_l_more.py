@@ -49,13 +49,13 @@ def group_sql(rounds=6, seeds=24, near=120, least=8, inlier=2, reach=52):
         q.add(f"sm{k}", one("m.stack_id, seed_id", f"ow{k} m JOIN bg{k} b ON b.stack_id=m.stack_id AND b.feature_id=m.feature_id"))
         q.add(f"mo{k}", f"SELECT * FROM ({trans('stack_id, seed_id', f'sm{k}')}) WHERE n >= 4 AND mx IS NOT NULL")
         q.add(f"mg{k}", f"SELECT stack_id, seed_id, max(sqrt(mx*mx+my*my)) AS mag FROM mo{k} GROUP BY ALL")
-        q.add(f"re{k}", f"SELECT m.stack_id, seed_id, feature_id, nx, ny FROM ow{k} m JOIN mo{k} o ON o.stack_id=m.stack_id AND o.frame=m.frame GROUP BY ALL HAVING count(*) >= 3 AND sqrt(avg(power(mx*nx+my*ny-shift, 2))) < {inlier}")
-        q.add(f"co{k}", f"SELECT r.stack_id, r.seed_id, feature_id FROM re{k} r JOIN mo{k} o ON o.stack_id=r.stack_id AND o.seed_id=r.seed_id JOIN mg{k} g ON g.stack_id=r.stack_id AND g.seed_id=r.seed_id GROUP BY r.stack_id, r.seed_id, feature_id, mag HAVING mag < {inlier} OR max(abs(mx*nx+my*ny)) >= {inlier}")
+        q.add(f"re{k}", f"SELECT m.stack_id, seed_id, feature_id, nx, ny FROM ow{k} m JOIN mo{k} o ON o.stack_id=m.stack_id AND o.frame=m.frame GROUP BY ALL HAVING count(*) >= 3 AND round(sqrt(avg(power(mx*nx+my*ny-shift, 2))), 9) < {inlier}")
+        q.add(f"co{k}", f"SELECT r.stack_id, r.seed_id, feature_id FROM re{k} r JOIN mo{k} o ON o.stack_id=r.stack_id AND o.seed_id=r.seed_id JOIN mg{k} g ON g.stack_id=r.stack_id AND g.seed_id=r.seed_id GROUP BY r.stack_id, r.seed_id, feature_id, mag HAVING round(mag, 9) < {inlier} OR round(max(abs(mx*nx+my*ny)), 9) >= {inlier}")
         q.add(f"be{k}", f"SELECT stack_id, seed_id FROM (SELECT stack_id, seed_id, count(*) AS n FROM co{k} GROUP BY ALL) WHERE n >= {least} QUALIFY row_number() OVER (PARTITION BY stack_id ORDER BY n DESC, seed_id) = 1")
         q.add(f"cr{k}", f"SELECT stack_id, feature_id FROM co{k} JOIN be{k} USING (stack_id, seed_id)")
         q.add(f"s2{k}", one("m.stack_id", f"ow{k} m JOIN cr{k} b ON b.stack_id=m.stack_id AND b.feature_id=m.feature_id"))
         q.add(f"m2{k}", f"SELECT * FROM ({trans('stack_id', f's2{k}')}) WHERE n >= 4 AND mx IS NOT NULL")
-        q.add(f"r2{k}", f"SELECT m.stack_id, feature_id, any_value(x) AS x, any_value(y) AS y FROM ow{k} m JOIN m2{k} o ON o.stack_id=m.stack_id AND o.frame=m.frame GROUP BY m.stack_id, feature_id HAVING count(*) >= 3 AND sqrt(avg(power(mx*nx+my*ny-shift, 2))) < {inlier}")
+        q.add(f"r2{k}", f"SELECT m.stack_id, feature_id, any_value(x) AS x, any_value(y) AS y FROM ow{k} m JOIN m2{k} o ON o.stack_id=m.stack_id AND o.frame=m.frame GROUP BY m.stack_id, feature_id HAVING count(*) >= 3 AND round(sqrt(avg(power(mx*nx+my*ny-shift, 2))), 9) < {inlier}")
         q.add(f"gr{k}", f"SELECT stack_id, feature_id, 1 AS core FROM cr{k} UNION ALL SELECT DISTINCT r.stack_id, r.feature_id, 0 FROM r2{k} r JOIN (SELECT * FROM cr{k} JOIN pool{k} USING (stack_id, feature_id)) c ON c.stack_id=r.stack_id AND (r.x-c.x)*(r.x-c.x)+(r.y-c.y)*(r.y-c.y) < {reach * reach} WHERE (r.stack_id, r.feature_id) NOT IN (SELECT (stack_id, feature_id) FROM cr{k})")
         q.add(f"pool{k + 1}", f"SELECT p.* FROM pool{k} p LEFT JOIN gr{k} g ON g.stack_id=p.stack_id AND g.feature_id=p.feature_id WHERE g.feature_id IS NULL")
     return q.select(" UNION ALL ".join(f"SELECT stack_id, CAST({k} AS INT) AS group_id, feature_id, CAST(core AS INT) AS informative FROM gr{k}" for k in range(rounds)))

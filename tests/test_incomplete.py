@@ -97,3 +97,11 @@ def test_stacks_that_end_early_equal_their_sql(spark, odd, key):
     names = [d[0] for d in rel.description]
     want = collections.Counter(tuple(map(repr, r)) for r in rel.fetchall())
     assert want and collections.Counter(tuple(map(repr, r)) for r in got.select(*names).collect()) == want
+
+
+def test_limits_are_decided_the_same_in_any_order_of_sums(spark):
+    from sharpfleet.operators import groups as gp
+    motion = spark.createDataFrame([(0, 1, 1.9999999999999996, 0.0)], "stack_id int, frame int, mx double, my double")
+    res = spark.createDataFrame([(0, 1, 1.0, 0.0, 1.9999999999999996, 3), (0, 2, 1.0, 0.0, 1.5, 3), (0, 3, 0.6, 0.8, 0.1, 3)],
+                                "stack_id int, feature_id int, nx double, ny double, rms double, frames int")
+    assert [r["feature_id"] for r in gp.consensus(res, motion).collect()] == [2]  # 1 is on the limit, 3 can't see the motion
