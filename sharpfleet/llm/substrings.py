@@ -24,6 +24,9 @@ REACH = SPAN - GRAM  # an anchor begins at most so far into the string
 SHALLOW = 3  # keys of eight bytes that multikey quicksort looks at
 PART = 20_000  # places that are sorted together; larger groups are parted by further bytes
 SALTS = 64  # shares of a group that is still too large
+JOINED = 1 << 18  # characters whose anchors are found at once; about 100 bytes of arrays each
+ROWS = 20_000  # rows that a task hands on at a time
+KNOWN = 100_000  # surroundings that a task remembers to combine equal ones before the shuffle
 
 
 def _slide(a: np.ndarray, width: int, pick) -> np.ndarray:
@@ -195,6 +198,37 @@ def spans_of(rows: list[tuple[int, int, int, int, bytes, bytes]]) -> list[tuple[
     return out
 
 
+def around(batches):
+    """Rows for ``settle`` from texts with their repeated places, in rising order of (doc_id, t): at most ROWS at a time."""
+    last, rows, seen = None, [], {}
+
+    def table():
+        out = pd.DataFrame(rows, columns=["key", "doc_id", "t", "at", "left", "right", "start", "stop", "hot"]).astype({"start": "Int64", "stop": "Int64"})
+        rows.clear()
+        return out
+
+    for b in batches:
+        for doc, t, text, found_at in zip(b["doc_id"].tolist(), b["t"].tolist(), b["text"].tolist(), b["places"]):
+            if (doc, t) == last:  # the row repeats
+                continue
+            last = doc, t
+            raw = text.encode()
+            for p in sorted(found_at, key=lambda p: p["at"]):
+                h, at = p["h"], p["at"]
+                left, right = raw[max(0, at - REACH) : at], raw[at : at + SPAN]
+                if seen.setdefault((h, left, right), (doc, at)) < (doc, at):  # combined before the shuffle: it is not the first
+                    if span := _whole(at, left, right):
+                        rows.append((hash((doc, at)), doc, t, -1, None, None, *span, False))
+                else:
+                    seen[h, left, right] = (doc, at)
+                    rows.append((h, doc, t, at, left, right, None, None, p["hot"]))
+                if len(rows) >= ROWS:
+                    yield table()
+                if len(seen) >= KNOWN:  # forgotten ones are only combined later
+                    seen.clear()
+    yield table()
+
+
 def repeated_spans(docs: DataFrame, copies: DataFrame, store: Store, part: int = PART) -> DataFrame:
     """(doc_id, t, spans): byte ranges to remove per text of an id, not merged; not for those of ``copies``.
 
@@ -207,7 +241,7 @@ def repeated_spans(docs: DataFrame, copies: DataFrame, store: Store, part: int =
         for b in batches:
             ids, t = b["doc_id"].to_numpy(), b["t"].to_numpy()
             texts = b["text"].tolist()
-            for s in chunked(texts):
+            for s in chunked(texts, JOINED):
                 raw = [t.encode() for t in texts[s]]
                 offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
                 at, h = anchors(b"".join(raw), offsets)
@@ -219,28 +253,8 @@ def repeated_spans(docs: DataFrame, copies: DataFrame, store: Store, part: int =
     places = found.hint("merge").join(twice, "h").join(copies, ["doc_id", "t"], "left_anti")
     places = store.put(places.groupBy("doc_id", "t").agg(F.collect_set(F.struct("h", "at", "hot")).alias("places")), "places")
 
-    def around(batches):
-        last = None
-        for b in batches:
-            rows, seen = [], {}
-            for doc, t, text, found_at in zip(b["doc_id"].tolist(), b["t"].tolist(), b["text"].tolist(), b["places"]):
-                if (doc, t) == last:  # the row repeats
-                    continue
-                last = doc, t
-                raw = text.encode()
-                for p in sorted(found_at, key=lambda p: p["at"]):
-                    h, at = p["h"], p["at"]
-                    left, right = raw[max(0, at - REACH) : at], raw[at : at + SPAN]
-                    if seen.setdefault((h, left, right), (doc, at)) < (doc, at):  # combined before the shuffle: it is not the first
-                        if span := _whole(at, left, right):
-                            rows.append((hash((doc, at)), doc, t, -1, None, None, *span, False))
-                    else:
-                        seen[h, left, right] = (doc, at)
-                        rows.append((h, doc, t, at, left, right, None, None, p["hot"]))
-            yield pd.DataFrame(rows, columns=["key", "doc_id", "t", "at", "left", "right", "start", "stop", "hot"]).astype({"start": "Int64", "stop": "Int64"})
-
     text = docs.hint("merge").join(places, ["doc_id", "t"])
-    # ids rise within a task, so the first of equal surroundings in a batch is the earliest of the batch
+    # ids rise within a task, so the first of the equal surroundings that a task remembers is the earliest of them
     strings = text.sortWithinPartitions("doc_id", "t").mapInPandas(around, "key long, doc_id long, t long, at int, left binary, right binary, start long, stop long, hot boolean")
     fixed = [F.lit(0).alias("before"), F.lit(0).alias("after")]
     done = store.put(settle(strings.select("*", *fixed), part), "settled0")

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 
 from sharpfleet.llm import substrings as S
 
@@ -128,3 +129,22 @@ def test_every_string_holds_an_anchor_at_the_same_place():
         low = lambda x: min((hv, a - x) for a, hv in zip(at.tolist(), h.tolist()) if x <= a <= x + S.REACH)
         if s % 37 == 0:
             assert low(50 + s)[0] == low(len(text) + s)[0]
+
+
+def test_rows_around_anchors_come_in_bounded_tables(monkeypatch):
+    """Many places of one batch: tables stay small, and what a task forgot or remembers of another batch gives the same spans."""
+    text = prose(70, 400)
+    at = range(0, len(text) - S.SPAN, 2)
+    places = [{"h": 5 * k, "at": k, "hot": False} for k in at]
+    batches = [pd.DataFrame({"doc_id": [2 * i, 2 * i + 1], "t": [7, 7], "text": [text, text], "places": [places, places]}) for i in range(2)]
+
+    def run(rows, known):
+        monkeypatch.setattr(S, "ROWS", rows)
+        monkeypatch.setattr(S, "KNOWN", known)
+        tables = list(S.around(iter(batches)))
+        assert max(map(len, tables)) <= rows
+        return pd.concat(tables)
+
+    few, all_ = run(50, 10**6), run(10**6, 10**6)
+    assert len(few) == len(all_) == 4 * len(at) and few["start"].notna().sum() == all_["start"].notna().sum() == 3 * len(at)
+    assert run(50, 100)["start"].notna().sum() == 0  # forgotten: left to the sort
