@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sharpfleet.functions.quantiles import exact_quantiles
-from sharpfleet.operators.grid import FRAME, STACK, X, Y, attach
-from sharpfleet.runtime import cut
+from sharpfleet.operators.grid import FRAME, STACK, X, Y, attach, attach_few
+from sharpfleet.runtime import cut, shared
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -37,8 +37,8 @@ def robust_fit(rows: DataFrame, by: Sequence[str], design: Sequence[Column], tar
     """Coefficients (array ``beta``) of target ~ design per key, weights cut at factor × median residual."""
     by, k = list(by), len(design)
     d = rows.select(*by, F.col(target).alias("_y"), F.col(weight).alias("_w0"), *[c.cast("double").alias(f"_d{i}") for i, c in enumerate(design)])
+    base, fit = d, None
     d = d.withColumn("_w", F.col("_w0"))
-    base, fit = [c for c in d.columns if c != "_w"], None
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     for p in range(passes):
         s = d.groupBy(*by).agg(
@@ -48,11 +48,11 @@ def robust_fit(rows: DataFrame, by: Sequence[str], design: Sequence[Column], tar
         fit = s.select(*by, _solve("_a", "_b", F.lit(float(ridge))).alias("beta"), "n", "weight")
         if p + 1 < passes:
             fit = cut(fit)  # one row per key
-            e = attach(d.select(*base), fit.select(*by, "beta"), by)
+            e = attach_few(base, fit.select(*by, "beta"), by)
             e = e.withColumn("_r", F.abs(sum(F.col(f"_d{i}") * F.element_at("beta", i + 1) for i in range(k)) - F.col("_y"))).drop("beta")
-            med = cut(exact_quantiles(e, by, "_r", {"_med": 0.5}))
+            med = cut(exact_quantiles(e, by, "_r", {"_med": 0.5}, narrow=True))
             limit = F.greatest(F.col("_med") * factor, F.lit(floor))
-            d = attach(e, med, by).withColumn("_w", F.col("_w0") * F.least(F.lit(1.0), limit / F.greatest("_r", F.lit(1e-9)))).drop("_r", "_med")
+            d = attach_few(e, med, by).withColumn("_w", F.col("_w0") * F.least(F.lit(1.0), limit / F.greatest("_r", F.lit(1e-9)))).drop("_r", "_med")
     return fit
 
 
@@ -73,8 +73,8 @@ def motion_rows(obs: DataFrame, h: int, w: int) -> DataFrame:
 
 def fit_motion(obs: DataFrame, by: Sequence[str], h: int, w: int, weight: str = "w", ridge: float = 1e-3, passes: int = 3) -> DataFrame:
     """Seven-parameter small-motion model per key; ``u`` is the depth relative to the mean depth of the key."""
-    origin = obs.groupBy(*by).agg(F.avg("depth").alias("origin"))
-    d = attach(obs, origin, list(by)).withColumn("u", F.col("depth") - F.col("origin"))
+    origin = cut(obs.groupBy(*by).agg(F.avg("depth").alias("origin")))
+    d = attach_few(obs, origin, list(by)).withColumn("u", F.col("depth") - F.col("origin"))
     r = motion_rows(d.select(*by, "x", "y", "dx", "dy", "u", F.col(weight).alias("_wt")), h, w)
     fit = robust_fit(r, by, [F.element_at("a", i + 1) for i in range(7)], "t", "_wt", passes, 2.0, 1e-6, ridge, 12)
     return fit.join(origin, list(by))
@@ -111,6 +111,7 @@ def fit_curve(rows: DataFrame, by: Sequence[str], knots: Sequence[float], weight
     """Displacement against depth as two piecewise-linear curves (``cx``, ``cy``) from shifts along normals."""
     basis = hat_basis(F.col("depth"), knots)
     design = [b * F.col("nx") for b in basis] + [b * F.col("ny") for b in basis]
+    rows = shared(rows.select(*by, "depth", "nx", "ny", "shift", weight))  # measures are an aggregate, passes read them again
     f = robust_fit(rows, by, design, "shift", weight, 3, 2.5, 1e-6, 0.0, 3 * len(knots))
     k = len(knots)
     return f.select(*by, F.slice("beta", 1, k).alias("cx"), F.slice("beta", k + 1, k).alias("cy"), "n")
@@ -145,6 +146,7 @@ def piece_affine(rows: DataFrame, by: Sequence[str], dof: int = 6, weight: str =
     """Affine displacement of a piece from shifts along normals: 2 (shift), 3 (shift and scale) or 6 unknowns."""
     nx, ny, x, y = (F.col(c) for c in ("nx", "ny", "x", "y"))
     design = {2: [nx, ny], 3: [nx, ny, nx * x + ny * y], 6: [nx * x, nx * y, nx, ny * x, ny * y, ny]}[dof]
+    rows = shared(rows.select(*by, "nx", "ny", "x", "y", "shift", weight))
     return robust_fit(rows, by, design, "shift", weight, 3, 2.5, 0.5, 1e-9, 2 * dof)
 
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sharpfleet.operators import fits as ft
@@ -92,3 +93,25 @@ def test_sinks_and_resume(spark, tmp_path):
     assert [r.scene for r in mf.pending(scenes, spark.read.json(str(tmp_path / "done"))).collect()] == ["c"]
     (tmp_path / "m.json").write_text('{"scenes": [{"scene": "s1", "n": 3},\n {"scene": "s2", "n": 4}]}')
     assert mf.read_manifest(spark, str(tmp_path / "m.json")).agg(F.sum("n")).first()[0] == 7
+
+
+def test_passes_do_not_move_the_rows(spark):
+    """Coefficients and medians of few keys reach the rows without a shuffle of the rows, whatever Spark thinks of their size."""
+    from sharpfleet.operators import grid, stats
+
+    rows = spark.range(4000).selectExpr("id % 3 AS stack_id", "cast(id % 37 AS double) AS x", "cast(id % 41 AS double) AS y", "cast(id % 7 + 0.1 * (id % 37) AS double) AS dx", "cast(id % 5 + 0.1 * (id % 41) AS double) AS dy",
+                                      "cast(id % 4 AS int) AS bin", "cast(id % 9 AS double) AS depth", "1.0D AS w")
+    fits = [lambda: stats.fit_similarity(rows, ["stack_id"], 18.0, 20.0, "w"), lambda: ft.shared_scale(rows, ["stack_id"], 4, 18.0, 20.0), lambda: ft.fit_motion(rows, ["stack_id"], 41, 37)]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    few = grid.FEW
+    try:
+        for fit in fits[:2]:
+            assert "SortMergeJoin" not in fit()._jdf.queryExecution().executedPlan().toString()
+        both = []
+        for grid.FEW in (few, 0):  # 0: as for more keys than may be broadcast
+            both.append([v for f in fits for r in sorted(f().collect()) for c in r for v in (c if isinstance(c, list) else [c])])
+        assert both[0] == pytest.approx(both[1], rel=1e-6, abs=1e-9)
+    finally:
+        grid.FEW = few
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
