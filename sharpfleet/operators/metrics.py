@@ -12,7 +12,7 @@ from sharpfleet.functions.columns import col, first_max, safe_corr
 from sharpfleet.functions.quantiles import exact_quantiles
 from sharpfleet.operators import stats as sa
 from sharpfleet.operators import stencil as st
-from sharpfleet.operators.grid import BLK, FRAME, SIDE, STACK, X, Y, attach, blocked
+from sharpfleet.operators.grid import BLK, FRAME, SIDE, STACK, X, Y, attach, blocked, spread
 
 # Fixed values of the gradient-transfer sigmoids: amplitude, slope, midpoint
 STRENGTH = (0.9994, -15.0, 0.5)
@@ -217,7 +217,8 @@ def spearman(rows: DataFrame, by: Sequence[str], a: str, b: str) -> DataFrame:
     def rank(c):
         w = Window.partitionBy(*by)
         return F.rank().over(w.orderBy(c)) + (F.count("*").over(Window.partitionBy(*by, c)) - 1) / 2.0
-    d = rows.withColumns({"_ra": rank(a), "_rb": rank(b)})
+    d = rows.select(*by, a, b)
+    d = (spread(d, *by) if by else d).withColumns({"_ra": rank(a), "_rb": rank(b)})
     return d.groupBy(*by).agg(safe_corr("_ra", "_rb").alias("spearman"), F.count("*").alias("n"))
 
 
