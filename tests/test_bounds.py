@@ -54,3 +54,18 @@ def test_missing_pixels_count_as_zero_at_any_radius(formula, r):
         lines = [sum(wide[y + k + r, x : x + 2 * r + 1]) for k in range(-r, r + 1)]
         have = [0 if (x == 7 and yy == 9) else 1 for yy in np.pad(np.arange(16), r, mode="reflect")[y : y + 2 * r + 1]]
         assert abs(p["s"] - sum(a for a, h in zip(lines, have) if h)) < 1e-9
+
+
+def test_sorts_ask_for_a_number_of_tasks(spark):
+    """An explicit number of partitions, which adaptive execution does not pack, for blocks, ranks and fields."""
+    from sharpfleet.operators import grid
+    from sharpfleet.operators import metrics as me
+    from sharpfleet.operators import resample as rs
+
+    n = grid.TASKS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    px = spark.range(64).selectExpr("id div 16 AS stack_id", "0 AS frame", "cast(id div 4 % 4 AS int) AS y", "cast(id % 4 AS int) AS x", "4 AS h", "4 AS w", "cast(id % 5 AS double) AS v", "cast(id % 3 AS double) AS u", "cast(id % 2 AS int) AS piece")
+    m = px.select("stack_id", "frame", "piece").distinct().withColumn("m", F.expr("array(1D, 0D, cast(piece AS double), 0D, 1D, 0D)"))
+    plans = [grid.Blocks(1).open(px), me.spearman(px, ["stack_id"], "v", "u"), rs.piecewise_field(px.drop("frame"), m), rs.blend_fields(px.withColumnsRenamed({"piece": "region", "v": "wt"}), m.withColumnRenamed("piece", "region"))]
+    for d in plans:
+        assert f", {n}), REPARTITION_BY_NUM" in d._jdf.queryExecution().executedPlan().toString()
+    assert me.spearman(px, [], "v", "u").count() == 1
