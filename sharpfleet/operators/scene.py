@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sharpfleet.operators.fits import robust_fit
-from sharpfleet.operators.grid import FRAME, STACK, attach
-from sharpfleet.runtime import cut
+from sharpfleet.operators.grid import FRAME, STACK, attach, attach_few
+from sharpfleet.runtime import cut, shared
 
 # Fixed values
 ROUNDS, MIN_ROWS, MIN_MEMBERS = 6, 8, 8
@@ -48,7 +48,7 @@ def feature_sums(obs: DataFrame, motion: DataFrame, h: int, w: int) -> DataFrame
     The cost of a depth is ee - 2 rho ce + rho² cc, so no feature meets an object row by row; ``_1`` are the sums without weights.
     """
     turn, near = _parts(h, w)
-    j = attach(obs, motion, [STACK, FRAME])
+    j = attach_few(obs, motion, [STACK, FRAME])
     j = j.withColumns({"_e": F.col("shift") - F.col("omega") * turn, "_c": F.col("tz") * near - F.col("tx") * F.col("nx") - F.col("ty") * F.col("ny")})
     e, c, s = F.col("_e"), F.col("_c"), F.col("score")
     return j.groupBy(STACK, "feature_id").agg(
@@ -88,7 +88,7 @@ def alternate(obs: DataFrame, labels: DataFrame, depths: DataFrame, h: int, w: i
     ``rounds`` is an upper bound; ``audit`` tells whether a stack had come to rest. Only tables of one row per feature or per
     object are carried from round to round.
     """
-    o, audit, motion, k = obs.select(STACK, "feature_id", FRAME, "x", "y", "nx", "ny", "shift", "score"), None, None, 0
+    o, audit, motion, k = shared(obs.select(STACK, "feature_id", FRAME, "x", "y", "nx", "ny", "shift", "score")), None, None, 0
     labels, depths = labels.select(STACK, "feature_id", "object_id"), depths.select(STACK, "object_id", F.col("rho").cast("double").alias("rho"))
     if rounds < 1:
         raise ValueError("at least one round")

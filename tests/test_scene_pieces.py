@@ -52,3 +52,20 @@ def test_far_pixels_find_their_label(spark):
     got = {(r["y"], r["x"]): r["piece"] for r in pc.nearest_label(px, "piece", 2, side=16).collect()}
     want = {(y, x): min(((y - a) ** 2 + (x - b) ** 2, a, b, v) for (a, b), v in seeds.items())[3] for y in range(30) for x in range(30)}
     assert got == want
+
+
+def test_motion_reaches_the_rows_without_a_shuffle(spark):
+    """Motions of few frames are broadcast to the observations, whatever Spark thinks of their size."""
+    from pyspark.sql import functions as F
+    from sharpfleet.operators import scene
+    from sharpfleet.runtime import cut
+
+    obs = spark.range(200).selectExpr("0 AS stack_id", "id div 4 AS feature_id", "cast(id % 4 AS int) AS frame", "1D AS x", "2D AS y", "1D AS nx", "0D AS ny", "0.5D AS shift", "1D AS score")
+    motion = cut(obs.groupBy("stack_id", "frame").agg(*[F.avg("shift").alias(c) for c in ("omega", "tx", "ty", "tz")]))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sums = scene.feature_sums(obs, motion, 4, 4)
+        assert "SortMergeJoin" not in sums._jdf.queryExecution().executedPlan().toString() and sums.count() == 50
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
