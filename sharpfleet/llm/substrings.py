@@ -258,6 +258,7 @@ def repeated_spans(docs: DataFrame, copies: DataFrame, store: Store, part: int =
     strings = text.sortWithinPartitions("doc_id", "t").mapInPandas(around, "key long, doc_id long, t long, at int, left binary, right binary, start long, stop long, hot boolean")
     fixed = [F.lit(0).alias("before"), F.lit(0).alias("after")]
     done = store.put(settle(strings.select("*", *fixed), part), "settled0")
+    store.drop("places")
     spans, level = done.filter("start is not null").select("doc_id", "t", "start", "stop"), 0
     while not (open_ := done.filter("start is null")).isEmpty():
         level += 1
@@ -269,6 +270,7 @@ def repeated_spans(docs: DataFrame, copies: DataFrame, store: Store, part: int =
         parts = parts.withColumn("salt", _salt()).join(hot, ["key", "salt"], "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
         empty = [F.lit(None).cast("long").alias(c) for c in ("start", "stop")]
         done = store.put(settle(parts.select("*", *empty), part), f"settled{level}")
+        store.drop(f"parts{level}")
         spans = spans.unionByName(done.filter("start is not null").select("doc_id", "t", "start", "stop"))
     return spans.groupBy("doc_id", "t").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 

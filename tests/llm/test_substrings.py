@@ -1,9 +1,11 @@
 import hashlib
 import random
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
 
+from sharpfleet.llm import store
 from sharpfleet.llm import substrings as S
 
 from .common import empty, given, odd, prose
@@ -148,3 +150,19 @@ def test_rows_around_anchors_come_in_bounded_tables(monkeypatch):
     few, all_ = run(50, 10**6), run(10**6, 10**6)
     assert len(few) == len(all_) == 4 * len(at) and few["start"].notna().sum() == all_["start"].notna().sum() == 3 * len(at)
     assert run(50, 100)["start"].notna().sum() == 0  # forgotten: left to the sort
+
+
+def test_files_of_a_round_go_with_it(spark, tmp_path, monkeypatch):
+    """The job that is left finds the spans and the copies only; shuffle files and tables of the jobs before are gone."""
+    files = lambda: set(Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].toString()).glob("*/shuffle_*.data"))
+    r = random.Random(8)
+    passage = "~" + prose(50, 22) + "~"
+    rows = [(i, f"{prose(200 + i, r.randint(0, 12))}{passage}{prose(300 + i, r.randint(0, 12))}") for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(store, "shared_folder", lambda _: str(tmp_path))
+    before, was = files(), spark.conf.get(store.FREED)
+    out = S.remove_repeats(docs, 2)
+    left = files() - before
+    assert {p.name[:7] for p in tmp_path.iterdir()} == {"copies", "settled"}
+    assert not left and spark.conf.get(store.FREED) == was
+    assert sum(r["n_removed"] for r in out.collect()) == sum(r[2] for r in by_hand(docs.collect())) > 0
