@@ -7,10 +7,13 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sharpfleet.functions.columns import clip, first_max
+from sharpfleet.functions.quantiles import exact_quantiles
 from sharpfleet.operators import evidence as ev
 from sharpfleet.operators import resample as rs
 from sharpfleet.operators import stencil as st
-from sharpfleet.operators.grid import FRAME, SIDE, STACK, X, Y, attach, blocked
+from sharpfleet.operators.grid import FRAME, SIDE, STACK, X, Y, attach, blocked, keys
+from sharpfleet.runtime import shared
 
 
 
@@ -105,30 +108,47 @@ def occlusion_clause(pieces: DataFrame, silhouettes: DataFrame, rank: str = "ran
 
 
 def stack_boundary(px: DataFrame, gray: str = "gray", sigmas: Sequence[float] = (0.0, 2.0, 4.0), k: int = 9, side: int = SIDE) -> DataFrame:
-    """Soft boundary map: gradients at several scales (largest over frames), density of winner changes, depth gradient."""
+    """Soft boundary map: gradients at several scales (largest over frames), density of winner changes, depth gradient.
+
+    One pass over all frames leaves a row per pixel, a second one over these rows has the rest; all percentiles are found at once.
+    A pixel that has no row in frame 0 gets no value and takes no part in the density.
+    """
     from sharpfleet.operators import focus as fo
     from sharpfleet.operators import fusion as fu
-    reach = max([1] + [(int(round(s * 8 + 1)) | 1) // 2 + 1 for s in sigmas if s > 0])
-
-    def grads(d):
-        for i, s in enumerate(sigmas):
-            src = gray
-            if s > 0:
-                d, src = st.gaussian(d, {f"_s{i}": gray}, s), f"_s{i}"
-            d = st.gradient_magnitude(d, src, f"_g{i}")
-        return d
-    g = blocked(px, reach, grads, side).groupBy(STACK, Y, X, "h", "w").agg(*[F.max(f"_g{i}").alias(f"_g{i}") for i in range(len(sigmas))])
-    for i in range(len(sigmas)):
-        g = ev.robust_normalize(g, f"_g{i}", (STACK,), out=f"_g{i}")
-    win = fo.winner(fo.content_aware(px, gray, 8.0, k, "_e", side), "_e").withColumn("winner", F.col("winner").cast("double"))
-    win = win.join(px.filter(F.col(FRAME) == 0).select(STACK, Y, X, "h", "w"), [STACK, Y, X])
-
-    def change(d):
-        d = st.gradient_magnitude(d, "winner", "_c", by=())
-        return st.box(d, {"_c": (F.col("_c") > 0).cast("double")}, 4, ())
-    c = ev.robust_normalize(blocked(win, 5, change, side), "_c", (STACK,), out="_c").select(STACK, Y, X, "_c")
-    z = st.gradient_magnitude(fu.depth_from_focus(px, gray, side=side), "depth", "_z", by=(), side=side)
-    z = ev.robust_normalize(z, "_z", (STACK,), out="_z").select(STACK, Y, X, "_z")
-    edges = F.greatest(*[F.col(f"_g{i}") for i in range(len(sigmas))]) if len(sigmas) > 1 else F.col("_g0")
-    out = g.join(c, [STACK, Y, X]).join(z, [STACK, Y, X])
-    return out.select(STACK, Y, X, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 * edges + 0.25 * F.col("_c") + 0.4 * F.col("_z"))).alias("boundary"))
+    blurred = {f"_s{i}": s for i, s in enumerate(sigmas) if s > 0}
+    reach = max([1] + [(int(round(s * 8 + 1)) | 1) // 2 + 1 for s in blurred.values()])
+    edges = [f"_g{i}" for i in range(len(sigmas))]
+    radius, smooth = 8, 4
+
+    def over_frames(d):
+        d = st.blurs_and_std(d, gray, blurred, 7, "_std")
+        wants: dict = {n: {} for n in (gray, *blurred)}
+        for i in range(len(sigmas)):
+            wants[f"_s{i}" if f"_s{i}" in blurred else gray] |= {f"_x{i}": "gx", f"_y{i}": "gy"}
+        wants[gray] |= {n: n for n in ("lap3", "dxx", "dyy")}
+        d = st.derivatives_of(d, wants).drop(*blurred)
+        size = lambda i: F.sqrt((F.col(f"_x{i}") * F.col(f"_x{i}") + F.col(f"_y{i}") * F.col(f"_y{i}")).cast("double"))
+        d = d.withColumns({n: size(i) for i, n in enumerate(edges)}).drop(*[f"_{c}{i}" for c in "xy" for i in range(len(sigmas))])
+        best = F.max_by(F.struct(FRAME, gray), first_max("_e", FRAME)).alias("_w")
+        d = fo.content_mix(d, 8.0, k, "_e").groupBy(*keys(Y, X), "h", "w").agg(
+            best, *[F.max(n).alias(n) for n in edges], F.bool_or(F.col(FRAME) == 0).alias("_shown"))
+        return d.select("*", F.col(f"_w.{FRAME}").alias("_win"), F.col(f"_w.{gray}").alias("_guide")).drop("_w")
+    p = blocked(px.select(STACK, FRAME, Y, X, "h", "w", gray), max(reach, 4 + k // 2), over_frames, side)
+    n = px.groupBy(STACK).agg((F.countDistinct(FRAME) - 1).alias("_last"))
+
+    def over_winners(d):
+        d = st.gradient_magnitude(d.withColumn("_c", F.col("_win").cast("double")), "_c", "_c", by=("_shown",))
+        d = st.box(d, {"_c": (F.col("_c") > 0).cast("double")}, smooth, ("_shown",))
+        d = d.withColumn("_raw", F.col("_win") / F.greatest(F.lit(1), F.col("_last")))
+        d = fu.guided_filter(d, F.col("_guide") / 255.0, "_raw", "_z", radius, 1e-3, by=())
+        return st.gradient_magnitude(d.withColumn("_z", clip("_z", 0.0, 1.0)), "_z", "_z", by=())
+    p = blocked(attach(p, n, [STACK]), max(1 + smooth, 1 + 2 * radius), over_winners, side)
+    p = shared(p.select(STACK, Y, X, "_shown", *edges, F.when(F.col("_shown"), F.col("_c")).alias("_c"), "_z"))
+    parts = [*edges, "_c", "_z"]
+    long = p.select(STACK, F.explode(F.array(*[F.struct(F.lit(i).alias("_of"), F.col(c).alias("_is")) for i, c in enumerate(parts)])).alias("_p")).select(STACK, "_p.*")
+    tops = exact_quantiles(long, [STACK, "_of"], "_is", {"_top": 0.99}).groupBy(STACK).agg(
+        *[F.max(F.when(F.col("_of") == i, F.col("_top"))).alias(f"_top{c}") for i, c in enumerate(parts)])
+    norm = {c: clip(F.col(c) / (F.col(f"_top{c}") + 1e-6), 0.0, 1.0) for c in parts}
+    strongest = F.greatest(*[norm[n] for n in edges]) if len(edges) > 1 else norm[edges[0]]
+    out = attach(p.filter("_shown"), tops, [STACK])
+    return out.select(STACK, Y, X, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 * strongest + 0.25 * norm["_c"] + 0.4 * norm["_z"])).alias("boundary"))
