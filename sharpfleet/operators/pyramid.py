@@ -49,22 +49,26 @@ def pyr_down(px: DataFrame, cols: Sequence[str], by=(FRAME,), side: int = SIDE)
     return halve(st.separable(px, {c: c for c in cols}, TAPS, by, side))
 
 
-def pyr_up(px: DataFrame, cols: Sequence[str], th: Column, tw: Column, by=(FRAME,), side: int = SIDE) -> DataFrame:
-    """Expand to th×tw: even pixel (g[i−1]+6g[i]+g[i+1])/8, odd pixel (g[i]+g[i+1])/2; first side reflects, last repeats."""
+def pyr_up(px: DataFrame, cols: Sequence[str], th: Column, tw: Column, by=(FRAME,), side: int = SIDE, around: bool = False) -> DataFrame:
+    """Expand to th×tw: even pixel (g[i−1]+6g[i]+g[i+1])/8, odd pixel (g[i]+g[i+1])/2; first side reflects, last repeats.
+
+    Missing pixels count as zero. ``around``: those next to a pixel are expanded too.
+    """
     def body(df):
         names = {c: [c] for c in cols}
         for axis in (X, Y):
-            win = line(axis, by)
             new = {}
+            if axis == X or around:
+                df = st.fringe(df, 1, by, axis, **{n: 0.0 for c in cols for n in names[c]})
             for c in cols:
                 for n in names[c]:
-                    after = F.coalesce(F.lead(n).over(win), F.col(n))
-                    before = F.coalesce(F.lag(n).over(win), after)
+                    after = st.neighbour(n, 1, axis, by, "clamp", 0.0)
+                    before = F.when(F.col(axis) == 0, after).otherwise(st.neighbour(n, -1, axis, by, "none", 0.0))
                     new[f"{n}0"] = (before + 6 * F.col(n) + after) / 8
                     new[f"{n}1"] = (F.col(n) + after) / 2
             df = df.withColumns(new)
             names = {c: [m for n in names[c] for m in (f"{n}0", f"{n}1")] for c in cols}
-        return df
+        return df.drop("_void") if around else st.unfringe(df)
     df = blocked(px.withColumns({"_th": th, "_tw": tw}), 1, body, side)
     child = F.explode(F.array(*[
         F.struct((2 * F.col(Y) + b).alias(Y), (2 * F.col(X) + a).alias(X), *[F.col(f"{c}{a}{b}").alias(c) for c in cols])

@@ -105,3 +105,28 @@ def test_limits_are_decided_the_same_in_any_order_of_sums(spark):
     res = spark.createDataFrame([(0, 1, 1.0, 0.0, 1.9999999999999996, 3), (0, 2, 1.0, 0.0, 1.5, 3), (0, 3, 0.6, 0.8, 0.1, 3)],
                                 "stack_id int, feature_id int, nx double, ny double, rms double, frames int")
     assert [r["feature_id"] for r in gp.consensus(res, motion).collect()] == [2]  # 1 is on the limit, 3 can't see the motion
+
+
+@pytest.fixture(scope="module")
+def short(spark, tmp_path_factory):
+    """Arrays 0–33, 40–41 and 125–130: stacks of four tiles end within a frame or after one, those of 25 tiles within a row of tiles."""
+    folder = tmp_path_factory.mktemp("short")
+    one = "concat('[', array_join(transform(sequence(1, 64), i -> cast((pmod(hash(id, i), 200) - 100) / 256.0 as float)), ','), ']')"
+    rows = spark.range(131).filter("id < 34 OR id IN (40, 41) OR id > 124").select(F.col("id").alias("vec_id"), F.from_json(F.expr(one), "array<float>").alias("embedding"))
+    rows.coalesce(1).write.parquet(f"{folder}/embeddings.parquet")
+    return folder
+
+
+def assert_equals_its_sql(spark, folder, key):
+    import __spark_entry__ as entry
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{Path(folder)}/embeddings.parquet/*.parquet'")
+    got = entry.queries()[key](spark, str(folder))
+    rel = con.execute(entry.oracle_sql()[key])
+    names = [d[0] for d in rel.description]
+    want = collections.Counter(tuple(map(repr, r)) for r in rel.fetchall())
+    assert want and collections.Counter(tuple(map(repr, r)) for r in got.select(*names).collect()) == want
+
+
+def test_expansion_takes_missing_pixels_as_zero(spark, short):
+    assert_equals_its_sql(spark, short, "Y3_pyr_up")
