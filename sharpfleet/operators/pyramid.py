@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sharpfleet.operators import stencil as st
 from sharpfleet.runtime import cut, shared
-from sharpfleet.operators.grid import FRAME, SIDE, STACK, X, Y, blocked, line, size_of
+from sharpfleet.operators.grid import FRAME, SIDE, STACK, X, Y, blocked, size_of
 
 TAPS = [0.0625, 0.25, 0.375, 0.25, 0.0625]
 CAP = 6
@@ -80,28 +80,28 @@ def pyr_up(px: DataFrame, cols: Sequence[str], th: Column, tw: Column, by=(FRAME
 
 
 def _split(df: DataFrame, cols: Sequence[str], lows: Sequence[str], by, side: int) -> DataFrame:
-    """Adds <c>_low for all columns and turns ``cols`` into c − expand(low) below the base level."""
+    """Adds <c>_low for all columns and turns ``cols`` into c − expand(low) below the base level; missing pixels count as zero."""
     def body(d):
         for axis in (X, Y):
             src = (lambda c: c) if axis == X else (lambda c: f"{c}_low")
             d = d.withColumns({
-                f"{c}_low": sum(F.lit(t) * st.neighbour(src(c), k - 2, axis, by) for k, t in enumerate(TAPS))
+                f"{c}_low": sum(F.lit(t) * st.neighbour(src(c), k - 2, axis, by, gap=0.0) for k, t in enumerate(TAPS))
                 for c in (*cols, *lows)})
+        if not cols:
+            return d
+        d = st.fringe(d, 2, by, **{f"{c}_low": 0.0 for c in cols})
         for axis in (X, Y):
-            win, even, new = line(axis, by), F.col(axis) % 2 == 0, {}
+            even, new = F.col(axis) % 2 == 0, {}
             for c in cols:
                 n = f"{c}_low" if axis == X else f"_{c}_up"
-                back2, back1 = F.lag(n, 2).over(win), F.lag(n, 1).over(win)
-                next2 = F.coalesce(F.lead(n, 2).over(win), F.col(n))
-                next1 = F.coalesce(F.lead(n, 1).over(win), back1)
-                up_even = (F.when(F.col(axis) == 0, next2).otherwise(back2) + 6 * F.col(n)
-                           + F.when(F.col(axis) + 2 >= size_of(axis), F.col(n)).otherwise(next2)) / 8
-                up_odd = (back1 + F.when(F.col(axis) + 1 >= size_of(axis), back1).otherwise(next1)) / 2
+                at = lambda k: st.neighbour(n, k, axis, by, "none", 0.0)
+                after = F.when(F.col(axis) + 2 >= size_of(axis), F.col(n)).otherwise(at(2))
+                up_even = (F.when(F.col(axis) == 0, after).otherwise(at(-2)) + 6 * F.col(n) + after) / 8
+                up_odd = (at(-1) + F.when(F.col(axis) + 1 >= size_of(axis), at(-1)).otherwise(at(1))) / 2
                 up = F.when(even, up_even).otherwise(up_odd)
                 new[f"_{c}_up" if axis == X else c] = up if axis == X else F.when(F.col("level") < F.col("levels"), F.col(c) - up).otherwise(F.col(c))
-            if new:
-                d = d.withColumns(new)
-        return d
+            d = d.withColumns(new)
+        return st.unfringe(d)
     return blocked(df, 4, body, side)
 
 

@@ -130,3 +130,7 @@ def assert_equals_its_sql(spark, folder, key):
 
 def test_expansion_takes_missing_pixels_as_zero(spark, short):
     assert_equals_its_sql(spark, short, "Y3_pyr_up")
+
+
+def test_detail_bands_take_missing_pixels_as_zero(spark, short):
+    assert_equals_its_sql(spark, short, "Y4_laplacian_pyramid")
