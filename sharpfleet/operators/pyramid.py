@@ -133,7 +133,10 @@ def pyramid(px: DataFrame, details: Sequence[str], lows: Sequence[str] = (), lev
 
 
 def collapse(bands: DataFrame, cols: Sequence[str], by=(), side: int = SIDE, depth: int | None = None) -> DataFrame:
-    """Sum of all bands on the finest grid. ``bands`` has level, levels, y, x, h, w and one row per pixel and level, ``depth`` as the pyramid."""
+    """Sum of all bands on the finest grid. ``bands`` has level, levels, y, x, h, w and one row per pixel and level, ``depth`` as the pyramid.
+
+    Every level has the pixels of its own band; coarser pixels that are missing count as zero.
+    """
     depth = planned(None, depth)
     size = F.struct("h", "w")
     keep = [STACK, *by, "levels", "level", Y, X, "h", "w"]
@@ -145,8 +148,9 @@ def collapse(bands: DataFrame, cols: Sequence[str], by=(), side: int = SIDE, dep
         return F.ceil(F.col(f"_full.{axis}") / scale).cast("int")
     acc = bands.filter(F.col("level") == depth)
     for k in range(depth - 1, -1, -1):
-        up = pyr_up(acc.join(full, [STACK, *by]), cols, size_at(F.lit(k), "h"), size_at(F.lit(k), "w"), by, side)
-        up = up.withColumn("level", F.lit(k)).select(*keep, *cols)
-        both = up.unionByName(bands.filter(F.col("level") == k))
-        acc = both.groupBy(*keep).agg(*[F.sum(c).alias(c) for c in cols])
+        up = pyr_up(acc.join(full, [STACK, *by]), cols, size_at(F.lit(k), "h"), size_at(F.lit(k), "w"), by, side, around=True)
+        up = up.withColumn("level", F.lit(k)).select(*keep, *cols, F.lit(False).alias("_own"))
+        both = up.unionByName(bands.filter(F.col("level") == k).withColumn("_own", F.lit(True)))
+        both = both.groupBy(*keep).agg(*[F.sum(c).alias(c) for c in cols], F.bool_or("_own").alias("_own"))
+        acc = both.filter("_own").drop("_own")
     return acc.drop("level", "levels")

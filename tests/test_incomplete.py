@@ -134,3 +134,15 @@ def test_expansion_takes_missing_pixels_as_zero(spark, short):
 
 def test_detail_bands_take_missing_pixels_as_zero(spark, short):
     assert_equals_its_sql(spark, short, "Y4_laplacian_pyramid")
+
+
+def test_collapse_gives_back_images_that_end_early(spark, short):
+    assert_equals_its_sql(spark, short, "Y5_collapse")
+
+
+def test_collapse_has_the_pixels_of_the_finest_band(formula):
+    """Some pixels have no coarser one above them, some coarser ones lack pixels below."""
+    from sharpfleet.operators import pyramid as py
+    px = formula(size=16, frames=1).filter("y < 9 AND x <> 8 AND NOT (x > 9 AND x % 2 = 0) OR y = 11 AND x > 8")
+    got = py.collapse(py.pyramid(px, ["v"], depth=3, side=8), ["v"], ("frame",), side=8, depth=3)
+    assert {(r["y"], r["x"]): r["v"] for r in got.collect()} == {(r["y"], r["x"]): r["v"] for r in px.collect()}
