@@ -146,3 +146,13 @@ def test_collapse_has_the_pixels_of_the_finest_band(formula):
     px = formula(size=16, frames=1).filter("y < 9 AND x <> 8 AND NOT (x > 9 AND x % 2 = 0) OR y = 11 AND x > 8")
     got = py.collapse(py.pyramid(px, ["v"], depth=3, side=8), ["v"], ("frame",), side=8, depth=3)
     assert {(r["y"], r["x"]): r["v"] for r in got.collect()} == {(r["y"], r["x"]): r["v"] for r in px.collect()}
+
+
+def test_median_of_the_pixels_there_are(spark, short, formula):
+    assert_equals_its_sql(spark, short, "K15_median_filter")
+    px = formula(size=8, frames=1).filter("y < 4 OR x < 3").withColumn("depth", F.col("v") / 7)
+    image = {(r["y"], r["x"]): r["depth"] for r in px.collect()}
+    keep = lambda p: max(0, min(7, p))
+    for r in st.median_filter(px, "depth", 5, side=8).collect():
+        near = sorted(image[c] for c in ((keep(r["y"] + dy), keep(r["x"] + dx)) for dy in range(-2, 3) for dx in range(-2, 3)) if c in image)
+        assert r["median"] == (near[(len(near) - 1) // 2] + near[len(near) // 2]) / 2
