@@ -156,3 +156,10 @@ def test_median_of_the_pixels_there_are(spark, short, formula):
     for r in st.median_filter(px, "depth", 5, side=8).collect():
         near = sorted(image[c] for c in ((keep(r["y"] + dy), keep(r["x"] + dx)) for dy in range(-2, 3) for dx in range(-2, 3)) if c in image)
         assert r["median"] == (near[(len(near) - 1) // 2] + near[len(near) // 2]) / 2
+
+
+def test_sharpest_frame_does_not_depend_on_the_order_of_sums(spark):
+    e = spark.createDataFrame([(0, 0, 0, 0, 0.6), (0, 0, 0, 1, 0.0), (0, 0, 0, 2, 0.0), (0, 1, 0, 0, 0.1), (0, 1, 0, 1, 0.2), (0, 1, 0, 2, 0.3)],
+                              "stack_id int, frame int, y int, x int, e double").repartition(1).sortWithinPartitions("x")
+    members = e.filter("frame = 0").select("stack_id", "y", "x", F.lit(7).alias("cell"))
+    assert [(r["frame"], r["total"]) for r in fo.sharpest_frame(e, members, "cell").collect()] == [(0, 0.6)]
