@@ -163,3 +163,7 @@ def test_sharpest_frame_does_not_depend_on_the_order_of_sums(spark):
                               "stack_id int, frame int, y int, x int, e double").repartition(1).sortWithinPartitions("x")
     members = e.filter("frame = 0").select("stack_id", "y", "x", F.lit(7).alias("cell"))
     assert [(r["frame"], r["total"]) for r in fo.sharpest_frame(e, members, "cell").collect()] == [(0, 0.6)]
+
+
+def test_enlarging_takes_missing_pixels_as_zero(spark, short):
+    assert_equals_its_sql(spark, short, "Y12_native_field")
