@@ -167,3 +167,7 @@ def test_sharpest_frame_does_not_depend_on_the_order_of_sums(spark):
 
 def test_enlarging_takes_missing_pixels_as_zero(spark, short):
     assert_equals_its_sql(spark, short, "Y12_native_field")
+
+
+def test_frames_without_a_next_one_have_no_composite(spark, short):
+    assert_equals_its_sql(spark, short, "V35_finalize")
