@@ -218,7 +218,7 @@ def fuse_perband(px: DataFrame, levels: int | None = None, depth: int | None = N
 
 def instability(px: DataFrame, v: str = "gray", neighbourhood: int = 5, ceiling: float = 0.25, floor: float = 0.5,
                 k: int = 9, side: int = SIDE) -> DataFrame:
-    """Share of pixels whose winner is both isolated and weak; 0 for stacks of fewer than three frames."""
+    """Share of pixels whose winner is both isolated and weak."""
     if neighbourhood < 3 or neighbourhood % 2 == 0:
         raise ValueError("neighbourhood must be odd and at least 3")
     r = neighbourhood // 2
@@ -228,14 +228,15 @@ def instability(px: DataFrame, v: str = "gray", neighbourhood: int = 5, ceiling:
         df = st.box(df, {"_share": (F.col("_win") == F.col(FRAME)).cast("int")}, r, mean=False)
         return df.filter(F.col("_win") == F.col(FRAME))
     one = blocked(px, 4 + k // 2 + r, body, side)
-    n = px.groupBy(STACK).agg(F.countDistinct(FRAME).alias("_n"))
     bad = (F.col("_share") < floor * neighbourhood ** 2) & (clip("_dom", 0.0, 1.0) < ceiling)
-    score = one.groupBy(STACK).agg(F.avg(bad.cast("double")).alias("score"))
-    return score.join(n, STACK).select(STACK, F.when(F.col("_n") < 3, F.lit(0.0)).otherwise(F.col("score")).alias("score"))
+    return one.groupBy(STACK).agg(F.avg(bad.cast("double")).alias("score"))
 
 
 def consistency_route(px: DataFrame, v: str = "gray", threshold: float = INSTABILITY, **kw) -> DataFrame:
-    return instability(px, v, **kw).withColumn("coherent", F.col("score") >= threshold)
+    """Whether the frames of a stack share one decision: from the threshold on, never with fewer than three frames."""
+    n = px.groupBy(STACK).agg(F.countDistinct(FRAME).alias("_n"))
+    score = instability(px, v, **kw).join(n, STACK)
+    return score.select(STACK, "score", ((F.col("_n") >= 3) & (F.col("score") >= threshold)).alias("coherent"))
 
 
 def fuse_routed(px: DataFrame, depth: int | None = None, threshold: float = INSTABILITY, coherent: dict | None = None,
