@@ -60,13 +60,14 @@ def pyr_up(px: DataFrame, cols: Sequence[str], th: Column, tw: Column, by=(FRAME
             new = {}
             if axis == X or around:
                 df = st.fringe(df, 1, by, axis, **{n: 0.0 for c in cols for n in names[c]})
+            df, read, added = st.beside(df, [n for c in cols for n in names[c]], 1, axis, by, 0.0)
             for c in cols:
                 for n in names[c]:
-                    after = st.neighbour(n, 1, axis, by, "clamp", 0.0)
-                    before = F.when(F.col(axis) == 0, after).otherwise(st.neighbour(n, -1, axis, by, "none", 0.0))
+                    after = st.neighbour(n, 1, axis, by, "clamp", read=read)
+                    before = F.when(F.col(axis) == 0, after).otherwise(read(n, -1))
                     new[f"{n}0"] = (before + 6 * F.col(n) + after) / 8
                     new[f"{n}1"] = (F.col(n) + after) / 2
-            df = df.withColumns(new)
+            df = df.withColumns(new).drop(*added)
             names = {c: [m for n in names[c] for m in (f"{n}0", f"{n}1")] for c in cols}
         return df.drop("_void") if around else st.unfringe(df)
     df = blocked(px.withColumns({"_th": th, "_tw": tw}), 1, body, side)
@@ -84,23 +85,24 @@ def _split(df: DataFrame, cols: Sequence[str], lows: Sequence[str], by, side: in
     def body(d):
         for axis in (X, Y):
             src = (lambda c: c) if axis == X else (lambda c: f"{c}_low")
+            d, read, added = st.beside(d, [src(c) for c in (*cols, *lows)], 2, axis, by, 0.0)
             d = d.withColumns({
-                f"{c}_low": sum(F.lit(t) * st.neighbour(src(c), k - 2, axis, by, gap=0.0) for k, t in enumerate(TAPS))
-                for c in (*cols, *lows)})
+                f"{c}_low": sum(F.lit(t) * st.neighbour(src(c), k - 2, axis, by, read=read) for k, t in enumerate(TAPS))
+                for c in (*cols, *lows)}).drop(*added)
         if not cols:
             return d
         d = st.fringe(d, 2, by, **{f"{c}_low": 0.0 for c in cols})
         for axis in (X, Y):
             even, new = F.col(axis) % 2 == 0, {}
+            d, read, added = st.beside(d, [f"{c}_low" if axis == X else f"_{c}_up" for c in cols], 2, axis, by, 0.0)
             for c in cols:
                 n = f"{c}_low" if axis == X else f"_{c}_up"
-                at = lambda k: st.neighbour(n, k, axis, by, "none", 0.0)
-                after = F.when(F.col(axis) + 2 >= size_of(axis), F.col(n)).otherwise(at(2))
-                up_even = (F.when(F.col(axis) == 0, after).otherwise(at(-2)) + 6 * F.col(n) + after) / 8
-                up_odd = (at(-1) + F.when(F.col(axis) + 1 >= size_of(axis), at(-1)).otherwise(at(1))) / 2
+                after = F.when(F.col(axis) + 2 >= size_of(axis), F.col(n)).otherwise(read(n, 2))
+                up_even = (F.when(F.col(axis) == 0, after).otherwise(read(n, -2)) + 6 * F.col(n) + after) / 8
+                up_odd = (read(n, -1) + F.when(F.col(axis) + 1 >= size_of(axis), read(n, -1)).otherwise(read(n, 1))) / 2
                 up = F.when(even, up_even).otherwise(up_odd)
                 new[f"_{c}_up" if axis == X else c] = up if axis == X else F.when(F.col("level") < F.col("levels"), F.col(c) - up).otherwise(F.col(c))
-            d = d.withColumns(new)
+            d = d.withColumns(new).drop(*added)
         return st.unfringe(d)
     return blocked(df, 4, body, side)
 

@@ -178,3 +178,8 @@ def test_instability_is_a_share_for_any_number_of_frames(spark, short):
     assert_equals_its_sql(spark, short, "M12_instability")
     px = spark.range(128).selectExpr("0 AS stack_id", "cast(id div 64 AS int) AS frame", "cast(id % 64 div 8 AS int) AS y", "cast(id % 8 AS int) AS x", "8 AS h", "8 AS w", "cast(id * id % 251 AS int) AS gray")
     assert not any(r["coherent"] for r in fu.consistency_route(px, threshold=0.0).collect())  # two frames never share a decision
+
+
+@pytest.mark.parametrize("key", ["M2_pyramid_fusion"])
+def test_fused_images_that_end_early_equal_their_sql(spark, short, key):
+    assert_equals_its_sql(spark, short, key)
