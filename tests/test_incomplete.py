@@ -180,6 +180,6 @@ def test_instability_is_a_share_for_any_number_of_frames(spark, short):
     assert not any(r["coherent"] for r in fu.consistency_route(px, threshold=0.0).collect())  # two frames never share a decision
 
 
-@pytest.mark.parametrize("key", ["M2_pyramid_fusion", "M7_multiband_blend", "M15_adaptive_fusion", "M10_perband_fusion", "M10_usable_perband"])
+@pytest.mark.parametrize("key", ["M2_pyramid_fusion", "M7_multiband_blend", "M15_adaptive_fusion", "M10_perband_fusion", "M10_usable_perband", "M11_boundary_perband"])
 def test_fused_images_that_end_early_equal_their_sql(spark, short, key):
     assert_equals_its_sql(spark, short, key)
