@@ -183,3 +183,12 @@ def test_instability_is_a_share_for_any_number_of_frames(spark, short):
 @pytest.mark.parametrize("key", ["M2_pyramid_fusion", "M7_multiband_blend", "M15_adaptive_fusion", "M10_perband_fusion", "M10_usable_perband", "M11_boundary_perband"])
 def test_fused_images_that_end_early_equal_their_sql(spark, short, key):
     assert_equals_its_sql(spark, short, key)
+
+
+def test_limiting_the_field_has_an_effect(spark, short, monkeypatch):
+    import __spark_entry__ as entry
+    assert_equals_its_sql(spark, short, "G10_limit_stretch")
+    run = lambda: {tuple(r) for r in entry.queries()["G10_limit_stretch"](spark, str(short)).collect()}
+    limited = run()
+    monkeypatch.setattr(rg, "limit_stretch", lambda field, **kw: field)
+    assert len(run() - limited) > len(limited) / 2
