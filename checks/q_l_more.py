@@ -31,10 +31,11 @@ def site_sql():
         WHERE y % 2 = 0 AND x % 2 = 0 AND y >= 4 AND x >= 4 AND y < 36 AND x < 36 AND px.v % 11 <> 0""")
 
 
-sites = lambda s, f: si.edge_sites(stepped(s, f), "depth", valid="ok", weak=40.0, strong=80.0, stride=2, margin=4, probe=2, side=16)
+sites = lambda s, f, only="true": si.edge_sites(stepped(s, f).filter(only), "depth", valid="ok", weak=40.0, strong=80.0, stride=2, margin=4, probe=2, side=16)
 add("E1_edge_sites", lambda s, f: sites(s, f).select(*ID, r6("nx", "nx"), r6("ny", "ny"), F.col("limb").cast("int").alias("limb")),
     site_sql().select(f"SELECT {ids}, {s6('nx', 'nx')}, {s6('ny', 'ny')}, CAST(limb AS INT) AS limb FROM si"))
-add("E1_sites_measured", lambda s, f: gp.measure(px(s, f, 5), si.features(sites(s, f), 2), 2, half=4, span=3, side=16).select("stack_id", "feature_id", "frame", r6("shift", "shift", 4), r6("score", "score", 4)))
+# sites are found frame by frame, and only those of the reference frame become features
+add("E1_sites_measured", lambda s, f: gp.measure(px(s, f, 5), si.features(sites(s, f, "frame = 2"), 2), 2, half=4, span=3, side=16).select("stack_id", "feature_id", "frame", r6("shift", "shift", 4), r6("score", "score", 4)))
 
 
 def group_sql(rounds=6, seeds=24, near=120, least=8, inlier=2, reach=52):

@@ -192,3 +192,33 @@ def test_limiting_the_field_has_an_effect(spark, short, monkeypatch):
     limited = run()
     monkeypatch.setattr(rg, "limit_stretch", lambda field, **kw: field)
     assert len(run() - limited) > len(limited) / 2
+
+
+def test_lags_are_matched_a_batch_at_a_time(spark):
+    from sharpfleet.operators import groups as gp
+    n, cell = 7, lambda i, j, s: None if (i * 31 + j * 7 + s) % 11 == 0 else float((i * 37 + j * j * 13 + s * 29 + i * j * 5) % 101)
+    rows = [(i, [cell(i, j, 1) for j in range(n)], [cell(i, j, 2) for j in range(n)]) for i in range(60)] + [(60, [None] * n, [1.0] * n)]
+    m = gp.match(spark.createDataFrame(rows, "id int, a array<double>, b array<double>"), "a", "b", n)
+    assert "zip_with" not in m._jdf.queryExecution().executedPlan().toString()  # interpreted for each pair: half of the whole time
+    got = {r["id"]: (r["shift"], r["score"]) for r in m.collect()}
+    minus = lambda p, q: None if p is None or q is None else p - q
+    half = lambda p, i: minus(p[min(i + 1, n - 1)], p[max(i - 1, 0)])
+    slopes = lambda p: [None if (e := half(p, i)) is None else e / (1 if i in (0, n - 1) else 2) for i in range(n)]
+    dot = lambda pairs: (lambda e: sum(e) if e else None)([u * w for u, w in pairs if u is not None and w is not None])
+    for i, a, b in rows:
+        ga, gb, corr = slopes(a), slopes(b), {}
+        aa, bb = dot(list(zip(ga, ga))), dot(list(zip(gb, gb)))
+        for k in range(1 - n, n):
+            ends = [(j, j + k) for j in range(n) if 0 <= j + k < n]
+            if any(a[p] is not None and b[q] is not None for p, q in ends) and aa is not None and bb is not None:
+                c = dot([(ga[p], gb[q]) for p, q in ends])
+                if c is not None:
+                    corr[k] = round(c / ((aa * bb) ** 0.5 + 1e-12), 9)
+        if not corr:
+            assert got[i] == (None, None)
+            continue
+        k = max(corr, key=lambda k: (corr[k], -k))
+        off = 0.0
+        if abs(k) < n - 1 and k - 1 in corr and k + 1 in corr and abs(curve := corr[k - 1] - 2 * corr[k] + corr[k + 1]) > 1e-9:
+            off = max(-0.5, min(0.5, 0.5 * (corr[k - 1] - corr[k + 1]) / curve))
+        assert got[i][1] == corr[k] and abs(got[i][0] - k - off) < 1e-6
